@@ -24,16 +24,15 @@ def templates(rows: DataFrame) -> DataFrame:
     numbers (3) become typed placeholders, other words count in lower case.
     """
     marked = F.lower(F.regexp_replace("_text", r"(?<=[\p{Ll},;] )(?=\p{Lu})", NAME))
-    rows = rows.withColumn("_tokens", F.regexp_extract_all(marked, F.lit(rf"{NAME}?[\p{{L}}\p{{M}}]+|\p{{N}}+(?:[.,]\p{{N}}+)*"), F.lit(0)))
+    tokens = F.regexp_extract_all(marked, F.lit(rf"{NAME}?[\p{{L}}\p{{M}}]+|\p{{N}}+(?:[.,]\p{{N}}+)*"), F.lit(0))
     digit = lambda x: x.rlike(r"^\p{N}")
 
-    def kind(x: Column, i: Column) -> Column:
-        unit = x.isin(UNITS) & F.coalesce(digit(F.get("_tokens", i - 1)), F.lit(False))
-        return F.when(digit(x), 1).when(x.startswith(NAME), 2).when(unit, 3).otherwise(0)
+    def typed(ts: Column) -> Column:
+        def kind(x: Column, i: Column) -> Column:
+            unit = x.isin(UNITS) & F.coalesce(digit(F.get(ts, i - 1)), F.lit(False))
+            return F.when(digit(x), 1).when(x.startswith(NAME), 2).when(unit, 3).otherwise(0)
 
-    typed = F.transform("_tokens", lambda x, i: F.struct(i.alias("at"), kind(x, i).alias("type"), F.xxhash64(x).alias("value")))
-    rows = rows.withColumn("_typed", typed)
-    rows = rows.withColumn("slots", F.filter("_typed", lambda t: t.type > 0))
+        return F.transform(ts, lambda x, i: F.struct(i.alias("at"), kind(x, i).alias("type"), F.xxhash64(x).alias("value")))
 
     def windows(hashes: Column) -> Column:
         n = F.size(hashes)
@@ -42,8 +41,14 @@ def templates(rows: DataFrame) -> DataFrame:
         c4 = let(c2, lambda c: F.zip_with(F.slice(c, 1, n - 3), F.slice(c, 3, n - 3), two))
         return let(c4, lambda c: F.zip_with(F.slice(c, 1, n - 7), F.slice(c, 5, n - 7), two))
 
-    hashes = F.transform("_typed", lambda t: F.when(t.type > 0, t.type.cast("bigint")).otherwise(t.value))
-    return rows.withColumn("windows", F.when(F.size("_typed") >= WINDOW, let(hashes, windows)).otherwise(F.array().cast("array<bigint>"))).drop("_tokens", "_typed", "_text")
+    def both(ts: Column) -> Column:
+        hashes = F.transform(ts, lambda t: F.when(t.type > 0, t.type.cast("bigint")).otherwise(t.value))
+        whole = F.when(F.size(ts) >= WINDOW, let(hashes, windows)).otherwise(F.array().cast("array<bigint>"))
+        return F.struct(F.filter(ts, lambda t: t.type > 0).alias("slots"), whole.alias("windows"))
+
+    # bound by let, not by columns: a filter that Spark moves below would repeat a column's expression for each element
+    found = let(let(tokens, typed), both)
+    return rows.withColumn("_found", found).select(*[c for c in rows.columns if c != "_text"], "_found.slots", "_found.windows")
 
 
 def _inside(at: Column) -> Column:
@@ -69,7 +74,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_windows: int = 6, mi
     small = parts.count() <= BROADCAST_WINDOWS
     right = F.broadcast(parts) if small else parts
     texts = docs.select("doc_id", text_of().alias("_text")).withColumn("row_key", F.xxhash64("_text"))
-    rows = templates(texts).select("doc_id", "row_key", "slots", F.posexplode("windows").alias("pos", "hash"))
+    rows = templates(texts).select("doc_id", "row_key", "slots", F.posexplode_outer("windows").alias("pos", "hash"))
     if not small:
         rows = rows.select("doc_id", "row_key", "pos", "hash", _inside(F.col("pos")).alias("dslots"))
     met = rows.join(right, "hash")
