@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.common import materialize, small_batches
+
 #: Buckets of hashed letter trigrams, and letters labelled at a time.
 BUCKETS, LETTERS = 1 << 15, 1_000_000
 # Fixed first code points of script ranges; a range ends where the next begins. The first is for other characters.
@@ -190,5 +192,6 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
 
 def op7_language(docs: DataFrame) -> DataFrame:
     """The thin query over learn and identify."""
-    found = identify(docs.select("doc_id", "text"), learn(docs))
+    with small_batches(docs.sparkSession):
+        found = materialize(identify(docs.select("doc_id", "text"), learn(docs)).drop("text"), "languages")
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "spans")
