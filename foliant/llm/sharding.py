@@ -57,6 +57,10 @@ def text_size(column: str = "text") -> Column:
     return F.coalesce(F.octet_length(F.col(column).cast("string")), F.lit(0)).cast("long") + 1
 
 
+def text_checksum(column: str = "text") -> Column:
+    return F.crc32(F.encode(text_of(column), "UTF-8"))
+
+
 def cell_of() -> Column:
     """The curve's index of a document (lang, source, _size): language by its first letters, source by hash, size by its logarithm; null is highest."""
     letter = lambda k: F.greatest(F.lit(0), F.least(F.lit(25), F.ascii(F.substring(F.lower("lang"), k, 1)) - 97))
@@ -66,8 +70,8 @@ def cell_of() -> Column:
     return hilbert_index([lang, source, size])
 
 
-def shard_rows(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """Adds shard and slot to documents (doc_id, text, lang, source).
+def shard_rows(docs: DataFrame, shards: int = 8, size: Column | None = None, checksum: Column | None = None) -> DataFrame:
+    """Adds shard and slot to documents (doc_id, lang, source, and text, or size and checksum where the text isn't at hand).
 
     Rows go by cell, then hash, id and checksum, and are cut into runs whose counts are at most one apart;
     slots number a shard's rows from 0. Cells, and parts of large cells, are counted first, so that ranks need no
@@ -75,7 +79,7 @@ def shard_rows(docs: DataFrame, shards: int = 8) -> DataFrame:
     equal in doc_id and checksum and are ranked in any order; an empty table gives no rows; other columns
     stay, but for shard and slot, which are replaced.
     """
-    rows = docs.withColumn("_size", text_size()).withColumn("_crc", F.crc32(F.encode(text_of(), "UTF-8")))
+    rows = docs.withColumn("_size", text_size() if size is None else size).withColumn("_crc", text_checksum() if checksum is None else checksum)
     rows = rows.withColumn("_cell", cell_of()).withColumn("_mix", F.xxhash64("doc_id", "_crc"))
     narrow = materialize(rows.select("_cell", "_mix"), "shard-cells")
     parts = narrow.groupBy("_cell").agg(F.ceil(F.count("*") / RANKED).alias("_parts"))
@@ -102,14 +106,6 @@ def shard_rows(docs: DataFrame, shards: int = 8) -> DataFrame:
 
 def op8_sharding(docs: DataFrame) -> DataFrame:
     """The thin query over shard_rows: the law is rows."""
-    slim = docs.select("doc_id", "text", "lang", "source")
-    found = shard_rows(slim)
-    return found.select(
-        "doc_id",
-        text_size().alias("size"),
-        F.crc32(F.encode(text_of(), "UTF-8")).alias("text_crc32"),
-        F.lit("rows").alias("law"),
-        "shard",
-        "slot",
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+    slim = materialize(docs.select("doc_id", "lang", "source", text_size().alias("size"), text_checksum().alias("text_crc32")), "shard-rows")
+    found = shard_rows(slim, size=F.col("size"), checksum=F.col("text_crc32"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
