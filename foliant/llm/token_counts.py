@@ -16,7 +16,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed pattern by which this vocabulary's texts are cut before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Lengths whose sums meet in one task.
-SPAN = 4096
+SPAN = 128
 
 
 @lru_cache(maxsize=4)
