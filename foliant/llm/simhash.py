@@ -146,11 +146,15 @@ def op4_simhash(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """The documents, one of each component: the row with the smallest id; of rows with the same id and text, one."""
+    """The documents, one of each component: the row with the smallest id; of rows with the same id and text, one.
+
+    Where all ids of a component are null, one row of each text stays.
+    """
     found = near_duplicates(docs, radius, shingle)
-    ranked = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = materialize(ranked.groupBy("component_id").agg(F.min("row_key").alias("_key")).select(F.col("component_id").alias("_id"), "_key"), "simhash-keep")
+    ranked = materialize(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("component_id", "row_key"), "simhash-first")
+    nameless = F.when(F.col("component_id").isNull(), F.col("row_key"))
+    keep = ranked.groupBy("component_id", nameless.alias("_own")).agg(F.min("row_key").alias("_key"), F.count("*").alias("_rows"))
+    keep = materialize(keep.select(F.col("component_id").alias("_id"), "_key", "_rows"), "simhash-keep")
     text = F.xxhash64(text_of())
     kept = docs.join(keep, docs.doc_id.eqNullSafe(F.col("_id")) & (text == F.col("_key")), "left_semi")
-    twice = docs.groupBy("doc_id", text.alias("_key")).count().filter("count > 1")
-    return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    return kept if keep.filter("_rows > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
