@@ -20,6 +20,12 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def framed(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows as one struct, row, beside the columns that are worked on and row_key (hash of the text), so that no name of theirs clashes."""
+    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    return docs.select(F.struct(*quoted).alias("row"), *columns, F.xxhash64(text_of()).alias("row_key"))
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text that isn't null."""
     return F.array_remove(F.split(text, GAP), "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import let, materialize, text_of
+from foliant.llm.common import framed, let, materialize, text_of
 
 #: Words in a window; windows are hashed by doubling.
 WINDOW = 8
@@ -99,4 +99,4 @@ def op6_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without benchmark items, with all their columns."""
     bad = materialize(contaminated(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct(), "contaminated")
-    return docs.join(bad, docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(text_of()) == F.col("_key")), "left_anti")
+    return framed(docs, ["doc_id"]).join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left_anti").select("row.*")

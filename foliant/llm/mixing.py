@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import materialize, prefix_sums, text_of, words_of
+from foliant.llm.common import framed, materialize, prefix_sums, text_of, words_of
 
 #: Words in a block, slots in an output shard, and chunks in which the documents of a source are laid out.
 BLOCK, SLOTS, CHUNKS = 128, 1024, 1024
@@ -44,7 +44,7 @@ def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
         mask = (np.uint64(1) << h) - np.uint64(1)
         left, right = out[todo] >> h, out[todo] & mask
         for turn in range(4):
-            z = (right + k * np.uint64(0x9E3779B97F4A7C15) + np.uint64(turn + 1) * np.uint64(0xD1B54A32D192ED03)) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (right + k * np.uint64(0x9E3779B97F4A7C15) + np.uint64((turn + 1) * 0xD1B54A32D192ED03 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
             z ^= z >> np.uint64(29)
             z *= np.uint64(0x94D049BB133111EB)
             z ^= z >> np.uint64(32)
@@ -169,12 +169,12 @@ def op2_mixing(docs: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The documents as often as the mix takes the block of their first word, with all their columns.
 
-    Rows of one id, source and text are one document here and come as often as they are taken together.
+    Rows of one id and text are one document here and come as often as they are taken together.
     """
     found = taken(draw(docs)).groupBy("doc_id", "row_key").agg(F.sum("starts").alias("_starts"), F.count("*").alias("_rows"))
     found = materialize(found.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "_starts", "_rows").filter("_starts > 0"), "mix-taken")
-    once = docs.withColumn("_text_key", F.xxhash64(text_of()))
+    once = framed(docs, ["doc_id"])
     if not found.filter("_rows > 1").isEmpty():
-        once = once.dropDuplicates(["doc_id", "_text_key"])
-    met = once.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_starts").cast("int")))).select(*docs.columns)
+        once = once.dropDuplicates(["doc_id", "row_key"])
+    met = once.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")))
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("_starts").cast("int")))).select("row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import let, materialize, text_of, words_of
+from foliant.llm.common import framed, let, materialize, text_of, words_of
 
 # Fixed lists of common words by language code; any other language is judged by its characters alone.
 COMMON_WORDS = {
@@ -86,7 +86,8 @@ def js_distance(p: Column, q: Column) -> Column:
         part = lambda x: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
         return (part(a) + part(b)) / 2
 
-    return F.sqrt(F.greatest(_sum(F.zip_with(share(p), share(q), term), "double"), F.lit(0.0)))
+    total = _sum(F.zip_with(share(p), share(q), term), "double")
+    return F.sqrt(F.when(total < 0, 0.0).otherwise(total))
 
 
 def judge(docs: DataFrame, min_words: int = 20, min_common_words: int = 100, max_chars: float = 0.12, noise: float = 0.8, max_common: float = 0.6, max_trim: float = 0.2) -> DataFrame:
@@ -124,4 +125,4 @@ def op5_quality(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that judge keeps, with all their columns."""
     bad = materialize(judge(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct(), "quality-rejected")
-    return docs.join(bad, docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(text_of()) == F.col("_key")), "left_anti")
+    return framed(docs, ["doc_id"]).join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left_anti").select("row.*")

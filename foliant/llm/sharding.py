@@ -79,7 +79,8 @@ def shard_rows(docs: DataFrame, shards: int = 8, size: Column | None = None, che
     equal in doc_id and checksum and are ranked in any order; an empty table gives no rows; other columns
     stay, but for shard and slot, which are replaced.
     """
-    rows = docs.withColumn("_size", text_size() if size is None else size).withColumn("_crc", text_checksum() if checksum is None else checksum)
+    kept = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c not in ("shard", "slot")]
+    rows = docs.select(F.struct(*kept).alias("row"), "doc_id", "lang", "source", (text_size() if size is None else size).alias("_size"), (text_checksum() if checksum is None else checksum).alias("_crc"))
     rows = rows.withColumn("_cell", cell_of()).withColumn("_mix", F.xxhash64("doc_id", "_crc"))
     narrow = materialize(rows.select("_cell", "_mix"), "shard-cells")
     parts = narrow.groupBy("_cell").agg(F.ceil(F.count("*") / RANKED).alias("_parts"))
@@ -101,7 +102,7 @@ def shard_rows(docs: DataFrame, shards: int = 8, size: Column | None = None, che
     rank = F.col("_start") + F.col("_row")
     ranked = ranked.withColumn("_rank", rank).withColumn("shard", F.expr(f"CAST(_rank * {shards} DIV _all AS INT)"))
     ranked = ranked.withColumn("slot", F.expr(f"_rank - (CAST(shard AS LONG) * _all + {shards - 1}) DIV {shards}"))
-    return ranked.select(*[c for c in docs.columns if c not in ("shard", "slot")], "shard", "slot")
+    return ranked.select("row.*", "shard", "slot")
 
 
 def op8_sharding(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import components, materialize, text_of
+from foliant.llm.common import components, framed, materialize, text_of
 
 #: Fingerprints in one shard tree; with 8 bytes each this bounds what a task holds.
 TREE = 4096
@@ -155,6 +155,7 @@ def deduplicate(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame
     nameless = F.when(F.col("component_id").isNull(), F.col("row_key"))
     keep = ranked.groupBy("component_id", nameless.alias("_own")).agg(F.min("row_key").alias("_key"), F.count("*").alias("_rows"))
     keep = materialize(keep.select(F.col("component_id").alias("_id"), "_key", "_rows"), "simhash-keep")
-    text = F.xxhash64(text_of())
-    kept = docs.join(keep, docs.doc_id.eqNullSafe(F.col("_id")) & (text == F.col("_key")), "left_semi")
-    return kept if keep.filter("_rows > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    kept = framed(docs, ["doc_id"]).join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left_semi")
+    if not keep.filter("_rows > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "row_key"])
+    return kept.select("row.*")
