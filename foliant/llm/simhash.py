@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import components, framed, materialize, text_of
+from foliant.llm.common import components, framed, let, materialize, text_of, words_of
 
 #: Fingerprints in one shard tree; with 8 bytes each this bounds what a task holds.
 TREE = 4096
@@ -145,16 +145,91 @@ def op4_simhash(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
+def word_fingerprints(text: Column, families: int = 4) -> Column:
+    """SimHashes of a text's distinct words, lower-cased in A-Z, as an array of signed longs: one for each family of hashes."""
+
+    @F.pandas_udf("array<long>")
+    def prints(raw: pd.Series) -> pd.Series:
+        import xxhash
+
+        out = []
+        for data in raw:
+            words = set(data.lower().split())
+            hashes = np.array([xxhash.xxh64_intdigest(w, 0) for w in words], dtype="<u8")
+            own = []
+            for family in range(families):
+                mixed = hashes * np.uint64(0x9E3779B97F4A7C15 + 2 * family) ^ (hashes >> np.uint64(31 - family))
+                mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                mixed ^= mixed >> np.uint64(32)
+                bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                own.append(np.packbits(bits * 2 > len(words), bitorder="little").view("<i8")[0])
+            out.append(own)
+        return pd.Series(out)
+
+    return prints(text.cast("binary"))
+
+
+def shingle_hashes(text: Column, width: int = 5) -> Column:
+    """The distinct hashes of a text's word shingles, as an array; a text of fewer words is one shingle, one without words has none."""
+
+    def of(words: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(words) - width + 1, F.lit(1)))
+        return F.when(F.size(words) > 0, F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice(words, i, width))))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(words_of(F.lower(text)), of)
+
+
+def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = 3, families: int = 4, rounds: int = 16) -> DataFrame:
+    """Texts to drop as copies of others: row_key (hash of the text), leader_key, jaccard.
+
+    Candidates are texts whose distinct words' SimHashes are at most radius bits apart in one of the families, found in the
+    shard trees; their components are then gone through by exact Jaccard similarity of word shingles. In each round the text with the
+    smallest doc_id of a component leads and takes those that are at least as similar to it as asked; the others
+    go on to the next round. What is left after the last round is kept. Texts without words are not compared.
+    """
+    rows = docs.select("doc_id", text_of().alias("_text")).filter(F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
+    prints = rows.select("doc_id", F.xxhash64("_text").alias("row_key"), word_fingerprints(F.col("_text"), families).alias("fps"))
+    texts = materialize(prints.groupBy("row_key").agg(F.min("doc_id").alias("first"), F.first("fps").alias("fps")), "similar-texts")
+    edges = None
+    for k in range(families):
+        of = materialize(texts.groupBy(F.get("fps", F.lit(k)).alias("fp")).agg(F.min("row_key").alias("rep"), F.count("*").alias("n")), "similar-prints")
+        met = near_edges(of, radius).join(of.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b").select("x", "y")
+        shared = texts.join(of.filter("n > 1"), F.get("fps", F.lit(k)) == F.col("fp")).select(F.col("row_key").alias("x"), F.col("rep").alias("y"))
+        both = met.union(shared)
+        edges = both if edges is None else edges.union(both)
+    groups = materialize(components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("row_key"), "root"), "similar-groups")
+    wanted = texts.select("row_key", "first").join(groups, "row_key")
+    found = rows.withColumn("row_key", F.xxhash64("_text")).select("row_key", "_text").join(wanted, "row_key").dropDuplicates(["row_key"])
+    alive = materialize(found.select("row_key", "root", F.struct(F.col("first").isNull(), F.col("first"), F.col("row_key")).alias("place"), shingle_hashes(F.col("_text"), width).alias("grams")), "similar-grams")
+    taken = None
+    for _ in range(rounds):
+        leaders = alive.groupBy("root").agg(F.min_by(F.struct("row_key", "grams"), "place").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("root", "leader")
+        compared = alive.join(leaders, "root").filter(F.col("row_key") != F.col("leader.row_key"))
+        common = F.size(F.array_intersect("grams", "leader.grams"))
+        scored = materialize(compared.select("row_key", "root", "place", "grams", F.col("leader.row_key").alias("leader_key"), (common / (F.size("grams") + F.size("leader.grams") - common)).alias("jaccard")), "similar-round")
+        hit = scored.filter(F.col("jaccard") >= similarity).select("row_key", "leader_key", "jaccard")
+        taken = hit if taken is None else taken.union(hit)
+        alive = scored.filter(F.col("jaccard") < similarity).select("row_key", "root", "place", "grams")
+        if alive.isEmpty():
+            break
+    return taken
+
+
+def deduplicate(docs: DataFrame, radius: int = 2, shingle: int = 3, similarity: float | None = None, width: int = 5) -> DataFrame:
     """The documents, one of each component: the row with the smallest id; of rows with the same id and text, one.
 
-    Where all ids of a component are null, one row of each text stays.
+    With a similarity, rows whose texts similar_texts takes as copies go too; since a row always goes in favour of a smaller id, of each group
+    one stays. Where all ids of a component are null, one row of each text stays. All columns stay.
     """
     found = near_duplicates(docs, radius, shingle)
     ranked = materialize(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("component_id", "row_key"), "simhash-first")
     nameless = F.when(F.col("component_id").isNull(), F.col("row_key"))
     keep = ranked.groupBy("component_id", nameless.alias("_own")).agg(F.min("row_key").alias("_key"), F.count("*").alias("_rows"))
-    keep = materialize(keep.select(F.col("component_id").alias("_id"), "_key", "_rows"), "simhash-keep")
+    keep = keep.select(F.col("component_id").alias("_id"), "_key", "_rows")
+    if similarity is not None:
+        gone = similar_texts(docs, similarity, width).select(F.col("row_key").alias("_gone"))
+        keep = keep.join(gone, F.col("_key") == F.col("_gone"), "left_anti")
+    keep = materialize(keep, "simhash-keep")
     kept = framed(docs, ["doc_id"]).join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left_semi")
     if not keep.filter("_rows > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "row_key"])

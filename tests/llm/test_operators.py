@@ -192,6 +192,20 @@ def test_deduplicate(odd):
     assert sorted(k for k in kept if k is not None) == sorted(g for g in groups if g is not None)
 
 
+def test_similar_texts(spark):
+    words = [f"w{i}" for i in range(200)]
+    texts = [words, words[:100] + ["new"] + words[101:], words[:50] + ["x"] * 60 + words[110:], words + ["tail"], [f"v{i}" for i in range(200)], [], []]
+    docs = spark.createDataFrame([(9 - i, " ".join(t)) for i, t in enumerate(texts)] + [(None, " ".join(words))], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(docs, similarity=0.8).collect()) == [3, 5, 6, 7]
+    assert simhash.similar_texts(docs.limit(0)).count() == 0
+
+
+def test_similar_texts_are_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = simhash.similar_texts(docs).toPandas()
+    assert (found["jaccard"] >= 0.8).all() and len(found) >= 38
+
+
 # op5
 
 
