@@ -332,11 +332,10 @@ def watch_summary(spark, sf_dir):
     return folders.watch_summary(table(spark, sf_dir, "orders").select(F.expr("CASE o_orderstatus WHEN 'O' THEN 'importing' WHEN 'F' THEN 'watching' ELSE 'paused' END").alias("status")))
 
 
-@query("natural_order", "SELECT c_custkey, row_number() OVER (ORDER BY c_nationkey % 3, c_custkey) AS position FROM customer")
+@query("natural_order", "SELECT c_custkey, concat('folder ', lpad(CAST(c_nationkey % 3 AS STRING), 20, '0'), ' item ', lpad(CAST(c_custkey AS STRING), 20, '0')) AS sort_key FROM customer")
 def natural_order(spark, sf_dir):
     name = F.concat(F.lit("Folder "), F.expr("c_nationkey % 3"), F.lit(" item "), F.col("c_custkey"))
-    ranked = table(spark, sf_dir, "customer").withColumn("k", tx.natural_key(name))
-    return ranked.select("c_custkey", F.row_number().over(Window.orderBy("k")).alias("position"))
+    return table(spark, sf_dir, "customer").select("c_custkey", tx.natural_key(name).alias("sort_key"))
 
 
 # Changes and liveness.
@@ -490,10 +489,9 @@ def heading_sections(spark, sf_dir):
     return documents.sections(_lines(spark, sf_dir).withColumn("is_heading", F.length("line") < 40), "doc_id").select("doc_id", "section", "pos")
 
 
-@query("seeded_ids", "SELECT doc_id, substring(sha256(concat('seed:', row_number() OVER (PARTITION BY source ORDER BY doc_id))), 1, 8) AS widget_id FROM documents")
+@query("seeded_ids", "SELECT doc_id, substring(sha256(concat(source, ':', doc_id)), 1, 8) AS widget_id FROM documents")
 def seeded_ids(spark, sf_dir):
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, sf_dir, "documents").select("doc_id", tx.short_id(F.lit("seed"), n).alias("widget_id"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.short_id(F.col("source"), F.col("doc_id")).alias("widget_id"))
 
 
 @query("partial_flushes", "WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) SELECT doc_id, CAST(pos AS INT) AS pos FROM l QUALIFY pos % 20 = 0 OR pos = max(pos) OVER (PARTITION BY doc_id)")

@@ -69,11 +69,18 @@ def rate_limited(calls: DataFrame, group: str = "ip") -> DataFrame:
     Users and addresses are coupled, so a group is a connected set of them; by default each address with its users.
     """
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "call_id"])
-        return rows.assign(accepted=limit_calls(rows, {}))
-
-    return calls.groupBy(group).applyInPandas(one, "call_id long, user string, ip string, at double, accepted boolean")
+    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[str, str], tuple[int, float]] = {}
+        last: Any = None
+        for batch in batches:  # sorted by group and time: counts are held for one group at a time
+            for name, rows in batch.groupby("_group", sort=False, dropna=False):
+                if name != last:
+                    held.clear()
+                    last = name
+                yield rows.drop(columns="_group").assign(accepted=limit_calls(rows, held))
+
+    dealt = calls.withColumn("_group", F.col(group)).repartition("_group").sortWithinPartitions("_group", "at", "call_id")
+    return dealt.select("call_id", "user", "ip", "at", "_group").mapInPandas(one, "call_id long, user string, ip string, at double, accepted boolean")
 
 
 def stale_sources(heartbeats: DataFrame, seconds: int = 600) -> DataFrame:
