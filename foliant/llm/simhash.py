@@ -43,7 +43,7 @@ def fingerprint(text: Column, shingle: int = 3, seed: int = 42) -> Column:
     return simhash(text.cast("binary"))
 
 
-def shard_keys(fp: Column, radius: int) -> Column:
+def shard_keys(fp: Column, family: Column, radius: int) -> Column:
     """The shards in which a fingerprint is searched, as longs.
 
     With radius + 2 bands, two fingerprints within the radius agree in two bands at least, so that they
@@ -53,7 +53,7 @@ def shard_keys(fp: Column, radius: int) -> Column:
     edges = [64 * i // bands for i in range(bands + 1)]
     part = lambda i: F.shiftrightunsigned(fp, edges[i]).bitwiseAND((1 << (edges[i + 1] - edges[i])) - 1)
     pairs = list(combinations(range(bands), 2))
-    return F.array(*[F.xxhash64(F.lit(k), part(i), part(j)) for k, (i, j) in enumerate(pairs)])
+    return F.array(*[F.xxhash64(family, F.lit(k), part(i), part(j)) for k, (i, j) in enumerate(pairs)])
 
 
 class ShardTree:
@@ -97,28 +97,29 @@ def links(tree: np.ndarray, queries: np.ndarray | None, radius: int) -> tuple[np
 
 
 def near_edges(fingerprints: DataFrame, radius: int = 2) -> DataFrame:
-    """Edges (a, b) among distinct fingerprints (fp long), whose components are those of all links within the radius.
+    """Edges (family, a, b) among distinct fingerprints (fp long, and family where there are several), whose components are those of all links within the radius.
 
     Each shard is cut into blocks of TREE fingerprints; every block's tree is searched by the block itself
     and by the blocks after it.
     """
-    keyed = fingerprints.select("fp", F.explode(shard_keys(F.col("fp"), radius)).alias("shard"))
+    family = F.col("family") if "family" in fingerprints.columns else F.lit(0).alias("family")
+    keyed = fingerprints.select("fp", family).select("fp", "family", F.explode(shard_keys(F.col("fp"), F.col("family"), radius)).alias("shard"))
     shared = keyed.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
     members = keyed.join(shared, "shard").withColumn("block", F.pmod(F.xxhash64("fp", F.lit("block")), F.ceil(F.col("n") / TREE)))
-    blocks = materialize(members.groupBy("shard", "block").agg(F.collect_list("fp").alias("tree"), F.first("n").alias("n")), "simhash-blocks")
-    one = blocks.select("tree", F.lit(None).cast("array<long>").alias("queries"))
+    blocks = materialize(members.groupBy("shard", "block").agg(F.collect_list("fp").alias("tree"), F.first("n").alias("n"), F.first("family").alias("family")), "simhash-blocks")
+    one = blocks.select("family", "tree", F.lit(None).cast("array<long>").alias("queries"))
     large = blocks.filter(F.col("n") > TREE)
     right = large.select(F.col("shard").alias("s"), F.col("block").alias("k"), F.col("tree").alias("queries"))
-    two = large.join(right, (F.col("shard") == F.col("s")) & (F.col("block") < F.col("k"))).select("tree", "queries")
+    two = large.join(right, (F.col("shard") == F.col("s")) & (F.col("block") < F.col("k"))).select("family", "tree", "queries")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [links(np.asarray(t, dtype=np.int64).view(np.uint64), None if q is None else np.asarray(q, dtype=np.int64).view(np.uint64), radius) for t, q in zip(batch["tree"], batch["queries"], strict=True)]
             if found:
                 a, b = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
-                yield pd.DataFrame({"a": a, "b": b})
+                yield pd.DataFrame({"family": np.repeat(batch["family"].to_numpy(), [len(x[0]) for x in found]), "a": a, "b": b})
 
-    return one.unionByName(two).mapInPandas(search, "a long, b long")
+    return one.unionByName(two).mapInPandas(search, "family int, a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
@@ -190,16 +191,17 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, radi
     rows = docs.select("doc_id", text_of().alias("_text")).filter(F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
     prints = rows.select("doc_id", F.xxhash64("_text").alias("row_key"), word_fingerprints(F.col("_text"), families).alias("fps"))
     texts = materialize(prints.groupBy("row_key").agg(F.min("doc_id").alias("first"), F.first("fps").alias("fps")), "similar-texts")
-    edges = None
-    for k in range(families):
-        of = materialize(texts.groupBy(F.get("fps", F.lit(k)).alias("fp")).agg(F.min("row_key").alias("rep"), F.count("*").alias("n")), "similar-prints")
-        met = near_edges(of, radius).join(of.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b").select("x", "y")
-        shared = texts.join(of.filter("n > 1"), F.get("fps", F.lit(k)) == F.col("fp")).select(F.col("row_key").alias("x"), F.col("rep").alias("y"))
-        both = met.union(shared)
-        edges = both if edges is None else edges.union(both)
+    each = texts.select("row_key", F.posexplode("fps").alias("family", "fp"))
+    of = materialize(each.groupBy("family", "fp").agg(F.min("row_key").alias("rep"), F.count("*").alias("n")), "similar-prints")
+    side = lambda c, rep: of.select("family", F.col("fp").alias(c), F.col("rep").alias(rep))
+    met = near_edges(of, radius).join(side("a", "x"), ["family", "a"]).join(side("b", "y"), ["family", "b"]).select("x", "y")
+    shared = each.join(of.filter("n > 1"), ["family", "fp"]).select(F.col("row_key").alias("x"), F.col("rep").alias("y"))
+    edges = met.union(shared)
     groups = materialize(components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("row_key"), "root"), "similar-groups")
-    wanted = texts.select("row_key", "first").join(groups, "row_key")
-    found = rows.withColumn("row_key", F.xxhash64("_text")).select("row_key", "_text").join(wanted, "row_key").dropDuplicates(["row_key"])
+    wanted = texts.select("row_key", "first").join(groups, "row_key").withColumnRenamed("row_key", "_key")
+    # met by id too, so that the copies of a text are dealt out
+    met = (F.xxhash64("_text") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("first"))
+    found = rows.join(wanted, met).withColumnRenamed("_key", "row_key").dropDuplicates(["row_key"])
     alive = materialize(found.select("row_key", "root", F.struct(F.col("first").isNull(), F.col("first"), F.col("row_key")).alias("place"), shingle_hashes(F.col("_text"), width).alias("grams")), "similar-grams")
     taken = None
     for _ in range(rounds):
