@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.common import components, framed, let, materialize, text_of, words_of
@@ -179,13 +179,39 @@ def shingle_hashes(text: Column, width: int = 5) -> Column:
     return let(words_of(F.lower(text)), of)
 
 
-def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = 3, families: int = 4, rounds: int = 16) -> DataFrame:
+def alike(texts: DataFrame, similarity: float) -> DataFrame:
+    """Of texts (row_key, root, place, grams), those similar to one of the same root with a smaller place: row_key, leader_key, jaccard.
+
+    Each is looked up by its rarest shingles alone: if two are similar, a shingle is among the rarest n - ceil(similarity * n) + 1
+    of both, in one order by count. A shingle of one text only leads nowhere, so a text with many of its own is met by no other; and two
+    that meet can't have more in common than their places in that order allow.
+    """
+    seen = texts.select("root", "row_key", "place", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    counts = seen.groupBy("root", "gram").agg(F.count("*").alias("held")).filter("held > 1")
+    own = Window.partitionBy("row_key")
+    ranked = seen.join(counts, ["root", "gram"]).withColumn("rank", F.row_number().over(own.orderBy("held", "gram"))).withColumn("shared", F.count("*").over(own))
+    rarest = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1
+    first = materialize(ranked.filter(F.col("rank") + F.col("n") - F.col("shared") <= rarest).select("root", "gram", "row_key", "place", "n", "rank", "shared"), "similar-rarest")
+    other = first.select("root", "gram", *[F.col(c).alias(f"leader_{c}") for c in ("row_key", "place", "n", "rank", "shared")]).withColumnRenamed("leader_row_key", "leader_key")
+    most = F.least("rank", "leader_rank") + F.least(F.col("shared") - F.col("rank"), F.col("leader_shared") - F.col("leader_rank"))
+    enough = most >= similarity / (1 + similarity) * (F.col("n") + F.col("leader_n")) - 1e-9
+    pairs = first.join(other, ["root", "gram"]).filter((F.col("place") > F.col("leader_place")) & enough)
+    pairs = pairs.select("row_key", "leader_key").distinct().join(texts.select("row_key", "grams"), "row_key")
+    pairs = pairs.join(texts.select(F.col("row_key").alias("leader_key"), F.col("grams").alias("leader_grams")), "leader_key")
+    common = F.size(F.array_intersect("grams", "leader_grams"))
+    scored = pairs.select("row_key", "leader_key", (common / (F.size("grams") + F.size("leader_grams") - common)).alias("jaccard"))
+    best = scored.filter(F.col("jaccard") >= similarity).groupBy("row_key").agg(F.max(F.struct("jaccard", "leader_key")).alias("best"))
+    return best.select("row_key", "best.leader_key", "best.jaccard")
+
+
+def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = 3, families: int = 4, rounds: int = 3) -> DataFrame:
     """Texts to drop as copies of others: row_key (hash of the text), leader_key, jaccard.
 
     Candidates are texts whose distinct words' SimHashes are at most radius bits apart in one of the families, found in the
-    shard trees; their components are then gone through by exact Jaccard similarity of word shingles. In each round the text with the
-    smallest doc_id of a component leads and takes those that are at least as similar to it as asked; the others
-    go on to the next round. What is left after the last round is kept. Texts without words are not compared.
+    shard trees; their components are then gone through by exact Jaccard similarity of word shingles. In each of some rounds the text
+    with the smallest doc_id of a component leads and takes those that are at least as similar to it as asked, which
+    clears large groups of copies; the others meet at last at their rarest shingles, and each that is as similar to one with a smaller
+    doc_id goes. No pair of a component is left out. Texts without words are not compared.
     """
     rows = docs.select("doc_id", text_of().alias("_text")).filter(F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
     prints = rows.select("doc_id", F.xxhash64("_text").alias("row_key"), word_fingerprints(F.col("_text"), families).alias("fps"))
@@ -198,8 +224,9 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, radi
         both = met.union(shared)
         edges = both if edges is None else edges.union(both)
     groups = materialize(components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("row_key"), "root"), "similar-groups")
-    wanted = texts.select("row_key", "first").join(groups, "row_key")
-    found = rows.withColumn("row_key", F.xxhash64("_text")).select("row_key", "_text").join(wanted, "row_key").dropDuplicates(["row_key"])
+    # one row of each text, met by id too: so the copies of a text are dealt out
+    wanted = texts.join(groups, "row_key").select("row_key", F.xxhash64("first").alias("id_key"), "first", "root")
+    found = rows.select(F.xxhash64("_text").alias("row_key"), F.xxhash64("doc_id").alias("id_key"), "_text").join(wanted, ["row_key", "id_key"]).dropDuplicates(["row_key", "id_key"])
     alive = materialize(found.select("row_key", "root", F.struct(F.col("first").isNull(), F.col("first"), F.col("row_key")).alias("place"), shingle_hashes(F.col("_text"), width).alias("grams")), "similar-grams")
     taken = None
     for _ in range(rounds):
@@ -210,9 +237,7 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, radi
         hit = scored.filter(F.col("jaccard") >= similarity).select("row_key", "leader_key", "jaccard")
         taken = hit if taken is None else taken.union(hit)
         alive = scored.filter(F.col("jaccard") < similarity).select("row_key", "root", "place", "grams")
-        if alive.isEmpty():
-            break
-    return taken
+    return taken.union(alike(alive, similarity))
 
 
 def deduplicate(docs: DataFrame, radius: int = 2, shingle: int = 3, similarity: float | None = None, width: int = 5) -> DataFrame:
