@@ -231,6 +231,7 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, radi
     taken = None
     for _ in range(rounds):
         leaders = alive.groupBy("root").agg(F.min_by(F.struct("row_key", "grams"), "place").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("root", "leader")
+        leaders = materialize(leaders, "similar-leaders")  # so that a join with a large component can be split
         compared = alive.join(leaders, "root").filter(F.col("row_key") != F.col("leader.row_key"))
         common = F.size(F.array_intersect("grams", "leader.grams"))
         scored = materialize(compared.select("row_key", "root", "place", "grams", F.col("leader.row_key").alias("leader_key"), (common / (F.size("grams") + F.size("leader.grams") - common)).alias("jaccard")), "similar-round")
