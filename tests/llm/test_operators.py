@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -200,6 +201,16 @@ def test_similar_texts(spark):
     assert simhash.similar_texts(docs.limit(0)).count() == 0
 
 
+def test_alike(spark):
+    draw = random.Random(5)
+    rows = [(k, k % 2, (False, 100 - k, k), draw.sample(range(30), draw.randint(1, 5)) + list(range(40, 40 + draw.randint(0, 25)))) for k in range(60)]
+    texts = spark.createDataFrame(rows, "row_key long, root long, place struct<a: boolean, b: long, c: long>, grams array<long>")
+    near = lambda x, y: 5 * len(set(x) & set(y)) >= 4 * len(set(x) | set(y))
+    want = {x[0] for x in rows for y in rows if x[1] == y[1] and y[2] < x[2] and near(x[3], y[3])}
+    found = simhash.alike(texts, 0.8).collect()
+    assert sorted(r["row_key"] for r in found) == sorted(want) and 0 < len(want) < 60
+
+
 def test_similar_texts_are_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     found = simhash.similar_texts(docs).toPandas()
