@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -10,10 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import components, framed, let, materialize, text_of, words_of
+from foliant.llm.common import components, framed, let, materialize, small_batches, text_of, words_of
 
 #: Fingerprints in one shard tree; with 8 bytes each this bounds what a task holds.
 TREE = 4096
+#: Texts, at the least, in which the commonest shingles are counted, and how many of these come last in the order of all; both touch the speed alone.
+COUNTED, COMMONEST = 20_000, 100_000
+#: Texts of one shingle that a task of a join compares with all the others of it.
+SALTED = 1_000
 
 
 def fingerprint(text: Column, shingle: int = 3, seed: int = 42) -> Column:
@@ -204,30 +208,107 @@ def alike(texts: DataFrame, similarity: float) -> DataFrame:
     return best.select("row_key", "best.leader_key", "best.jaccard")
 
 
+def commonest(rows: DataFrame, size: int, width: int) -> np.ndarray:
+    """The commonest shingles of rows (row_key, _text), the rarer first, as counted in a sample of the texts by hash."""
+    some = rows.filter(F.pmod("row_key", F.lit(max(1, size // COUNTED))) == 0).dropDuplicates(["row_key"])
+    counts = some.select(F.explode(shingle_hashes(F.col("_text"), width)).alias("gram")).groupBy("gram").agg(F.count("*").alias("held")).filter("held > 3")
+    found = counts.orderBy(F.desc("held"), "gram").limit(COMMONEST).select("gram").toPandas()
+    return found["gram"].to_numpy(dtype=np.int64)[::-1]
+
+
+def first_shingles(grams: Column, last: np.ndarray, similarity: float) -> Column:
+    """The first n - ceil(similarity * n) + 1 of n distinct shingles, in one order for all texts: by hash, those of last at the end.
+
+    Two texts that are similar have one of these in common, whatever the order is.
+    """
+    order = np.argsort(last)
+    known = last[order]
+
+    @F.pandas_udf("array<long>")
+    def first(all_grams: pd.Series) -> pd.Series:
+        out = []
+        for own in all_grams:
+            own = np.asarray(own, dtype=np.int64)
+            late = np.zeros(len(own), dtype=np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                late = np.where(known[at] == own, order[at] + 1, 0)
+            out.append(own[np.lexsort((own, late))][: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1])
+        return pd.Series(out, dtype=object)
+
+    return first(grams)
+
+
+def alike_anywhere(texts: DataFrame, grams_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """Of texts (row_key, place, n, firsts), those similar to one with a smaller place: row_key, leader_key, jaccard.
+
+    firsts: their first_shingles; grams_of(row_key) looks up all shingles of some texts. Texts meet at the first shingles that they share. Those
+    similar to the text with the smallest place at one of theirs go at once, which clears large groups; of the others all pairs are looked at. Where they have
+    c first shingles in common, they have at most c + what follows the first ones of the longer in common, and at each no more than their places allow.
+    """
+    seen = texts.select("row_key", "place", "n", F.size("firsts").alias("p"), F.posexplode("firsts").alias("rank", "gram"))
+    counts = seen.groupBy("gram").agg(F.count("*").alias("held")).filter("held > 1").select("gram")
+    met = materialize(seen.join(counts, "gram"), "similar-met")
+    fields = ("row_key", "place", "n", "p", "rank")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        total = F.col("n") + F.col("leader_n")
+        asked = similarity / (1 + similarity) * total - 1e-9
+        most = F.least("rank", "leader_rank") + F.least(F.col("n") - F.col("rank"), F.col("leader_n") - F.col("leader_rank"))
+        kept = pairs.filter((F.col("place") > F.col("leader_place")) & (most >= asked)).groupBy("row_key", "leader_row_key", "n", "p", "leader_n", "leader_p").agg(F.count("*").alias("c"))
+        kept = kept.filter(F.col("c") + F.greatest(F.col("n") - F.col("p"), F.col("leader_n") - F.col("leader_p")) >= asked)
+        kept = materialize(kept.select("row_key", F.col("leader_row_key").alias("leader_key")), "similar-pairs")
+        grams = materialize(grams_of(kept.select("row_key").union(kept.select("leader_key")).distinct()), "similar-pair-grams")
+        both = kept.join(grams, "row_key").join(grams.select(F.col("row_key").alias("leader_key"), F.col("grams").alias("leader_grams")), "leader_key")
+        common = F.size(F.array_intersect("grams", "leader_grams"))
+        scored = both.select("row_key", "leader_key", (common / (F.size("grams") + F.size("leader_grams") - common)).alias("jaccard"))
+        best = scored.filter(F.col("jaccard") >= similarity).groupBy("row_key").agg(F.max(F.struct("jaccard", "leader_key")).alias("best"))
+        return materialize(best.select("row_key", "best.leader_key", "best.jaccard"), "similar-found")
+
+    leader = lambda value: [value(c).alias(f"leader_{c}") for c in fields]
+    least = materialize(met.groupBy("gram").agg(F.min(F.struct("place", "row_key", "n", "p", "rank")).alias("l")).select("gram", *leader(lambda c: F.col(f"l.{c}"))), "similar-least")
+    taken = verified(met.join(least, "gram"))
+    rest = met.join(taken.select("row_key"), "row_key", "left_anti")
+    sized = rest.groupBy("gram").agg(F.count("*").alias("held")).filter("held > 1").select("gram", F.ceil(F.col("held") / SALTED).alias("parts"))
+    rest = materialize(rest.join(sized, "gram"), "similar-rest")
+    left = rest.withColumn("part", F.pmod("row_key", F.col("parts"))).drop("parts")
+    right = rest.select("gram", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), *leader(F.col))
+    return taken.union(verified(left.join(right, ["gram", "part"])))
+
+
 def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = 3, families: int = 4, rounds: int = 3) -> DataFrame:
-    """Texts to drop as copies of others: row_key (hash of the text), leader_key, jaccard.
+    """Texts to drop as copies of others: row_key (hash of the text), leader_key, jaccard. Of every two similar texts one goes at least.
 
-    Candidates are texts whose distinct words' SimHashes are at most radius bits apart in one of the families, found in the
-    shard trees; their components are then gone through by exact Jaccard similarity of word shingles. In each of some rounds the text
+    Texts whose distinct words' SimHashes are at most radius bits apart in one of the families are found in the
+    shard trees; their components are gone through by exact Jaccard similarity of word shingles. In each of some rounds the text
     with the smallest doc_id of a component leads and takes those that are at least as similar to it as asked, which
-    clears large groups of copies; the others meet at last at their rarest shingles, and each that is as similar to one with a smaller
-    doc_id goes. No pair of a component is left out. Texts without words are not compared.
+    clears large groups of copies; the others of a component meet at their rarest shingles, and each that is as similar to one with a smaller
+    doc_id goes. At last all texts that are left, of whatever component or none, meet at their first shingles in one order, so that
+    texts with passages added or cut, whose SimHashes are far apart, are found as well. Texts without words are not compared.
     """
-    rows = docs.select("doc_id", text_of().alias("_text")).filter(F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
-    prints = rows.select("doc_id", F.xxhash64("_text").alias("row_key"), word_fingerprints(F.col("_text"), families).alias("fps"))
-    texts = materialize(prints.groupBy("row_key").agg(F.min("doc_id").alias("first"), F.first("fps").alias("fps")), "similar-texts")
+    rows = docs.select("doc_id", text_of().alias("_text")).filter(F.col("_text").rlike(r"[^\x20\x09-\x0D]")).withColumn("row_key", F.xxhash64("_text"))
+    last = commonest(rows, docs.count(), width)
+    grams = rows.select("doc_id", "row_key", word_fingerprints(F.col("_text"), families).alias("fps"), shingle_hashes(F.col("_text"), width).alias("grams"))
+    with small_batches(docs.sparkSession):
+        prints = materialize(grams.select("doc_id", "row_key", "fps", F.size("grams").alias("n"), first_shingles(F.col("grams"), last, similarity).alias("firsts")), "similar-prints-of-rows")
+    least = prints.groupBy("row_key").agg(F.min("doc_id").alias("first"), F.first("fps").alias("fps"), F.first("n").alias("n"), F.first("firsts").alias("firsts"))
+    texts = materialize(least.withColumn("place", F.struct(F.col("first").isNull(), F.col("first"), F.col("row_key"))), "similar-texts")
+
+    def grams_of(wanted: DataFrame) -> DataFrame:
+        # one row of each text, met by id too: so the copies of a text are dealt out
+        named = texts.join(wanted, "row_key").select("row_key", F.xxhash64("first").alias("id_key"), "place", *[c for c in wanted.columns if c != "row_key"])
+        found = rows.select("row_key", F.xxhash64("doc_id").alias("id_key"), "_text").join(named, ["row_key", "id_key"]).dropDuplicates(["row_key", "id_key"])
+        return found.select(*wanted.columns, "place", shingle_hashes(F.col("_text"), width).alias("grams"))
+
     edges = None
     for k in range(families):
         of = materialize(texts.groupBy(F.get("fps", F.lit(k)).alias("fp")).agg(F.min("row_key").alias("rep"), F.count("*").alias("n")), "similar-prints")
         met = near_edges(of, radius).join(of.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b").select("x", "y")
-        shared = texts.join(of.filter("n > 1"), F.get("fps", F.lit(k)) == F.col("fp")).select(F.col("row_key").alias("x"), F.col("rep").alias("y"))
+        shared = texts.join(of.filter("n > 1").select("fp", "rep"), F.get("fps", F.lit(k)) == F.col("fp")).select(F.col("row_key").alias("x"), F.col("rep").alias("y"))
         both = met.union(shared)
         edges = both if edges is None else edges.union(both)
     groups = materialize(components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("row_key"), "root"), "similar-groups")
-    # one row of each text, met by id too: so the copies of a text are dealt out
-    wanted = texts.join(groups, "row_key").select("row_key", F.xxhash64("first").alias("id_key"), "first", "root")
-    found = rows.select(F.xxhash64("_text").alias("row_key"), F.xxhash64("doc_id").alias("id_key"), "_text").join(wanted, ["row_key", "id_key"]).dropDuplicates(["row_key", "id_key"])
-    alive = materialize(found.select("row_key", "root", F.struct(F.col("first").isNull(), F.col("first"), F.col("row_key")).alias("place"), shingle_hashes(F.col("_text"), width).alias("grams")), "similar-grams")
+    alive = materialize(grams_of(groups), "similar-grams")
     taken = None
     for _ in range(rounds):
         leaders = alive.groupBy("root").agg(F.min_by(F.struct("row_key", "grams"), "place").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("root", "leader")
@@ -238,7 +319,9 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, radi
         hit = scored.filter(F.col("jaccard") >= similarity).select("row_key", "leader_key", "jaccard")
         taken = hit if taken is None else taken.union(hit)
         alive = scored.filter(F.col("jaccard") < similarity).select("row_key", "root", "place", "grams")
-    return taken.union(alike(alive, similarity))
+    taken = materialize(taken.union(alike(alive, similarity)), "similar-taken")
+    left = texts.join(taken.select("row_key").distinct(), "row_key", "left_anti").select("row_key", "place", "n", "firsts")
+    return taken.union(alike_anywhere(left, grams_of, similarity))
 
 
 def deduplicate(docs: DataFrame, radius: int = 2, shingle: int = 3, similarity: float | None = None, width: int = 5) -> DataFrame:

@@ -217,6 +217,38 @@ def test_similar_texts_are_found(spark):
     assert (found["jaccard"] >= 0.8).all() and len(found) >= 38
 
 
+def copies_with_passages(draw, n_texts=30):
+    """Texts with copies that have a passage added, cut or put in, of 5 to 20 %; a passage in common that makes no copies."""
+    words = [f"w{int(draw.paretovariate(0.7)) % 5_000}" for _ in range(60_000)]
+    common, texts = words[:40], []
+    for k in range(n_texts):
+        size = draw.choice([30, 80, 200, 600])
+        own = words[1_000 + 700 * k :][:size]
+        own = own[: size // 3] + common * (k % 3 == 0) + own[size // 3 :]
+        texts.append(own)
+        for share in (0.05, 0.1, 0.15, 0.18, 0.2):
+            n = int(share * len(own))
+            new = [f"n{draw.randrange(10**6)}" for _ in range(n)]
+            at = draw.randrange(len(own))
+            texts += [own + new, own[: len(own) - n], own[:at] + new + own[at:], own[n:]]
+    return [" ".join(t) for t in texts]
+
+
+def test_similar_texts_with_passages_added_or_cut(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SALTED", 7)
+    draw = random.Random(8)
+    texts = list(dict.fromkeys(copies_with_passages(draw)))
+    draw.shuffle(texts)
+    shingles = [frozenset(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in texts]
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if 5 * len(shingles[i] & shingles[j]) >= 4 * len(shingles[i] | shingles[j])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = {r["k"]: r["doc_id"] for r in docs.select("doc_id", F.xxhash64("text").alias("k")).collect()}
+    found = {keys[r["row_key"]]: (keys[r["leader_key"]], r["jaccard"]) for r in simhash.similar_texts(docs).collect()}
+    assert len(pairs) > 300 and [p for p in pairs if not found.keys() & set(p)] == []
+    for a, (b, jaccard) in found.items():
+        assert b < a and math.isclose(jaccard, len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])) and jaccard >= 0.8
+
+
 # op5
 
 
