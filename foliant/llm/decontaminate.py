@@ -17,11 +17,13 @@ UNITS = ["mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "ms", "min", "h
 NAME = "\u0001"
 
 
-def templates(rows: DataFrame) -> DataFrame:
-    """Adds windows, an array of hashes of WINDOW canonical words, and slots, an array of (at, type, value), to rows with _text.
+def templates(rows: DataFrame, lengths: list[int] | None = None) -> DataFrame:
+    """Adds windows, an array of (at, hash, raw), slots, an array of (at, type, value), and n, the number of words, to rows with _text.
 
     A word is letters or a number. Numbers (type 1), capitalised words within a sentence (2) and units after
-    numbers (3) become typed placeholders, other words count in lower case.
+    numbers (3) become typed placeholders, other words count in lower case. Windows are of WINDOW canonical words; those with more
+    than half placeholders are given as raw too, hashed by their words. Raw windows of some lengths below WINDOW are added; without
+    lengths a text of fewer words has one, of its whole length.
     """
     marked = F.lower(F.regexp_replace("_text", r"(?<=[\p{Ll},;] )(?=\p{Lu})", NAME))
     tokens = F.regexp_extract_all(marked, F.lit(rf"{NAME}?[\p{{L}}\p{{M}}]+|\p{{N}}+(?:[.,]\p{{N}}+)*"), F.lit(0))
@@ -32,7 +34,8 @@ def templates(rows: DataFrame) -> DataFrame:
             unit = x.isin(UNITS) & F.coalesce(digit(F.get(ts, i - 1)), F.lit(False))
             return F.when(digit(x), 1).when(x.startswith(NAME), 2).when(unit, 3).otherwise(0)
 
-        return F.transform(ts, lambda x, i: F.struct(i.alias("at"), kind(x, i).alias("type"), F.xxhash64(x).alias("value")))
+        word = lambda x: F.xxhash64(F.when(x.startswith(NAME), F.substring(x, 2, 2**31 - 1)).otherwise(x))
+        return F.transform(ts, lambda x, i: F.struct(i.alias("at"), kind(x, i).alias("type"), F.xxhash64(x).alias("value"), word(x).alias("word")))
 
     def windows(hashes: Column) -> Column:
         n = F.size(hashes)
@@ -41,14 +44,36 @@ def templates(rows: DataFrame) -> DataFrame:
         c4 = let(c2, lambda c: F.zip_with(F.slice(c, 1, n - 3), F.slice(c, 3, n - 3), two))
         return let(c4, lambda c: F.zip_with(F.slice(c, 1, n - 7), F.slice(c, 5, n - 7), two))
 
+    def raw(ts: Column, at: Column, n: Column | int) -> Column:
+        words = F.transform(F.slice(ts, at + 1, n), lambda t: t.word)
+        return F.struct(at.alias("at"), F.xxhash64(F.lit("raw"), words).alias("hash"), F.lit(True).alias("raw"))
+
+    def dense(ts: Column, slots: Column) -> Column:
+        # the windows around each WINDOW // 2 + 1 placeholders in a row that one window holds
+        half, last = WINDOW // 2, F.size(ts) - WINDOW
+        ends = F.transform(slots, lambda s, k: F.struct(s.at.alias("first"), F.get(slots, k + half).at.alias("last")))
+        near = F.filter(ends, lambda e: e.last - e.first < WINDOW)
+        starts = F.transform(near, lambda e: F.sequence(F.greatest(e.last - (WINDOW - 1), F.lit(0)), e.first))
+        return F.transform(F.filter(F.array_distinct(F.flatten(starts)), lambda i: i <= last), lambda i: raw(ts, i, WINDOW))
+
+    def short(ts: Column) -> Column:
+        none = F.array().cast("array<struct<at: int, hash: bigint, raw: boolean>>")
+        if lengths is None:
+            return F.when((F.size(ts) > 0) & (F.size(ts) < WINDOW), F.array(raw(ts, F.lit(0), WINDOW - 1))).otherwise(none)
+        every = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size(ts) - n, F.lit(0))), lambda i: raw(ts, i, n))
+        found = [F.when(F.size(ts) >= n, every(n)).otherwise(none) for n in lengths]
+        return F.concat(none, *found)
+
     def both(ts: Column) -> Column:
         hashes = F.transform(ts, lambda t: F.when(t.type > 0, t.type.cast("bigint")).otherwise(t.value))
         whole = F.when(F.size(ts) >= WINDOW, let(hashes, windows)).otherwise(F.array().cast("array<bigint>"))
-        return F.struct(F.filter(ts, lambda t: t.type > 0).alias("slots"), whole.alias("windows"))
+        placed = F.transform(whole, lambda h, i: F.struct(i.alias("at"), h.alias("hash"), F.lit(False).alias("raw")))
+        slots = F.filter(ts, lambda t: t.type > 0)
+        return let(slots, lambda s: F.struct(F.transform(s, lambda t: t.dropFields("word")).alias("slots"), F.concat(placed, dense(ts, s), short(ts)).alias("windows"), F.size(ts).alias("n")))
 
     # bound by let, not by columns: a filter that Spark moves below would repeat a column's expression for each element
     found = let(let(tokens, typed), both)
-    return rows.withColumn("_found", found).select(*[c for c in rows.columns if c != "_text"], "_found.slots", "_found.windows")
+    return rows.withColumn("_found", found).select(*[c for c in rows.columns if c != "_text"], "_found.slots", "_found.windows", "_found.n")
 
 
 def _inside(at: Column) -> Column:
@@ -64,23 +89,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_windows: int = 6, mi
     A document holds an item if, at one alignment, min_windows of its windows match (13 words in a row, or more
     in pieces) or min_share of them, and the slots agree: each value of the item always stands for the same
     value of the document, and the reverse. same_values tells copies from re-parameterised items. Windows of the item
-    with more than half placeholders don't count; an item of fewer than WINDOW words has none and isn't found. Null and
+    with more than half placeholders match word for word only; an item of fewer than WINDOW words is one such window. Null and
     empty texts hold nothing; repeated rows and items with one id and text count once; other columns are ignored.
     """
     items = templates(benchmark.select("item_id", text_of().alias("_text")).distinct())
-    parts = items.select("item_id", "slots", F.posexplode("windows").alias("ipos", "hash")).select("item_id", "hash", "ipos", _inside(F.col("ipos")).alias("islots"))
-    parts = materialize(parts.filter(F.size("islots") <= WINDOW // 2), "benchmark-windows")
+    parts = items.select("item_id", "slots", "n", F.inline("windows")).withColumnRenamed("at", "ipos").select("item_id", "hash", "ipos", "raw", "n", _inside(F.col("ipos")).alias("islots"))
+    parts = parts.filter(F.col("raw") | (F.size("islots") <= WINDOW // 2))
+    parts = materialize(parts, "benchmark-windows")
+    lengths = [r["n"] for r in parts.filter(F.col("n") < WINDOW).select("n").distinct().orderBy("n").collect()]
     sizes = parts.groupBy("item_id").agg(F.countDistinct("ipos").alias("windows"))
     small = parts.count() <= BROADCAST_WINDOWS
-    right = F.broadcast(parts) if small else parts
+    right = F.broadcast(parts.drop("n")) if small else parts.drop("n")
     texts = docs.select("doc_id", text_of().alias("_text")).withColumn("row_key", F.xxhash64("_text"))
-    rows = templates(texts).select("doc_id", "row_key", "slots", F.posexplode_outer("windows").alias("pos", "hash"))
+    rows = templates(texts, lengths).select("doc_id", "row_key", "slots", F.inline_outer("windows")).select("doc_id", "row_key", "slots", F.col("at").alias("pos"), "hash")
     if not small:
         rows = rows.select("doc_id", "row_key", "pos", "hash", _inside(F.col("pos")).alias("dslots"))
     met = rows.join(right, "hash")
     if small:
         met = met.withColumn("dslots", _inside(F.col("pos")))
-    pairs = F.zip_with("islots", "dslots", lambda i, d: F.struct(i.value.alias("i"), d.value.alias("d")))
+    pairs = F.zip_with("islots", F.when(F.col("raw"), F.col("islots")).otherwise(F.col("dslots")), lambda i, d: F.struct(i.value.alias("i"), d.value.alias("d")))
     met = met.select("doc_id", "row_key", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", pairs.alias("pairs"))
     aligned = met.groupBy("doc_id", "row_key", "item_id", "shift").agg(F.countDistinct("ipos").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     side = lambda name: F.size(F.array_distinct(F.transform("pairs", lambda p: p[name])))

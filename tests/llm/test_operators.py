@@ -310,6 +310,30 @@ def test_templates(spark, text, held):
         assert not held or found[0]["same_values"] == (ITEM in text)
 
 
+NUMBERS = "12 + 7 - 9 * 4 = 3, 15 km, 20 km and 4 kg, Anna, Otto, Mia, Paul, 18 / 6 = 3"
+
+
+@pytest.mark.parametrize(
+    ("item", "text", "found"),
+    [
+        (NUMBERS, "look: " + NUMBERS + " and so on", (True, 1.0)),
+        (NUMBERS, "look " + NUMBERS.replace("12", "13").replace("Otto", "Eva").replace("20", "21"), None),
+        ("Name the longest river", "first: name The longest river, then more", (True, 1.0)),
+        ("Name the longest river", "name the longest of the rivers", None),
+        ("2 4 6 8", "1 2 4 6 8 10", (True, 1.0)),
+        ("2 4 6 8", "1 3 5 7", None),
+        ("Anna, Otto, Mia, Eva, Paul, Ida, Max and the others of their class went out to the old mill by the river", "a class: Anna, Otto, Mia, Eva, Paul, Ida, Max and the others of their class went out to the old mill by the river", (True, 1.0)),
+    ],
+)
+def test_items_of_placeholders_and_short_ones(spark, monkeypatch, item, text, found):
+    docs = spark.createDataFrame([(1, text), (2, "another text"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, ""), (9, None)], "item_id long, text string")
+    for limit in (500_000, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
+        got = [(r["doc_id"], r["item_id"], r["same_values"], r["share"]) for r in decontaminate.op6_decontaminate(docs, bench).collect()]
+        assert got == ([(1, 7, *found)] if found else [])
+
+
 def test_whole_items_are_found(spark, small):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     plain = lambda t: " ".join(re.findall(r"\w+", (t or "").lower()))
