@@ -20,8 +20,13 @@ def recent(events: DataFrame, key: str = "post_id", keep: int = KEPT) -> DataFra
 
 
 def prepend(history: DataFrame, new: DataFrame, keep: int = KEPT) -> DataFrame:
-    """Arrays of events (post_id, events), newest first, after new ones (post_id, event) are put in front in the order of seq."""
-    fresh = new.groupBy("post_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("seq", "event")))).alias("_new"))
+    """Arrays of events (post_id, events), newest first, after new ones (post_id, event) are put in front in the order of seq.
+
+    The new ones are ranked before they are collected, so that no post gathers more than keep of them.
+    """
+    order = Window.partitionBy("post_id").orderBy(F.desc("seq"), F.desc("event"))
+    ranked = new.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= max(keep, 1))
+    fresh = ranked.groupBy("post_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("seq", "event")))).alias("_new"))
     both = history.join(fresh, "post_id", "full")
     added = F.coalesce(F.transform("_new", lambda x: x.event), F.array().cast("array<string>"))
     old = F.coalesce("events", F.array().cast("array<string>"))

@@ -144,3 +144,13 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "page_id long, html string")
     assert documents.blocks(none).count() == 0
     assert documents.code_runs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_prepend_collects_what_it_keeps(spark, capsys):
+    new = spark.range(5_000).selectExpr("id % 2 * (id % 3) AS post_id", "id AS seq", "CAST(id AS STRING) AS event")
+    history = spark.createDataFrame([(1, ["old"]), (9, ["old"])], "post_id long, events array<string>")
+    found = events.prepend(history, new, 3)
+    found.explain()
+    assert "WindowGroupLimit" in capsys.readouterr().out
+    want = {p: [str(k) for k in range(4_999, -1, -1) if k % 2 * (k % 3) == p][:3] for p in (0, 1, 2)} | {9: ["old"]}
+    assert {r["post_id"]: r["events"] for r in found.collect()} == want
