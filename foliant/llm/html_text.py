@@ -107,16 +107,47 @@ def page_blocks(html: str) -> list[Block]:
     return parser.blocks
 
 
-def leaning(block: Block) -> float:
-    """How far a block by itself looks like content (above 0) or boilerplate: a linear classifier with set weights."""
-    z, inside = 0.0, False
-    for tag, _, names, role, _ in block.path:
-        inside |= tag in ("article", "main") or role in ("main", "article")
-        if tag in AWAY or role in AWAY_ROLES or (tag == "header" and not inside) or (tag not in ("html", "body", "article", "main") and AWAY_NAMES.search(names)):
+def wrappers(blocks: list[Block]) -> set[int]:
+    """Elements that hold the page's main part, whose names therefore say nothing: around the largest main and the largest article
+    (in that main, if there is one), or, on a page without both, those with more than half of its text."""
+    sizes: dict[int, int] = {}
+    above: dict[str, dict[int, tuple]] = {"main": {}, "article": {}}
+    for block in blocks:
+        away = False
+        for k, (tag, own, names, role, _) in enumerate(block.path):
+            sizes[own] = sizes.get(own, 0) + len(block.text)
+            away |= tag in AWAY or role in AWAY_ROLES
+            kind = tag if tag in above else role
+            if kind in above and not away and not AWAY_NAMES.search(names):
+                above[kind][own] = tuple(e[1] for e in block.path[:k])
+    found: set[int] = set()
+    largest = None
+    for kind in ("main", "article"):
+        if some := [e for e, held in above[kind].items() if largest is None or largest in held]:
+            best = max(some, key=lambda e: sizes[e])
+            found.update(above[kind][best])
+            largest = best if kind == "main" else largest
+    if not above["main"] and not above["article"]:
+        total = sum(len(b.text) for b in blocks)
+        found = {e for e, n in sizes.items() if 2 * n > total}
+    return found
+
+
+def leaning(block: Block, wraps: set[int] = frozenset()) -> float:
+    """How far a block by itself looks like content (above 0) or boilerplate: a linear classifier with set weights.
+
+    A name of boilerplate is a cost, and what is around it doesn't speak for the block any more; the names of wraps don't count.
+    """
+    z, inside, named = 0.0, False, False
+    for tag, own, names, role, _ in block.path:
+        inside |= not named and (tag in ("article", "main") or role in ("main", "article"))
+        if tag in AWAY or role in AWAY_ROLES or (tag == "header" and not inside):
             return -20.0
-        if tag not in ("html", "body") and MAIN_NAMES.search(names):
+        if tag not in ("html", "body", "article", "main") and own not in wraps and AWAY_NAMES.search(names):
+            z, inside, named = 0.0, False, True
+        elif tag not in ("html", "body") and MAIN_NAMES.search(names):
             z += 1.0
-    z = min(z, 2.0) + 6.0 * inside
+    z = min(z, 2.0) + 6.0 * inside - 7.0 * named
     tags = [e[0] for e in block.path if e[0] in BLOCKS]
     z += 1.5 if tags and tags[-1] in TEXT_TAGS else 0.0
     z += min(len(block.text), 400) / 100 - 1.5
@@ -199,8 +230,9 @@ def content(blocks: list[Block], smooth: float = 1.0) -> list[bool]:
         return []
     n = len(blocks)
     net = FlowNetwork(n + 2)
+    wraps = wrappers(blocks)
     for k, block in enumerate(blocks):
-        z = round(100 * leaning(block))
+        z = round(100 * leaning(block, wraps))
         net.edge(n, k, max(z, 0))
         net.edge(k, n + 1, max(-z, 0))
     seen: dict[int, int] = {}
