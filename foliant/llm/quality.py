@@ -90,12 +90,14 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.when(total < 0, 0.0).otherwise(total))
 
 
-def judge(docs: DataFrame, min_words: int = 20, min_common_words: int = 100, max_chars: float = 0.12, noise: float = 0.8, max_common: float = 0.6, max_trim: float = 0.2) -> DataFrame:
+def judge(docs: DataFrame, min_words: int = 20, min_common_words: int = 50, max_chars: float = 0.12, noise: float = 0.8, max_common: float = 0.25, common_noise: float = 0.7, max_trim: float = 0.2) -> DataFrame:
     """Judges documents (doc_id, text, lang): row_key, base counts, base_failed, js_chars, js_common, kept.
 
     A language's references are the summed histograms of its documents that the base keeps and that have
     min_words, summed again without those further than max_trim from the first sums. A document that passes the base goes if it has min_words and its characters are further from
-    the reference than max_chars and what chance adds to so few words (noise over their root), or has min_common_words and its common words are further than max_common.
+    the reference than max_chars and what chance adds to so few words (noise over their root), or has min_common_words and its common words are further than
+    max_common and what chance adds to them (common_noise over the root). Where common words are a share r of a language, a text
+    without any is at sqrt((r + (1 - r) log2(1 - r) - (2 - r) log2(1 - r / 2)) / 2), 0.36 for a quarter: beyond that limit from min_common_words on.
     Null and empty texts have no words and fail; a null language is a language of its own; repeated rows
     are judged each; other columns are ignored; an empty table gives no rows.
     """
@@ -104,7 +106,7 @@ def judge(docs: DataFrame, min_words: int = 20, min_common_words: int = 100, max
     rest = F.array_append("common", F.col("n_words") - _sum(F.col("common")))
     found = found.withColumn("common", F.when(F.col("common").isNotNull(), rest))
     sums = lambda name, n: F.array(*[F.coalesce(F.sum(F.get(name, F.lit(i))), F.lit(0)) for i in range(n)])
-    odd = ((F.col("n_words") >= min_words) & (F.col("js_chars") > max_chars + noise / F.sqrt("n_words"))) | ((F.col("n_words") >= min_common_words) & (F.col("js_common") > max_common))
+    odd = ((F.col("n_words") >= min_words) & (F.col("js_chars") > max_chars + noise / F.sqrt("n_words"))) | ((F.col("n_words") >= min_common_words) & (F.col("js_common") > max_common + common_noise / F.sqrt("n_words")))
     judged, usable = found, ~F.col("base_failed") & (F.col("n_words") >= min_words)
     for trimmed in (False, True):  # the second references leave out what is far from the first
         taken = judged.filter(usable & (F.coalesce(F.col("js_chars"), F.lit(0.0)) <= max_trim)) if trimmed else judged.filter(usable)

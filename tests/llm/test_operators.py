@@ -278,6 +278,20 @@ def test_quality_verdicts(spark):
     assert found[found["quality"] == 1]["kept"].mean() > 0.99 and found[found["quality"] == 0]["kept"].mean() < 0.3
 
 
+def test_quality_without_common_words(spark):
+    draw = random.Random(3)
+    common = quality.COMMON_WORDS["en"]
+    prose = lambda n: " ".join(draw.choice(common) if draw.random() < 0.25 else "".join(draw.choices("etaoinsrhld", k=draw.randint(3, 9))) for _ in range(n))
+    bare = lambda n: " ".join("x" + "".join(draw.choices("etaoinsrhld", k=draw.randint(2, 7))) for _ in range(n))
+    single = lambda n: " ".join(w if k % 4 else "the" for k, w in enumerate(bare(n).split()))
+    good = [prose(n) for n in (50, 60, 80, 100, 150, 300, 1_000) for _ in range(30)]
+    bad = [make(n) for make in (bare, single) for n in (60, 100, 300, 1_000) for _ in range(3)]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(good + bad)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"]: r["kept"] for r in quality.op5_quality(docs).collect()}
+    assert sum(kept[k] for k in range(len(good))) >= 0.99 * len(good)
+    assert not any(kept[k] for k in range(len(good), len(good) + len(bad)))
+
+
 def test_js_distance(spark):
     row = spark.sql("SELECT array(1L, 1L, 0L) p, array(0L, 1L, 1L) q, array(0L, 0L, 0L) z").select(quality.js_distance(F.col("p"), F.col("q")).alias("d"), quality.js_distance(F.col("p"), F.col("p")).alias("same"), quality.js_distance(F.col("p"), F.col("z")).alias("none")).first()
     assert math.isclose(row["d"], math.sqrt(0.5)) and row["same"] == 0 and row["none"] is None
@@ -427,6 +441,16 @@ def test_articles_of_the_pages(spark):
         assert r["text"] == "\n".join(p for p in parts if p)
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "comments-open", "social-share-enabled", "side-by-side"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_names_around_the_main_part(name, tag):
+    text = [f"Paragraph {k} tells in some length of the mill, the river and the bridge by which the children of the village played." for k in range(6)]
+    body = "".join(f"<p>{t}</p>" for t in text)
+    rest = '<div class="sidebar"><p>Read the other stories of the week here.</p></div><div id="comments"><p>What a lovely story this is, thank you.</p></div>'
+    html = f'<html><body><nav><a href="/">Home</a></nav><div class="{name}"><{tag}><h1>The mill</h1>{body}</{tag}>{rest}</div></body></html>'
+    assert html_text.main_text(html).split("\n") == ["The mill", *text]
+
+
 def test_minimum_cut_is_least():
     rng = np.random.default_rng(5)
     for _ in range(20):
