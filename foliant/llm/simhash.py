@@ -7,17 +7,19 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import components, framed, let, materialize, small_batches, text_of, words_of
+from foliant.llm.common import components, framed, materialize, small_batches, text_of, words_of
 
 #: Fingerprints in one shard tree; with 8 bytes each this bounds what a task holds.
 TREE = 4096
 #: Texts, at the least, in which the commonest shingles are counted, and how many of these come last in the order of all; both touch the speed alone.
 COUNTED, COMMONEST = 20_000, 100_000
-#: Texts of one shingle that a task of a join compares with all the others of it.
+#: Texts of one shingle, or of one leader, that a task of a join compares with all the others of it.
 SALTED = 1_000
+#: Shingles in a text's sketch, the share of them that two texts must have in common to be compared, and rounds of comparisons with leaders.
+SKETCH, MET, ROUNDS = 24, 0.2, 2
 
 
 def fingerprint(text: Column, shingle: int = 3, seed: int = 42) -> Column:
@@ -149,126 +151,127 @@ def op4_simhash(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def word_fingerprints(text: Column, families: int = 4) -> Column:
-    """SimHashes of a text's distinct words, lower-cased in A-Z, as an array of signed longs: one for each family of hashes."""
+def hashed_words(text: Column, plain: bool = False) -> Column:
+    """The hashes of a text's words in lower case, as an array; plain words are runs of letters and digits."""
+    small = F.lower(text)
+    words = words_of(F.regexp_replace(small, r"[^\p{L}\p{M}\p{N}]+", " ") if plain else small)
+    return F.transform(words, lambda w: F.xxhash64(w))
 
-    @F.pandas_udf("array<long>")
-    def prints(raw: pd.Series) -> pd.Series:
-        import xxhash
-
-        out = []
-        for data in raw:
-            words = set(data.lower().split())
-            hashes = np.array([xxhash.xxh64_intdigest(w, 0) for w in words], dtype="<u8")
-            own = []
-            for family in range(families):
-                mixed = hashes * np.uint64(0x9E3779B97F4A7C15 + 2 * family) ^ (hashes >> np.uint64(31 - family))
-                mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-                mixed ^= mixed >> np.uint64(32)
-                bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                own.append(np.packbits(bits * 2 > len(words), bitorder="little").view("<i8")[0])
-            out.append(own)
-        return pd.Series(out)
 
-    return prints(text.cast("binary"))
+def _shingles(words: np.ndarray, width: int) -> np.ndarray:
+    """The distinct hashes of shingles of words (hashes), in order; fewer words are one shingle, none has none."""
+    n = max(len(words) - width + 1, min(len(words), 1))
+    out = np.zeros(n, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for part in (words[i : i + n] for i in range(min(width, len(words)))):
+            out = (out ^ part.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return np.unique(out)
 
 
-def shingle_hashes(text: Column, width: int = 5) -> Column:
-    """The distinct hashes of a text's word shingles, as an array; a text of fewer words is one shingle, one without words has none."""
+def _numbered(words: np.ndarray) -> np.ndarray:
+    """A bag of words (hashes) as a set: each word's hash mixed with how often it has come before."""
+    words = np.sort(words.view(np.uint64))
+    at = np.arange(len(words))
+    begins = np.concatenate(([True], words[1:] != words[:-1])) if len(words) else np.zeros(0, bool)
+    with np.errstate(over="ignore"):
+        return (words + (at - np.maximum.accumulate(np.where(begins, at, 0))).astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
 
-    def of(words: Column) -> Column:
-        at = F.sequence(F.lit(1), F.greatest(F.size(words) - width + 1, F.lit(1)))
-        return F.when(F.size(words) > 0, F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice(words, i, width))))).otherwise(F.array().cast("array<bigint>"))
 
-    return let(words_of(F.lower(text)), of)
+def shingle_sets(words: Column, plain: Column, width: int = 5) -> Column:
+    """Of two arrays of hashed words: the sets of shingles of the first (grams) and of numbered words of the second (bag)."""
 
+    @F.pandas_udf("grams array<long>, bag array<long>")
+    def sets(all_words: pd.Series, all_plain: pd.Series) -> pd.DataFrame:
+        longs = lambda found: [x.view(np.int64) for x in found]
+        return pd.DataFrame({"grams": longs(_shingles(np.asarray(w, dtype=np.int64), width) for w in all_words), "bag": longs(_numbered(np.asarray(w, dtype=np.int64)) for w in all_plain)})
 
-def alike(texts: DataFrame, similarity: float) -> DataFrame:
-    """Of texts (row_key, root, place, grams), those similar to one of the same root with a smaller place: row_key, leader_key, jaccard.
-
-    Each is looked up by its rarest shingles alone: if two are similar, a shingle is among the rarest n - ceil(similarity * n) + 1
-    of both, in one order by count. A shingle of one text only leads nowhere, so a text with many of its own is met by no other; and two
-    that meet can't have more in common than their places in that order allow.
-    """
-    seen = texts.select("root", "row_key", "place", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    counts = seen.groupBy("root", "gram").agg(F.count("*").alias("held")).filter("held > 1")
-    own = Window.partitionBy("row_key")
-    ranked = seen.join(counts, ["root", "gram"]).withColumn("rank", F.row_number().over(own.orderBy("held", "gram"))).withColumn("shared", F.count("*").over(own))
-    rarest = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1
-    first = materialize(ranked.filter(F.col("rank") + F.col("n") - F.col("shared") <= rarest).select("root", "gram", "row_key", "place", "n", "rank", "shared"), "similar-rarest")
-    other = first.select("root", "gram", *[F.col(c).alias(f"leader_{c}") for c in ("row_key", "place", "n", "rank", "shared")]).withColumnRenamed("leader_row_key", "leader_key")
-    most = F.least("rank", "leader_rank") + F.least(F.col("shared") - F.col("rank"), F.col("leader_shared") - F.col("leader_rank"))
-    enough = most >= similarity / (1 + similarity) * (F.col("n") + F.col("leader_n")) - 1e-9
-    pairs = first.join(other, ["root", "gram"]).filter((F.col("place") > F.col("leader_place")) & enough)
-    pairs = pairs.select("row_key", "leader_key").distinct().join(texts.select("row_key", "grams"), "row_key")
-    pairs = pairs.join(texts.select(F.col("row_key").alias("leader_key"), F.col("grams").alias("leader_grams")), "leader_key")
-    common = F.size(F.array_intersect("grams", "leader_grams"))
-    scored = pairs.select("row_key", "leader_key", (common / (F.size("grams") + F.size("leader_grams") - common)).alias("jaccard"))
-    best = scored.filter(F.col("jaccard") >= similarity).groupBy("row_key").agg(F.max(F.struct("jaccard", "leader_key")).alias("best"))
-    return best.select("row_key", "best.leader_key", "best.jaccard")
+    return sets(words, plain)
 
 
 def commonest(rows: DataFrame, size: int, width: int) -> np.ndarray:
     """The commonest shingles of rows (row_key, _text), the rarer first, as counted in a sample of the texts by hash."""
     some = rows.filter(F.pmod("row_key", F.lit(max(1, size // COUNTED))) == 0).dropDuplicates(["row_key"])
-    counts = some.select(F.explode(shingle_hashes(F.col("_text"), width)).alias("gram")).groupBy("gram").agg(F.count("*").alias("held")).filter("held > 3")
+    grams = shingle_sets(hashed_words(F.col("_text")), F.array().cast("array<long>"), width)
+    counts = some.select(F.explode(grams["grams"]).alias("gram")).groupBy("gram").agg(F.count("*").alias("held")).filter("held > 3")
     found = counts.orderBy(F.desc("held"), "gram").limit(COMMONEST).select("gram").toPandas()
     return found["gram"].to_numpy(dtype=np.int64)[::-1]
 
 
-def first_shingles(grams: Column, last: np.ndarray, similarity: float) -> Column:
-    """The first n - ceil(similarity * n) + 1 of n distinct shingles, in one order for all texts: by hash, those of last at the end.
+def meeting_shingles(words: Column, last: np.ndarray, similarity: float, width: int = 5, sketch: int = 0) -> Column:
+    """The shingles at which a text meets others, as a struct: n (its distinct shingles), p, and arrays gram, rank, sketched, common.
 
-    Two texts that are similar have one of these in common, whatever the order is.
+    The first p = n - ceil(similarity * n) + 1 shingles have a rank from 1, in one order for all texts: by hash, those of last at the end. Two
+    texts that are similar have one of these in common, whatever the order is. The sketch shingles with the least hashes are sketched (and have rank 0 if
+    they aren't among the first); two texts have about as many of these in common as their similarity says. common: whether it is one of last.
     """
     order = np.argsort(last)
     known = last[order]
 
-    @F.pandas_udf("array<long>")
-    def first(all_grams: pd.Series) -> pd.Series:
+    @F.pandas_udf("n int, p int, gram array<long>, rank array<int>, sketched array<boolean>, common array<boolean>")
+    def met(all_words: pd.Series) -> pd.DataFrame:
         out = []
-        for own in all_grams:
-            own = np.asarray(own, dtype=np.int64)
+        for words in all_words:
+            own = _shingles(np.asarray(words, dtype=np.int64), width)
             late = np.zeros(len(own), dtype=np.int64)
             if len(known):
-                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                late = np.where(known[at] == own, order[at] + 1, 0)
-            out.append(own[np.lexsort((own, late))][: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1])
-        return pd.Series(out, dtype=object)
-
-    return first(grams)
-
-
-def alike_anywhere(texts: DataFrame, grams_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """Of texts (row_key, place, n, firsts), those similar to one with a smaller place: row_key, leader_key, jaccard.
-
-    firsts: their first_shingles; grams_of(row_key) looks up all shingles of some texts. Texts meet at the first shingles that they share. Those
-    similar to the text with the smallest place at one of theirs go at once, which clears large groups; of the others all pairs are looked at. Where they have
-    c first shingles in common, they have at most c + what follows the first ones of the longer in common, and at each no more than their places allow.
+                at = np.minimum(np.searchsorted(known, own.view(np.int64)), len(known) - 1)
+                late = np.where(known[at] == own.view(np.int64), order[at] + 1, 0)
+            p = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1 if len(own) else 0
+            rank = np.zeros(len(own), dtype=np.int32)
+            rank[np.lexsort((own, late))[:p]] = np.arange(1, p + 1)
+            sketched = np.arange(len(own)) < sketch
+            k = np.flatnonzero((rank > 0) | sketched)
+            out.append((len(own), p, own[k].view(np.int64), rank[k], sketched[k], late[k] > 0))
+        return pd.DataFrame(out, columns=["n", "p", "gram", "rank", "sketched", "common"])
+
+    return met(words)
+
+
+def alike_anywhere(texts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, words: float | None = None) -> DataFrame:
+    """Of texts, those similar to one with a smaller place: row_key, leader_key, jaccard (of shingles).
+
+    texts: row_key, place, and the fields of meeting_shingles; sets_of(row_key) looks up the shingle_sets of some texts. Texts meet at the shingles that they
+    share. In each of ROUNDS rounds a text is compared with the texts of the smallest place at one of its shingles, and goes if it is similar to one,
+    which clears large groups; of the others all pairs are looked at, but for those that meet at common shingles beyond their first ones.
+    Where two have c first shingles in common, they have at most c + what follows the first ones of the longer in common, and at each no more
+    than their places allow, so that no pair as similar as asked is left out. With words, texts whose numbered words are as similar as that go too, if
+    they share MET of their sketches.
     """
-    seen = texts.select("row_key", "place", "n", F.size("firsts").alias("p"), F.posexplode("firsts").alias("rank", "gram"))
+    zipped = F.explode(F.arrays_zip("gram", "rank", "sketched", "common")).alias("m")
+    seen = texts.select("row_key", "place", "n", "p", zipped).select("row_key", "place", "n", "p", "m.*")
     counts = seen.groupBy("gram").agg(F.count("*").alias("held")).filter("held > 1").select("gram")
-    met = materialize(seen.join(counts, "gram"), "similar-met")
-    fields = ("row_key", "place", "n", "p", "rank")
+    rest = materialize(seen.join(counts, "gram"), "similar-met")
+    fields = ("row_key", "place", "n", "p", "rank", "sketched")
+    leader = lambda value: [value(c).alias(f"leader_{c}") for c in fields]
 
     def verified(pairs: DataFrame) -> DataFrame:
-        total = F.col("n") + F.col("leader_n")
-        asked = similarity / (1 + similarity) * total - 1e-9
+        asked = similarity / (1 + similarity) * (F.col("n") + F.col("leader_n")) - 1e-9
         most = F.least("rank", "leader_rank") + F.least(F.col("n") - F.col("rank"), F.col("leader_n") - F.col("leader_rank"))
-        kept = pairs.filter((F.col("place") > F.col("leader_place")) & (most >= asked)).groupBy("row_key", "leader_row_key", "n", "p", "leader_n", "leader_p").agg(F.count("*").alias("c"))
-        kept = kept.filter(F.col("c") + F.greatest(F.col("n") - F.col("p"), F.col("leader_n") - F.col("leader_p")) >= asked)
+        first = (F.col("rank") > 0) & (F.col("leader_rank") > 0) & (most >= asked)
+        both = F.lit(words is not None) & F.col("sketched") & F.col("leader_sketched")
+        kept = pairs.filter((F.col("place") > F.col("leader_place")) & (first | both))
+        kept = kept.groupBy("row_key", "leader_row_key", "n", "p", "leader_n", "leader_p").agg(F.count_if(first).alias("c"), F.count_if(both).alias("s"))
+        may = (F.col("c") > 0) & (F.col("c") + F.greatest(F.col("n") - F.col("p"), F.col("leader_n") - F.col("leader_p")) >= asked)
+        kept = kept.filter(may | (F.col("s") > 0) & (F.col("s") >= MET * F.least(F.lit(SKETCH), "n", "leader_n")))
         kept = materialize(kept.select("row_key", F.col("leader_row_key").alias("leader_key")), "similar-pairs")
-        grams = materialize(grams_of(kept.select("row_key").union(kept.select("leader_key")).distinct()), "similar-pair-grams")
-        both = kept.join(grams, "row_key").join(grams.select(F.col("row_key").alias("leader_key"), F.col("grams").alias("leader_grams")), "leader_key")
-        common = F.size(F.array_intersect("grams", "leader_grams"))
-        scored = both.select("row_key", "leader_key", (common / (F.size("grams") + F.size("leader_grams") - common)).alias("jaccard"))
-        best = scored.filter(F.col("jaccard") >= similarity).groupBy("row_key").agg(F.max(F.struct("jaccard", "leader_key")).alias("best"))
+        sets = materialize(sets_of(kept.select("row_key").union(kept.select("leader_key")).distinct()), "similar-pair-sets")
+        sized = kept.groupBy("leader_key").agg(F.ceil(F.count("*") / SALTED).alias("parts"))  # a leader of very many is dealt out
+        own = kept.join(sized, "leader_key").withColumn("part", F.pmod("row_key", "parts")).drop("parts").join(sets, "row_key")
+        other = sets.withColumnsRenamed({"row_key": "leader_key", "grams": "leader_grams", "bag": "leader_bag"}).join(sized, "leader_key")
+        other = other.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
+        scored = own.join(other, ["leader_key", "part"]).select("row_key", "leader_key", jaccard("grams", "leader_grams").alias("jaccard"), jaccard("bag", "leader_bag").alias("words"))
+        near = F.col("jaccard") >= similarity
+        best = scored.filter(near if words is None else near | (F.col("words") >= words)).groupBy("row_key").agg(F.max(F.struct("jaccard", "leader_key")).alias("best"))
         return materialize(best.select("row_key", "best.leader_key", "best.jaccard"), "similar-found")
 
-    leader = lambda value: [value(c).alias(f"leader_{c}") for c in fields]
-    least = materialize(met.groupBy("gram").agg(F.min(F.struct("place", "row_key", "n", "p", "rank")).alias("l")).select("gram", *leader(lambda c: F.col(f"l.{c}"))), "similar-least")
-    taken = verified(met.join(least, "gram"))
-    rest = met.join(taken.select("row_key"), "row_key", "left_anti")
+    taken = None
+    for _ in range(ROUNDS if words is not None else 1):
+        least = rest.groupBy("gram").agg(F.min(F.struct("place", *[c for c in fields if c != "place"])).alias("l")).select("gram", *leader(lambda c: F.col(f"l.{c}")))
+        found = verified(rest.join(materialize(least, "similar-least"), "gram"))
+        taken = found if taken is None else taken.union(found)
+        rest = materialize(rest.join(found.select("row_key"), "row_key", "left_anti"), "similar-rest")
+    rest = rest.filter((F.col("rank") > 0) | ~F.col("common"))
     sized = rest.groupBy("gram").agg(F.count("*").alias("held")).filter("held > 1").select("gram", F.ceil(F.col("held") / SALTED).alias("parts"))
     rest = materialize(rest.join(sized, "gram"), "similar-rest")
     left = rest.withColumn("part", F.pmod("row_key", F.col("parts"))).drop("parts")
@@ -276,69 +279,60 @@ def alike_anywhere(texts: DataFrame, grams_of: Callable[[DataFrame], DataFrame],
     return taken.union(verified(left.join(right, ["gram", "part"])))
 
 
-def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = 3, families: int = 4, rounds: int = 3) -> DataFrame:
-    """Texts to drop as copies of others: row_key (hash of the text), leader_key, jaccard. Of every two similar texts one goes at least.
+def jaccard(a: str, b: str) -> Column:
+    """The similarity of two arrays of distinct values; null where both are empty."""
+    common = F.size(F.array_intersect(a, b))
+    return common / F.nullif(F.size(a) + F.size(b) - common, F.lit(0))
+
+
+def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, words: float | None = None, only: DataFrame | None = None) -> DataFrame:
+    """Texts to drop as copies of others: doc_id, row_key (hash of the text), leader_key, jaccard. Of every two similar texts one goes at least.
 
-    Texts whose distinct words' SimHashes are at most radius bits apart in one of the families are found in the
-    shard trees; their components are gone through by exact Jaccard similarity of word shingles. In each of some rounds the text
-    with the smallest doc_id of a component leads and takes those that are at least as similar to it as asked, which
-    clears large groups of copies; the others of a component meet at their rarest shingles, and each that is as similar to one with a smaller
-    doc_id goes. At last all texts that are left, of whatever component or none, meet at their first shingles in one order, so that
-    texts with passages added or cut, whose SimHashes are far apart, are found as well. Texts without words are not compared.
+    Texts are similar if the Jaccard similarity of their distinct word shingles is at least as asked; all pairs of these are found. With words,
+    texts are similar too if that of their words (of letters and digits, counted with repeats) is at least that: copies with single words changed
+    here and there, of which few shingles are left. Candidates of these share MET of the SKETCH shingles of least hash, which misses next to none of them. A text
+    goes in favour of one with a smaller doc_id (null last). only (_id, _key): the rows that are compared. Texts without words are not compared; repeated rows
+    and rows of one text are one; other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select("doc_id", text_of().alias("_text")).filter(F.col("_text").rlike(r"[^\x20\x09-\x0D]")).withColumn("row_key", F.xxhash64("_text"))
     last = commonest(rows, docs.count(), width)
-    grams = rows.select("doc_id", "row_key", word_fingerprints(F.col("_text"), families).alias("fps"), shingle_hashes(F.col("_text"), width).alias("grams"))
     with small_batches(docs.sparkSession):
-        prints = materialize(grams.select("doc_id", "row_key", "fps", F.size("grams").alias("n"), first_shingles(F.col("grams"), last, similarity).alias("firsts")), "similar-prints-of-rows")
-    least = prints.groupBy("row_key").agg(F.min("doc_id").alias("first"), F.first("fps").alias("fps"), F.first("n").alias("n"), F.first("firsts").alias("firsts"))
-    texts = materialize(least.withColumn("place", F.struct(F.col("first").isNull(), F.col("first"), F.col("row_key"))), "similar-texts")
-
-    def grams_of(wanted: DataFrame) -> DataFrame:
+        prints = rows.select("doc_id", "row_key", meeting_shingles(hashed_words(F.col("_text")), last, similarity, width, SKETCH if words is not None else 0).alias("m"))
+        prints = materialize(prints.select("doc_id", "row_key", "m.*"), "similar-prints")
+    if only is not None:
+        prints = prints.join(only, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left_semi")
+    first = lambda c: F.first(c).alias(c)
+    texts = prints.groupBy("row_key").agg(F.min("doc_id").alias("doc_id"), *[first(c) for c in ("n", "p", "gram", "rank", "sketched", "common")])
+    texts = materialize(texts.withColumn("place", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"))), "similar-texts")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
         # one row of each text, met by id too: so the copies of a text are dealt out
-        named = texts.join(wanted, "row_key").select("row_key", F.xxhash64("first").alias("id_key"), "place", *[c for c in wanted.columns if c != "row_key"])
+        named = texts.join(wanted, "row_key").select("row_key", F.xxhash64("doc_id").alias("id_key"))
         found = rows.select("row_key", F.xxhash64("doc_id").alias("id_key"), "_text").join(named, ["row_key", "id_key"]).dropDuplicates(["row_key", "id_key"])
-        return found.select(*wanted.columns, "place", shingle_hashes(F.col("_text"), width).alias("grams"))
-
-    edges = None
-    for k in range(families):
-        of = materialize(texts.groupBy(F.get("fps", F.lit(k)).alias("fp")).agg(F.min("row_key").alias("rep"), F.count("*").alias("n")), "similar-prints")
-        met = near_edges(of, radius).join(of.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b").select("x", "y")
-        shared = texts.join(of.filter("n > 1").select("fp", "rep"), F.get("fps", F.lit(k)) == F.col("fp")).select(F.col("row_key").alias("x"), F.col("rep").alias("y"))
-        both = met.union(shared)
-        edges = both if edges is None else edges.union(both)
-    groups = materialize(components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("row_key"), "root"), "similar-groups")
-    alive = materialize(grams_of(groups), "similar-grams")
-    taken = None
-    for _ in range(rounds):
-        leaders = alive.groupBy("root").agg(F.min_by(F.struct("row_key", "grams"), "place").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("root", "leader")
-        leaders = materialize(leaders, "similar-leaders")  # so that a join with a large component can be split
-        compared = alive.join(leaders, "root").filter(F.col("row_key") != F.col("leader.row_key"))
-        common = F.size(F.array_intersect("grams", "leader.grams"))
-        scored = materialize(compared.select("row_key", "root", "place", "grams", F.col("leader.row_key").alias("leader_key"), (common / (F.size("grams") + F.size("leader.grams") - common)).alias("jaccard")), "similar-round")
-        hit = scored.filter(F.col("jaccard") >= similarity).select("row_key", "leader_key", "jaccard")
-        taken = hit if taken is None else taken.union(hit)
-        alive = scored.filter(F.col("jaccard") < similarity).select("row_key", "root", "place", "grams")
-    taken = materialize(taken.union(alike(alive, similarity)), "similar-taken")
-    left = texts.join(taken.select("row_key").distinct(), "row_key", "left_anti").select("row_key", "place", "n", "firsts")
-    return taken.union(alike_anywhere(left, grams_of, similarity))
-
-
-def deduplicate(docs: DataFrame, radius: int = 2, shingle: int = 3, similarity: float | None = None, width: int = 5) -> DataFrame:
+        sets = shingle_sets(hashed_words(F.col("_text")), hashed_words(F.col("_text"), plain=True) if words is not None else F.array().cast("array<long>"), width)
+        return found.select("row_key", sets.alias("s")).select("row_key", "s.*")
+
+    with small_batches(docs.sparkSession):
+        found = alike_anywhere(texts, sets_of, similarity, words)
+    return found.join(texts.select("row_key", "doc_id"), "row_key").select("doc_id", "row_key", "leader_key", "jaccard")
+
+
+def deduplicate(docs: DataFrame, radius: int = 2, shingle: int = 3, similarity: float | None = None, width: int = 5, words: float | None = None) -> DataFrame:
     """The documents, one of each component: the row with the smallest id; of rows with the same id and text, one.
 
-    With a similarity, rows whose texts similar_texts takes as copies go too; since a row always goes in favour of a smaller id, of each group
-    one stays. Where all ids of a component are null, one row of each text stays. All columns stay.
+    With a similarity (and words), rows of these whose texts similar_texts takes as copies of others go too; since a row always goes in favour of a smaller
+    id, of each group one stays. Where all ids of a component are null, one row of each text stays. Null and empty texts are one component; an empty table
+    stays empty; very long texts are compared whole; all columns stay, whatever their names.
     """
     found = near_duplicates(docs, radius, shingle)
     ranked = materialize(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("component_id", "row_key"), "simhash-first")
     nameless = F.when(F.col("component_id").isNull(), F.col("row_key"))
     keep = ranked.groupBy("component_id", nameless.alias("_own")).agg(F.min("row_key").alias("_key"), F.count("*").alias("_rows"))
     keep = keep.select(F.col("component_id").alias("_id"), "_key", "_rows")
-    if similarity is not None:
-        gone = similar_texts(docs, similarity, width).select(F.col("row_key").alias("_gone"))
-        keep = keep.join(gone, F.col("_key") == F.col("_gone"), "left_anti")
     keep = materialize(keep, "simhash-keep")
+    if similarity is not None:
+        gone = similar_texts(docs, similarity, width, words, keep).select("doc_id", "row_key")
+        keep = materialize(keep.join(gone, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("row_key")), "left_anti"), "simhash-left")
     kept = framed(docs, ["doc_id"]).join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left_semi")
     if not keep.filter("_rows > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "row_key"])

@@ -201,14 +201,39 @@ def test_similar_texts(spark):
     assert simhash.similar_texts(docs.limit(0)).count() == 0
 
 
-def test_alike(spark):
-    draw = random.Random(5)
-    rows = [(k, k % 2, (False, 100 - k, k), draw.sample(range(30), draw.randint(1, 5)) + list(range(40, 40 + draw.randint(0, 25)))) for k in range(60)]
-    texts = spark.createDataFrame(rows, "row_key long, root long, place struct<a: boolean, b: long, c: long>, grams array<long>")
-    near = lambda x, y: 5 * len(set(x) & set(y)) >= 4 * len(set(x) | set(y))
-    want = {x[0] for x in rows for y in rows if x[1] == y[1] and y[2] < x[2] and near(x[3], y[3])}
-    found = simhash.alike(texts, 0.8).collect()
-    assert sorted(r["row_key"] for r in found) == sorted(want) and 0 < len(want) < 60
+def changed_copies(draw):
+    """Texts with copies that have some words replaced, and a group of many such copies; a text of the same words in another order."""
+    words = [f"w{int(draw.paretovariate(0.7)) % 3_000}" for _ in range(40_000)]
+    texts = []
+    for k in range(25):
+        own = words[900 * k :][: draw.choice([25, 60, 150, 400])]
+        texts.append(own)
+        for share in (0.03, 0.05, 0.08) * (20 if k == 7 else 1):
+            texts.append([f"n{draw.randrange(10**6)}" if draw.random() < share else w for w in own])
+        texts.append(draw.sample(own, len(own)))
+    return [" ".join(w.capitalize() + "," * (draw.random() < 0.05) for w in t) for t in texts]
+
+
+def near_by_words(a, b):
+    x, y = (collections.Counter(re.findall(r"[^\W_]+", t.lower())) for t in (a, b))
+    return 5 * sum((x & y).values()) >= 4 * sum((x | y).values())
+
+
+@pytest.mark.parametrize("common", [20_000, 2])
+def test_copies_with_words_changed(spark, monkeypatch, common):
+    monkeypatch.setattr(simhash, "COMMONEST", common)
+    monkeypatch.setattr(simhash, "SALTED", 7)
+    draw = random.Random(4)
+    texts = list(dict.fromkeys(changed_copies(draw)))
+    draw.shuffle(texts)
+    shingles = [frozenset(zip(*(t.lower().split()[i:] for i in range(5)), strict=False)) for t in texts]
+    alike = lambda i, j: len(shingles[i] & shingles[j]) / len(shingles[i] | shingles[j])
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if alike(i, j) >= 0.8 or alike(i, j) >= 0.25 and near_by_words(texts[i], texts[j])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = {r["doc_id"]: r["jaccard"] for r in simhash.similar_texts(docs, words=0.8).collect()}
+    assert len(pairs) > 500 and [p for p in pairs if not gone.keys() & set(p)] == []
+    assert gone.keys() <= {j for j in range(len(texts)) for i in range(j) if alike(i, j) >= 0.8 or alike(i, j) > 0 and near_by_words(texts[i], texts[j])}
+    assert sum(v < 0.8 for v in gone.values()) > 50
 
 
 def test_similar_texts_are_found(spark):
