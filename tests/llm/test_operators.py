@@ -113,6 +113,37 @@ def test_mix_near_targets(spark):
     assert all(abs(r["t"] / r["target"] - 1) < 0.02 for r in found.collect())
 
 
+def test_targets_by_spark(spark):
+    draw = random.Random(2)
+    for n in (1, 2, 7, 40):
+        rows = [(draw.choice([0, 1, 5, 80, 3_000]), float(draw.randint(1, 3))) for _ in range(n)]
+        found = mixing.with_targets(spark.createDataFrame(rows, "source_size long, weight double")).collect()
+        want = sorted(zip(rows, mixing.targets([r[0] for r in rows], [r[1] for r in rows]), strict=True))
+        assert [r[0] for r in want] == sorted((r["source_size"], r["weight"]) for r in found)
+        for (_, t), r in zip(want, sorted(map(tuple, found)), strict=True):
+            assert math.isclose(t, r[2], abs_tol=1e-6)
+
+
+def test_permutations_go_back():
+    for n in (1, 2, 3, 10, 1_000):
+        index, size, key = np.arange(n), np.full(n, n), np.full(n, 5)
+        assert (mixing.permute(mixing.permute(index, size, key), size, key, back=True) == index).all()
+
+
+@pytest.mark.parametrize("group", [1024, 3])
+def test_small_sources_come_near_their_targets(spark, monkeypatch, group):
+    monkeypatch.setattr(mixing, "GROUP", group)
+    monkeypatch.setattr(mixing, "SLOTS", 16)
+    sizes = [1, 2, 50, 127, 128, 129, 255, 256, 257, 384, 500, 777, 1_000, 1_500, 2_000, 0, 9_000, 40_000]
+    rows = [(k * 10 + j, " ".join(["w"] * (n // 3 if j < 2 else n - 2 * (n // 3))), f"s{k:02}" if n != 777 else None) for k, n in enumerate(sizes) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.op2_mixing(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("target"), F.first("source_size").alias("n")).collect()
+    for r in found:
+        assert abs(r["t"] - r["target"]) <= mixing.BLOCK / 2 and r["t"] <= 2 * r["n"]
+        assert r["target"] < 2 * r["n"] or r["t"] == 2 * r["n"]
+    assert any(r["target"] < 2 * r["n"] for r in found)
+
+
 # op3
 
 
