@@ -13,29 +13,33 @@ WINDOW = 8
 BROADCAST_WINDOWS = 500_000
 # Fixed list of units, as lower-case words after a number.
 UNITS = ["mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "ms", "min", "h", "hz", "w", "kw", "v", "a", "c", "f", "k", "inch", "inches", "foot", "feet", "yards", "miles", "meters", "metres", "kilometers", "kilometres", "grams", "kilograms", "pounds", "ounces", "liters", "litres", "seconds", "minutes", "hours", "days", "weeks", "months", "years", "percent", "dollars", "cents", "euros"]
-#: Before a capitalised word that doesn't begin a sentence.
+# Fixed list of words that are no names though they are capitalised, as at a sentence's start.
+OPENERS = ["a", "after", "all", "an", "and", "are", "as", "at", "because", "before", "but", "by", "can", "did", "do", "does", "each", "every", "find", "for", "from", "give", "given", "has", "have", "he", "her", "his", "how", "i", "if", "in", "is", "it", "its", "let", "many", "my", "no", "not", "of", "on", "one", "or", "our", "out", "she", "so", "some", "that", "the", "their", "then", "there", "these", "they", "this", "those", "to", "two", "was", "we", "were", "what", "when", "where", "which", "while", "who", "why", "will", "with", "you", "your"]
+#: Before a capitalised word.
 NAME = "\u0001"
 
 
 def templates(rows: DataFrame, lengths: list[int] | None = None) -> DataFrame:
     """Adds windows, an array of (at, hash, raw), slots, an array of (at, type, value), and n, the number of words, to rows with _text.
 
-    A word is letters or a number. Numbers (type 1), capitalised words within a sentence (2) and units after
+    A word is letters or a number. Numbers (type 1), capitalised words that aren't OPENERS (2) and units after
     numbers (3) become typed placeholders, other words count in lower case. Windows are of WINDOW canonical words; those with more
     than half placeholders are given as raw too, hashed by their words. Raw windows of some lengths below WINDOW are added; without
     lengths a text of fewer words has one, of its whole length.
     """
-    marked = F.lower(F.regexp_replace("_text", r"(?<=[\p{Ll},;] )(?=\p{Lu})", NAME))
+    marked = F.lower(F.regexp_replace("_text", r"(?<![\p{L}\p{M}])(?=\p{Lu})", NAME))
     tokens = F.regexp_extract_all(marked, F.lit(rf"{NAME}?[\p{{L}}\p{{M}}]+|\p{{N}}+(?:[.,]\p{{N}}+)*"), F.lit(0))
     digit = lambda x: x.rlike(r"^\p{N}")
 
     def typed(ts: Column) -> Column:
-        def kind(x: Column, i: Column) -> Column:
-            unit = x.isin(UNITS) & F.coalesce(digit(F.get(ts, i - 1)), F.lit(False))
-            return F.when(digit(x), 1).when(x.startswith(NAME), 2).when(unit, 3).otherwise(0)
+        plain = lambda x: F.when(x.startswith(NAME), F.substring(x, 2, 2**31 - 1)).otherwise(x)
 
-        word = lambda x: F.xxhash64(F.when(x.startswith(NAME), F.substring(x, 2, 2**31 - 1)).otherwise(x))
-        return F.transform(ts, lambda x, i: F.struct(i.alias("at"), kind(x, i).alias("type"), F.xxhash64(x).alias("value"), word(x).alias("word")))
+        def kind(x: Column, word: Column, i: Column) -> Column:
+            unit = word.isin(UNITS) & F.coalesce(digit(F.get(ts, i - 1)), F.lit(False))
+            return F.when(digit(x), 1).when(unit, 3).when(x.startswith(NAME) & ~word.isin(OPENERS), 2).otherwise(0)
+
+        one = lambda x, word, i: F.struct(i.alias("at"), kind(x, word, i).alias("type"), F.xxhash64(word).alias("word"))
+        return F.transform(ts, lambda x, i: let(plain(x), lambda word: one(x, word, i)))
 
     def windows(hashes: Column) -> Column:
         n = F.size(hashes)
@@ -65,11 +69,11 @@ def templates(rows: DataFrame, lengths: list[int] | None = None) -> DataFrame:
         return F.concat(none, *found)
 
     def both(ts: Column) -> Column:
-        hashes = F.transform(ts, lambda t: F.when(t.type > 0, t.type.cast("bigint")).otherwise(t.value))
+        hashes = F.transform(ts, lambda t: F.when(t.type > 0, t.type.cast("bigint")).otherwise(t.word))
         whole = F.when(F.size(ts) >= WINDOW, let(hashes, windows)).otherwise(F.array().cast("array<bigint>"))
         placed = F.transform(whole, lambda h, i: F.struct(i.alias("at"), h.alias("hash"), F.lit(False).alias("raw")))
         slots = F.filter(ts, lambda t: t.type > 0)
-        return let(slots, lambda s: F.struct(F.transform(s, lambda t: t.dropFields("word")).alias("slots"), F.concat(placed, dense(ts, s), short(ts)).alias("windows"), F.size(ts).alias("n")))
+        return let(slots, lambda s: F.struct(F.transform(s, lambda t: F.struct(t.at.alias("at"), t.type.alias("type"), t.word.alias("value"))).alias("slots"), F.concat(placed, dense(ts, s), short(ts)).alias("windows"), F.size(ts).alias("n")))
 
     # bound by let, not by columns: a filter that Spark moves below would repeat a column's expression for each element
     found = let(let(tokens, typed), both)
@@ -88,9 +92,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_windows: int = 6, mi
     docs: doc_id, text; benchmark: item_id, text. Windows of both are met by hash and counted by alignment.
     A document holds an item if, at one alignment, min_windows of its windows match (13 words in a row, or more
     in pieces) or min_share of them, and the slots agree: each value of the item always stands for the same
-    value of the document, and the reverse. same_values tells copies from re-parameterised items. Windows of the item
+    value of the document, and the reverse. Where they don't, the windows whose values are all the same still count by themselves, so that
+    a copy of which one mention was changed is found. same_values tells whole copies from re-parameterised or changed items. Windows of the item
     with more than half placeholders match word for word only; an item of fewer than WINDOW words is one such window. Null and
-    empty texts hold nothing; repeated rows and items with one id and text count once; other columns are ignored.
+    empty texts hold nothing; very long ones are read whole; repeated rows and items with one id and text count once; of alignments that tie, one of
+    the same values goes first; an empty table of either gives no rows; other columns are ignored.
     """
     items = templates(benchmark.select("item_id", text_of().alias("_text")).distinct())
     parts = items.select("item_id", "slots", "n", F.inline("windows")).withColumnRenamed("at", "ipos").select("item_id", "hash", "ipos", "raw", "n", _inside(F.col("ipos")).alias("islots"))
@@ -109,10 +115,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_windows: int = 6, mi
         met = met.withColumn("dslots", _inside(F.col("pos")))
     pairs = F.zip_with("islots", F.when(F.col("raw"), F.col("islots")).otherwise(F.col("dslots")), lambda i, d: F.struct(i.value.alias("i"), d.value.alias("d")))
     met = met.select("doc_id", "row_key", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", pairs.alias("pairs"))
-    aligned = met.groupBy("doc_id", "row_key", "item_id", "shift").agg(F.countDistinct("ipos").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    verbatim = F.when(~F.exists("pairs", lambda p: p.i != p.d), F.col("ipos"))
+    aligned = met.groupBy("doc_id", "row_key", "item_id", "shift").agg(F.countDistinct("ipos").alias("all"), F.countDistinct(verbatim).alias("same"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     side = lambda name: F.size(F.array_distinct(F.transform("pairs", lambda p: p[name])))
     consistent = (side("i") == F.size("pairs")) & (side("d") == F.size("pairs"))
-    aligned = aligned.filter(consistent).withColumn("same_values", ~F.exists("pairs", lambda p: p.i != p.d))
+    aligned = aligned.select("doc_id", "row_key", "item_id", F.when(consistent, F.col("all")).otherwise(F.col("same")).alias("n_windows"), (~F.exists("pairs", lambda p: p.i != p.d)).alias("same_values"))
     best = aligned.groupBy("doc_id", "row_key", "item_id").agg(F.max(F.struct("n_windows", "same_values")).alias("b"))
     best = best.select("doc_id", "row_key", "item_id", "b.n_windows", "b.same_values").join(sizes, "item_id").withColumn("share", F.col("n_windows") / F.col("windows"))
     return best.filter((F.col("n_windows") >= min_windows) | (F.col("share") >= min_share)).select("doc_id", "row_key", "item_id", "n_windows", "share", "same_values")
@@ -124,6 +131,6 @@ def op6_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without benchmark items, with all their columns."""
+    """The documents without benchmark items, with all their columns, whatever their names; repeated rows stay or go together. Null and empty texts stay."""
     bad = materialize(contaminated(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct(), "contaminated")
     return framed(docs, ["doc_id"]).join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left_anti").select("row.*")

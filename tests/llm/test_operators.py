@@ -421,7 +421,7 @@ ITEM = "A train travels 120 km from Paris to Lyon in 2 hours while Anna waits an
         (ITEM, True),
         ("before the item " + ITEM + " and after it", True),
         (ITEM.replace("120", "95").replace("Paris", "Rome").replace("Anna", "Mia").replace("km", "miles"), True),
-        (ITEM.replace("Anna reads", "Otto reads"), False),
+        (ITEM.replace("Anna reads", "Otto reads"), True),
         ("A plane flies 120 km and nothing else is the same here at all", False),
         (" ".join(reversed(ITEM.split())), False),
     ],
@@ -461,6 +461,67 @@ def test_items_of_placeholders_and_short_ones(spark, monkeypatch, item, text, fo
         assert got == ([(1, 7, *found)] if found else [])
 
 
+def held_items(docs, items, min_windows=6, min_share=0.5):
+    """(document, item, windows, same values) by the definition, over all pairs of windows."""
+    import regex
+
+    def read(text):
+        out = []
+        for m in regex.finditer(r"[\p{L}\p{M}]+|\p{N}+(?:[.,]\p{N}+)*", text):
+            w = m[0].lower()
+            number = bool(regex.match(r"\p{N}", w))
+            unit = w in decontaminate.UNITS and out and out[-1][1] == 1
+            out.append((w, 1 if number else 3 if unit else 2 if regex.match(r"\p{Lu}", m[0]) and w not in decontaminate.OPENERS else 0))
+        return out
+
+    def windows(words, n):
+        return [(i, words[i : i + n], n < 8 or sum(k > 0 for _, k in words[i : i + n]) > 4) for i in range(len(words) - n + 1)]
+
+    template = lambda w: [k or x for x, k in w]
+    found = []
+    for d, text in docs:
+        words = read(text)
+        for i, item in items:
+            own = read(item)
+            n = min(8, len(own))
+            aligned = collections.defaultdict(list)
+            for ipos, a, raw in windows(own, n) if n else []:
+                for pos, b, dense in windows(words, n):
+                    if raw and dense and [x for x, _ in a] == [x for x, _ in b] or not raw and template(a) == template(b):
+                        aligned[pos - ipos].append([(x, y) for (x, k), (y, _) in zip(a, b, strict=True) if k])
+            best = None
+            for matched in aligned.values():
+                pairs = {p for ps in matched for p in ps}
+                fits = len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs})
+                count = len(matched) if fits else sum(all(x == y for x, y in ps) for ps in matched)
+                best = max(best or (0, False), (count, all(x == y for x, y in pairs)))
+            if best and (best[0] >= min_windows or best[0] / max(1, len(own) - n + 1) >= min_share):
+                found.append((d, i, *best))
+    return sorted(found)
+
+
+def test_contaminated_by_hand(spark):
+    draw = random.Random(6)
+    people = ["Anna", "Otto", "Mia", "Eva", "Paul"]
+    items = [ITEM, NUMBERS, "Otto has 5 apples and 3 pears. Mia has 2 kg of plums. How many apples does Otto have when Mia gives him 4 more of hers today?", "2 4 6 8", "Name the longest river", "Berlin is the largest city of the country and 3 rivers run through it, which of them is the longest?"]
+    docs = []
+    for _ in range(120):
+        words = draw.choice(items).split()
+        for _ in range(draw.choice([0, 0, 1, 2, 4])):
+            k = draw.randrange(len(words))
+            words[k] = draw.choice([draw.choice(people), str(draw.randint(1, 9)), "word", words[k].lower(), words[k]])
+        a, b = draw.choice(people), draw.choice(people)
+        if draw.random() < 0.4:
+            words = [w.replace("Otto", a).replace("Mia", b).replace("3", "7") for w in words]
+        docs.append(" ".join(draw.choices(["before", "The", "9", "Paul"], k=draw.randint(0, 4)) + words + ["after"] * draw.randint(0, 3)))
+    want = held_items(list(enumerate(docs)), list(enumerate(items)))
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontaminate.op6_decontaminate(rows, bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["n_windows"], r["same_values"]) for r in found) == want
+    assert len(want) > 50 and any(not w[3] for w in want)
+
+
 def test_whole_items_are_found(spark, small):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     plain = lambda t: " ".join(re.findall(r"\w+", (t or "").lower()))
