@@ -11,7 +11,7 @@ from foliant.llm.common import materialize, text_of
 BITS = 8
 #: Rows of a cell that are ranked in one task; larger cells are split by hash.
 RANKED = 256
-#: Cells are broadcast up to this many (16 bytes each); more are joined by a shuffle.
+#: Cells and values of a dimension are broadcast up to this many (some 16 bytes each); more are joined by a shuffle.
 BROADCAST_CELLS = 1_000_000
 
 
@@ -61,13 +61,27 @@ def text_checksum(column: str = "text") -> Column:
     return F.crc32(F.encode(text_of(column), "UTF-8"))
 
 
-def cell_of() -> Column:
-    """The curve's index of a document (lang, source, _size): language by its first letters, source by hash, size by its logarithm; null is highest."""
-    letter = lambda k: F.greatest(F.lit(0), F.least(F.lit(25), F.ascii(F.substring(F.lower("lang"), k, 1)) - 97))
-    lang = F.coalesce(F.floor((letter(1) * 26 + letter(2)) * 254 / 675), F.lit(255))
-    source = F.coalesce(F.shiftright(F.crc32(F.encode("source", "UTF-8")), 24), F.lit(255))
-    size = F.least(F.lit(255), F.floor(F.log2(F.col("_size").cast("double")) * 8))
-    return hilbert_index([lang, source, size])
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_CELLS else table
+
+
+def with_cells(rows: DataFrame) -> DataFrame:
+    """Adds _cell, the curve's index, to rows (lang, source, _size).
+
+    Each dimension is quantised by its own values, in their order (sizes by eighths of their logarithm; null last): a value's coordinate is the share of the
+    rows before it, in 2 ** BITS steps, so that the bits are spent where rows differ. The values are counted first and joined.
+    """
+    octave = F.floor(F.log2(F.col("_size").cast("double")) * 8)
+    counts = materialize(rows.groupBy("lang", "source", octave.alias("octave")).agg(F.count("*").alias("n")), "shard-values")
+    placed = rows.withColumn("_octave", octave)
+    for name, own in (("lang", "lang"), ("source", "source"), ("octave", "_octave")):
+        before = Window.orderBy(F.col(name).isNull(), name)  # a row for each value
+        known = counts.groupBy(name).agg(F.sum("n").alias("n"))
+        share = F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / F.sum("n").over(Window.partitionBy())
+        known = materialize(known.select(F.col(name).alias(f"_of_{name}"), F.floor(share * (1 << BITS)).alias(f"_at_{name}")), "shard-places")
+        placed = placed.join(_small(known), F.col(own).eqNullSafe(F.col(f"_of_{name}")))
+    index = hilbert_index([F.col(f"_at_{n}") for n in ("lang", "source", "octave")])
+    return placed.select(*rows.columns, index.alias("_cell"))
 
 
 def shard_rows(docs: DataFrame, shards: int = 8, size: Column | None = None, checksum: Column | None = None) -> DataFrame:
@@ -76,17 +90,16 @@ def shard_rows(docs: DataFrame, shards: int = 8, size: Column | None = None, che
     Rows go by cell, then hash, id and checksum, and are cut into runs whose counts are at most one apart;
     slots number a shard's rows from 0. Cells, and parts of large cells, are counted first, so that ranks need no
     sort in one task. Null metadata sorts last on its axis; a null text is empty; rows that tie are
-    equal in doc_id and checksum and are ranked in any order; an empty table gives no rows; other columns
+    equal in doc_id and checksum and are ranked in any order; very long texts count by their size like any other; an empty table gives no rows; other columns
     stay, but for shard and slot, which are replaced.
     """
     kept = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c not in ("shard", "slot")]
     rows = docs.select(F.struct(*kept).alias("row"), "doc_id", "lang", "source", (text_size() if size is None else size).alias("_size"), (text_checksum() if checksum is None else checksum).alias("_crc"))
-    rows = rows.withColumn("_cell", cell_of()).withColumn("_mix", F.xxhash64("doc_id", "_crc"))
+    rows = with_cells(rows).withColumn("_mix", F.xxhash64("doc_id", "_crc"))
     narrow = materialize(rows.select("_cell", "_mix"), "shard-cells")
     parts = narrow.groupBy("_cell").agg(F.ceil(F.count("*") / RANKED).alias("_parts"))
     parts = materialize(parts.select(F.col("_cell").alias("_c"), "_parts"), "shard-parts")
-    if parts.count() <= BROADCAST_CELLS:
-        parts = F.broadcast(parts)
+    parts = _small(parts)
     part = F.pmod(F.col("_mix"), F.col("_parts"))
     counts = narrow.join(parts, F.col("_cell") == F.col("_c")).groupBy("_cell", part.alias("_part")).agg(F.count("*").alias("_n"))
     counts = counts.withColumn("_high", F.shiftright("_cell", 3 * BITS // 2))
@@ -105,6 +118,15 @@ def shard_rows(docs: DataFrame, shards: int = 8, size: Column | None = None, che
     return ranked.select("row.*", "shard", "slot")
 
 
+def write_shards(sharded: DataFrame, path: str, rows_per_file: int = 1 << 20) -> None:
+    """Writes rows with shard and slot as Parquet, in the curve's order: a folder for each shard, cut into files of so many slots.
+
+    Neighbours on the curve are alike in each dimension, so that a file's least and greatest values, which Parquet keeps, rule most files out for a filter on any.
+    """
+    cut = sharded.withColumn("run", F.expr(f"slot div {rows_per_file}"))
+    cut.repartition("shard", "run").sortWithinPartitions("shard", "run", "slot").write.partitionBy("shard", "run").parquet(path)
+
+
 def op8_sharding(docs: DataFrame) -> DataFrame:
     """The thin query over shard_rows: the law is rows."""
     slim = materialize(docs.select("doc_id", "lang", "source", text_size().alias("size"), text_checksum().alias("text_crc32")), "shard-rows")

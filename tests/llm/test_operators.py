@@ -587,6 +587,47 @@ def test_shards(odd, odd_rows, monkeypatch, ranked):
         assert sorted(r["slot"] for r in found if r["shard"] == s) == list(range(counts[s]))
 
 
+def test_shards_follow_the_curve(spark, odd):
+    rows = odd.select("doc_id", "lang", "source", sharding.text_size().alias("_size"), sharding.text_checksum().alias("crc"))
+    cells = {(r["doc_id"], r["crc"]): r["_cell"] for r in sharding.with_cells(rows).collect()}
+    found = sorted(collected(sharding.op8_sharding(odd)), key=lambda r: (r["shard"], r["slot"]))
+    order = [cells[r["doc_id"], r["text_crc32"]] for r in found]
+    assert order == sorted(order) and len(set(order)) > 20
+    n = len(found)
+    assert [r["shard"] for r in found] == [k * 8 // n for k in range(n)]
+
+
+def test_cells_spread_over_the_values(spark, odd, odd_rows):
+    rows = odd.select("doc_id", "lang", "source", F.lit(8).alias("_size"))
+    cells = {(r["lang"], r["source"]): r["_cell"] for r in sharding.with_cells(rows).collect()}
+    pairs = collections.Counter((r[2], r[3]) for r in odd_rows)
+    place = {}
+    for k in (0, 1):
+        at, counts = 0, collections.Counter(r[2 + k] for r in odd_rows)
+        for v in sorted(counts, key=lambda x: (x is None, x or "")):
+            place[k, v], at = at * 256 // len(odd_rows), at + counts[v]
+    corner = spark.createDataFrame([(place[0, a], place[1, b], 0, a, b) for a, b in pairs], "x long, y long, z long, a string, b string")
+    want = {(r["a"], r["b"]): r["h"] for r in corner.withColumn("h", sharding.hilbert_index([F.col("x"), F.col("y"), F.col("z")])).collect()}
+    assert cells == want
+
+
+def test_files_are_skipped_on_each_dimension(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sharding.write_shards(sharding.shard_rows(docs), str(tmp_path / "out"), 16)
+    files = [pq.ParquetFile(f) for f in (tmp_path / "out").rglob("*.parquet")]
+    assert len(files) >= 60 and sum(f.metadata.num_rows for f in files) == docs.count()
+    column = {f.metadata.row_group(0).column(k).path_in_schema: k for f in files[:1] for k in range(f.metadata.num_columns)}
+    ranges = lambda c: [(s.min, s.max) for f in files if (s := f.metadata.row_group(0).column(column[c]).statistics)]
+    skipped = lambda c, v: sum(not a <= v <= b for a, b in ranges(c)) / len(files)
+    values = {c: [r[0] for r in docs.select(c).distinct().collect()] for c in ("lang", "source")}
+    for c, least in (("lang", 0.6), ("source", 0.6)):
+        assert np.mean([skipped(c, v) for v in values[c]]) > least, c
+    sizes = np.quantile([r[0] for r in docs.select("n_chars").collect()], [0.1, 0.5, 0.9])
+    assert np.mean([skipped("n_chars", int(v)) for v in sizes]) > 0.5
+
+
 # op9
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href=/>Home</a></nav>
