@@ -23,6 +23,8 @@ AWAY = {"nav", "aside", "form", "footer", "menu", "dialog", "search", "fieldset"
 AWAY_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form"}
 AWAY_NAMES = re.compile(r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo|promotion|banner|sidebar|side|widget|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommended|pagination|pager|toolbar|copyright)(?:$|[-_\s\d])", re.I)
 MAIN_NAMES = re.compile(r"(?:^|[-_\s])(?:article|content|main|post|entry|story|body)(?:$|[-_\s])", re.I)
+# Fixed phrases of notices and calls to readers, which tell against short blocks.
+NOTICE = re.compile(r"\bcookies?\b|\bsubscribe\b|\bnewsletter\b|\bsign (?:in|up)\b|\blog ?in\b|\badvertisement\b|\bsponsored\b|\bshare (?:this|on)\b|\brelated (?:posts|articles|stories)\b|©|\(c\) ?\d{4}|\ball rights reserved\b", re.I)
 TEXT_TAGS = {"p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption", "dd", "dt", "td", "th"}
 
 
@@ -133,9 +135,22 @@ def wrappers(blocks: list[Block]) -> set[int]:
     return found
 
 
+def is_away(block: Block, wraps: set[int] = frozenset()) -> bool:
+    """Whether an element around a block says that it is boilerplate: its kind, its role, or its name unless it is one of wraps."""
+    inside = False
+    for tag, own, names, role, _ in block.path:
+        inside |= tag in ("article", "main") or role in ("main", "article")
+        if tag in AWAY or role in AWAY_ROLES or (tag == "header" and not inside):
+            return True
+        if tag not in ("html", "body", "article", "main") and own not in wraps and AWAY_NAMES.search(names):
+            return True
+    return False
+
+
 def leaning(block: Block, wraps: set[int] = frozenset()) -> float:
     """How far a block by itself looks like content (above 0) or boilerplate: a linear classifier with set weights.
 
+    Without a sign of boilerplate a block is content: only links, notices, and the elements around it tell against it.
     A name of boilerplate is a cost, and what is around it doesn't speak for the block any more; the names of wraps don't count.
     """
     z, inside, named = 0.0, False, False
@@ -149,11 +164,10 @@ def leaning(block: Block, wraps: set[int] = frozenset()) -> float:
             z += 1.0
     z = min(z, 2.0) + 6.0 * inside - 7.0 * named
     tags = [e[0] for e in block.path if e[0] in BLOCKS]
-    z += 1.5 if tags and tags[-1] in TEXT_TAGS else 0.0
-    z += min(len(block.text), 400) / 100 - 1.5
-    z += 0.5 if re.search(r"[.!?…。]", block.text) else -0.5
+    z += 1.0 if tags and tags[-1] in TEXT_TAGS else 0.0
+    z += 0.5 + min(len(block.text), 400) / 200
     z -= 5.0 * block.linked / len(block.text)
-    return z - (2.0 if re.search(r"©|\(c\) ?\d{4}|all rights reserved", block.text, re.I) and not inside else 0.0)
+    return z - (3.0 if len(block.text) < 200 and not inside and NOTICE.search(block.text) else 0.0)
 
 
 def proximity(a: Block, b: Block) -> float:
@@ -248,13 +262,17 @@ def content(blocks: list[Block], smooth: float = 1.0) -> list[bool]:
 
 
 def main_text(html: str) -> str:
-    """The content blocks of a page, in page order, joined by line ends."""
+    """The content blocks of a page, in page order, joined by line ends. If the cut leaves none, all blocks that no element calls boilerplate."""
     blocks = page_blocks(html)
-    return "\n".join(b.text for b, yes in zip(blocks, content(blocks), strict=True) if yes)
+    kept = [b for b, yes in zip(blocks, content(blocks), strict=True) if yes]
+    if not kept:
+        wraps = wrappers(blocks)
+        kept = [b for b in blocks if not is_away(b, wraps)]
+    return "\n".join(b.text for b in kept)
 
 
 def extract(html: Column) -> Column:
-    """The main text of pages; a null or empty page, or one without content, gives an empty text."""
+    """The main text of pages; a null or empty page, or one of boilerplate alone, gives an empty text. Very long pages are read whole."""
 
     @F.pandas_udf("string")
     def texts(pages: pd.Series) -> pd.Series:

@@ -645,6 +645,30 @@ def test_page_text(spark):
     assert found[4]["text"].startswith("Just one") and found[4]["n_chars"] == len(found[4]["text"])
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<body><p>Ok</p></body>", "Ok"),
+        ("<table><tr><td>Cell a<td>Cell b</table>", "Cell a\nCell b"),
+        ("just a word", "just a word"),
+        ("<nav><a href=/>Home</a></nav><div>The mill</div><p>A short story.</p><footer>End</footer>", "The mill\nA short story."),
+        ("<div><a href=/>All of it is a link</a></div>", "All of it is a link"),
+        ("<div>The mill</div><div>" + "The wheel of the mill turns in the river all day and all night long. " * 4 + "</div><div><a href=/a>One</a> <a href=/b>Two</a></div>", "The mill\n" + ("The wheel of the mill turns in the river all day and all night long. " * 4).strip()),
+        ("<p>" + "long " * 200_000 + "</p>", ("long " * 200_000).strip()),
+        ("<body>" + "<p>Line of the page.</p>" * 3_000 + "<nav>menu</nav></body>", "\n".join(["Line of the page."] * 3_000)),
+        ("<nav>menu</nav><form><p>Name</p></form>", ""),
+    ],
+)
+def test_pages_without_boilerplate_stay_whole(html, text):
+    assert html_text.main_text(html) == text
+
+
+def test_repeated_pages_and_other_columns(spark):
+    rows = spark.createDataFrame([(1, "u", PAGE, "x")] * 3 + [(None, None, PAGE, None)], "page_id long, url string, html string, text string").withColumn("n_chars", F.lit("x"))
+    found = html_text.op9_html_text(rows).collect()
+    assert [r["page_id"] for r in found] == [1, 1, 1, None] and len({(r["text"], r["n_chars"]) for r in found}) == 1
+
+
 def test_articles_of_the_pages(spark):
     from html import unescape
 
