@@ -14,6 +14,8 @@ from foliant.llm.common import materialize, small_batches
 
 #: Buckets of hashed letter trigrams, and letters labelled at a time.
 BUCKETS, LETTERS = 1 << 15, 1_000_000
+#: Languages of a model, which is broadcast: BUCKETS floats each. There are some 8,000 languages in the world; 1,024 models take 128 MB.
+MAX_LANGUAGES = 1_024
 # Fixed first code points of script ranges; a range ends where the next begins. The first is for other characters.
 SCRIPTS = [
     ("other", 0x0), ("latin", 0x41), ("greek", 0x370), ("cyrillic", 0x400), ("armenian", 0x530), ("hebrew", 0x590), ("arabic", 0x600),
@@ -65,10 +67,13 @@ def held_out() -> Column:
 def learn(docs: DataFrame, per_language: int = 3000, written_share: float = 0.005) -> Model:
     """Learns from the text and lang of documents that aren't held out: about per_language of each language, drawn by hash.
 
-    What reaches the driver is a row of counts for each language and bucket, whatever the input's size.
+    What reaches the driver is a row of counts for each language and bucket, whatever the input's size. A table with more than MAX_LANGUAGES
+    values of lang is an error, as those aren't languages. Null and empty texts and null languages teach nothing, and a table without any gives an empty model.
     """
     usable = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", F.lit("sample")).alias("h"))
-    there = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    there = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(there) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not there:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(NAMES), 0), bool))
     spark = docs.sparkSession
@@ -166,7 +171,8 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
 
     Each word scores the log chance of its letter trigrams in the languages that use its script; Viterbi labels the words, where
     a change of language costs penalty. spans lists lang:begin:end in code points; lang_pred has most letters, score is its share of them.
-    A null text, one without letters, or an empty model gives und, 0 and no spans; rows stay as they are.
+    A null text, one without letters, or an empty model gives und, 0 and no spans; rows stay as they are, with all their columns, whatever their names, but for
+    those three, which are replaced. Very long texts are labelled whole; where languages tie, the first by name is taken.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats for each language
 
@@ -187,7 +193,8 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
                     held += len(texts.iloc[k])
             yield pd.DataFrame(list(out), columns=["lang_pred", "score", "spans"])
 
-    return docs.withColumn("_found", labelled(F.col("text").cast("string"))).select(*[c for c in docs.columns if c not in ("lang_pred", "score", "spans")], "_found.*")
+    kept = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c not in ("lang_pred", "score", "spans")]
+    return docs.select(F.struct(*kept).alias("row"), labelled(F.col("text").cast("string")).alias("found")).select("row.*", "found.*")
 
 
 def op7_language(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import materialize
 
-#: The vocabulary's place, as ranks of byte pieces; every machine has it there.
+#: The vocabulary's place, as ranks of byte pieces, where the session doesn't name another in SETTING; every machine has it there.
+SETTING = "spark.foliant.vocabulary"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed pattern by which this vocabulary's texts are cut before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -74,4 +75,4 @@ def length_quantile(sums: DataFrame, q: float) -> DataFrame:
 
 def op10_token_counts(docs: DataFrame) -> DataFrame:
     """The thin query over length_histogram and suffix_sums: every occurring length as a context limit."""
-    return suffix_sums(length_histogram(docs)).withColumn("quantile", F.round("quantile", 9))
+    return suffix_sums(length_histogram(docs, docs.sparkSession.conf.get(SETTING, VOCABULARY))).withColumn("quantile", F.round("quantile", 9))

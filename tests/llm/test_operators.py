@@ -564,6 +564,14 @@ def test_mixed_text_and_scripts(spark):
     assert [r["lang_pred"] for r in found[1:]] == ["ru", "und", "und", "und"]
 
 
+def test_language_keeps_other_columns(spark):
+    rows = spark.createDataFrame([(1, "the cat", "own", "dotted")], "doc_id long, text string, _found string, `a.b` string")
+    model = language.learn(spark.createDataFrame([(k, "the cat sat on the mat", "en") for k in range(8)], "doc_id long, text string, lang string"))
+    found = language.identify(rows, model)
+    assert found.columns == ["doc_id", "text", "_found", "a.b", "lang_pred", "score", "spans"]
+    assert found.first()[:5] == (1, "the cat", "own", "dotted", "en")
+
+
 # op8
 
 
