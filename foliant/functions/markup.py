@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import re
-from html import escape
 from html.parser import HTMLParser
 
+from foliant.functions.code_lines import runs
+
 # Fixed sets of element names and attributes.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 UNSEEN = {"script", "style", "head", "template", "noscript"}
@@ -22,6 +23,12 @@ CALLOUT_TEXT = re.compile(r"(note|tip|warning|important|caution):\s+")
 PRESETS = ("plain_blocks", "clean_article", "documentation")
 
 
+def escape(text: str, quote: bool = True) -> str:
+    """Text as HTML; quotes as in attributes and code."""
+    out = text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    return out.replace('"', "&quot;").replace("'", "&#039;") if quote else out
+
+
 class Node:
     """An element, or a text where tag is empty."""
 
@@ -99,6 +106,14 @@ def cleaned(node: Node, allowed: dict[str, tuple[str, ...]]) -> str:
     return "".join(out)
 
 
+def outer(node: Node) -> str:
+    """A node as HTML, with its attributes and all that is in it; scripts and the like go."""
+    if not node.tag:
+        return escape(node.text, quote=False)
+    attrs = "".join(f' {k}="{escape(v)}"' for k, v in node.attrs.items() if not k.startswith("on") and not v.strip().lower().startswith("javascript:"))
+    return f"<{node.tag}{attrs}>" + ("" if node.tag in VOID else "".join(outer(c) for c in node.children if c.tag not in UNSEEN) + f"</{node.tag}>")
+
+
 def standalone_image(node: Node) -> dict | None:
     """The image of an img, or of an a, figure, p or span with one img and no text besides a caption."""
     images = node.find("img")
@@ -180,33 +195,50 @@ def block_of(node: Node, preset: str = "plain_blocks") -> tuple[str, dict, str]:
     if tag == "blockquote":
         return "quote", {}, f"<blockquote>{cleaned(node, QUOTE)}</blockquote>"
     if tag in ("pre", "code"):
-        code = escape(node.content())
-        return ("code", {}, f'<pre class="wp-block-code"><code>{code}</code></pre>') if preset == "documentation" else ("preformatted", {}, f"<pre>{escape(node.content(), quote=False)}</pre>")
+        return code_block(node.content()) if preset == "documentation" else ("preformatted", {}, f"<pre>{escape(node.content(), quote=False)}</pre>")
     if tag == "hr":
         return "separator", {}, '<hr class="wp-block-separator has-alpha-channel-opacity"/>'
-    return "html", {}, f"<{tag}>{escape(node.content(), quote=False)}</{tag}>"
+    return "html", {}, outer(node)
+
+
+def code_block(code: str) -> tuple[str, dict, str]:
+    code = code.replace("\r\n", "\n").replace("\r", "\n").rstrip()
+    return "code", {}, f'<pre class="wp-block-code"><code>{escape(code)}</code></pre>'
+
+
+def code_paragraphs(children: list[Node]) -> dict[int, tuple[int, str]]:
+    """Of the children of a container: first child to (last child, code) of each run of code in paragraphs. Only plain paragraphs without images and tables are lines."""
+    plain = [c.tag == "p" and role(c) == "default" and not c.find("img") and not c.find("table") for c in children]
+    texts = ["\n".join(x.replace("\u00a0", " ").rstrip() for x in re.split(r"\r\n|\r|\n", c.content())) if yes else None for c, yes in zip(children, plain, strict=True)]
+    return {first: (last, code) for first, last, _, code in runs(texts)}
 
 
 def page_blocks(html: str, preset: str = "plain_blocks") -> list[dict]:
     """The blocks of a page in order: name, role, tag, level, depth, attrs (JSON), text, inner. Wrappers are transparent; empty
-    parts are left out, but for images and rules, and in plain_blocks all elements stay."""
+    parts are left out, but for images and rules, and in plain_blocks all elements stay. In documentation, runs of paragraphs that are code become one block."""
     out: list[dict] = []
 
+    def add(name: str, kind: str, tag: str, depth: int, attrs: dict, text: str, inner: str) -> None:
+        level = int(tag[1]) if re.fullmatch("h[1-6]", tag) else 0
+        out.append({"name": name, "role": kind, "tag": tag, "level": level, "depth": depth, "attrs": json.dumps(attrs, ensure_ascii=False), "text": text, "inner": inner})
+
     def visit(node: Node, depth: int) -> None:
-        for c in node.children:
+        children = [c for c in node.children if c.tag and c.tag not in UNSEEN or c.text.strip()]
+        code, after = code_paragraphs(children) if preset == "documentation" else {}, 0
+        for k, c in enumerate(children):
             text = " ".join(c.content().split())
-            if c.tag in UNSEEN:
+            if k in code:
+                after, found = code[k][0] + 1, code[k][1]
+                add("code", "code", "p", depth, {}, found, code_block(found)[2])
+            elif k < after:
                 continue
-            if not c.tag:
-                if text:
-                    out.append({"name": "paragraph", "role": "default", "tag": "", "level": 0, "depth": depth, "attrs": "{}", "text": text, "inner": f"<p>{escape(text, quote=False)}</p>"})
+            elif not c.tag:
+                add("paragraph", "default", "", depth, {}, text, f"<p>{escape(text, quote=False)}</p>")
             elif c.tag in WRAPPERS and role(c) == "container":
                 visit(c, depth + 1)
             elif text or c.tag == "hr" or c.find("img") or preset == "plain_blocks" and c.tag != "br":
                 name, attrs, inner = block_of(c, preset)
-                level = int(c.tag[1]) if re.fullmatch("h[1-6]", c.tag) else 0
-                raw = c.content() if c.tag in ("p", "pre") else text
-                out.append({"name": name, "role": role(c), "tag": c.tag, "level": level, "depth": depth, "attrs": json.dumps(attrs, ensure_ascii=False), "text": raw, "inner": inner})
+                add(name, role(c), c.tag, depth, attrs, c.content() if c.tag in ("p", "pre") else text, inner)
 
     visit(parse(html), 0)
     return out

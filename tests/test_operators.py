@@ -62,6 +62,93 @@ def test_code_runs(lines, want):
     assert [r[:3] for r in code_lines.code_runs(lines)] == want
 
 
+@pytest.mark.parametrize(
+    ("lines", "want"),
+    [
+        (["```", "a", "", "  ", "```"], [(0, 4, "fenced", "a")]),
+        (["```js", "never closed", "words"], [(0, 0, "lines", "```js")]),
+        (["~~~", "x", "```", "y"], [(0, 2, "fenced", "x")]),
+        (["curl x \\", "-H 'a' \\", "-d b \\", "https://host/x", "prose"], [(0, 3, "lines", "curl x \\\n-H 'a' \\\n-d b \\\nhttps://host/x")]),
+        (["curl x", "-H a", "prose"], [(0, 0, "lines", "curl x")]),
+        (["-H a", "-d b"], []),
+        (["Given a", '"""', "any words", '"""', "Then b"], [(0, 4, "lines", 'Given a\n"""\nany words\n"""\nThen b')]),
+        (["class A {", '"""', "left open"], []),
+        (["root/", "├── a.txt", "│   └── b/", "End."], [(0, 2, "lines", "root/\n├── a.txt\n│   └── b/")]),
+        (["<a>", "  text = 1", "</a>", ""], [(0, 2, "lines", "<a>\n  text = 1\n</a>")]),
+        (["};"], []),
+        (["* item", "* other"], [(0, 1, "lines", "* item\n* other")]),
+        (["a\u00a0b {", "return x;\u00a0"], [(1, 1, "lines", "return x;")]),
+    ],
+)
+def test_texts_of_code_runs(lines, want):
+    assert code_lines.code_runs(lines) == want
+
+
+def folded(lines):
+    """Runs by a fold over the lines one at a time."""
+    out, k = [], 0
+    text = [code_lines.normalized(x) for x in lines]
+    while k < len(text):
+        if code_lines.FENCE.fullmatch(text[k]) and (ends := [j for j in range(k + 1, len(text)) if code_lines.FENCE.fullmatch(text[j])]):
+            out.append((k, ends[0]))
+            k = ends[0] + 1
+            continue
+        open_quote = shell = False
+        j = k
+        while j < len(text):
+            c, on = code_lines.letter(text[j]), text[j].endswith("\\")
+            if open_quote:
+                open_quote = c != "Q"
+            elif c in "bp" or c in "oO" and not shell:
+                break
+            else:
+                open_quote, shell = c == "Q", c == "C" or shell and c in "XOK" and on
+            j += 1
+        if not open_quote and j > k and (j > k + 1 or code_lines.letter(text[k]) in "CSXx"):
+            out.append((k, j - 1))
+            k = j
+        else:
+            k += 1
+    return out
+
+
+def test_code_runs_by_a_fold():
+    import random
+
+    draw = random.Random(3)
+    lines = ["prose here", "", "```", "~~~py", "curl a \\", "-d b \\", "-d c", "  --x=1 \\", '"""', "Given a", "class B {", "}", "  y(z)", "root/", "https://host/x \\", "--a-b/"]
+    for _ in range(3_000):
+        some = draw.choices(lines, k=draw.randint(1, 9))
+        assert [r[:2] for r in code_lines.code_runs(some)] == folded(some), some
+
+
+P = lambda *lines: "".join(f"<p>{x}</p>\n" for x in lines)
+MARKED = lambda name, inner, attrs="": f"<!-- wp:{name}{attrs} -->{inner}<!-- /wp:{name} -->"
+CODE = lambda text: MARKED("code", f'<pre class="wp-block-code"><code>{text}</code></pre>')
+
+
+@pytest.mark.parametrize(
+    ("preset", "page", "want"),
+    [
+        ("documentation", P("Words.", "```yaml", "key: 'v'", "", "</p><p>other: 1", "```", "More."), MARKED("paragraph", "<p>Words.</p>") + CODE("key: &#039;v&#039;\n\n\nother: 1") + MARKED("paragraph", "<p>More.</p>")),
+        ("documentation", P("npm install", "  -g x"), CODE("npm install\n  -g x")),
+        ("clean_article", P("npm install"), MARKED("paragraph", "<p>npm install</p>")),
+        ("documentation", P("&lt;a b=\"c\"&gt;", "&nbsp;&nbsp;&lt;d/&gt;", "&lt;/a&gt;"), CODE("&lt;a b=&quot;c&quot;&gt;\n  &lt;d/&gt;\n&lt;/a&gt;")),
+        ("documentation", P("class A {") + "<h2>T</h2>" + P("}"), CODE("class A {") + MARKED("heading", "<h2>T</h2>", ' {"level":2}') + CODE("}")),
+        ("documentation", P("class A {", 'x <img src="i"> y', "}"), CODE("class A {") + MARKED("paragraph", '<p>x <img src="i"> y</p>') + CODE("}")),
+        ("documentation", "<div>" + P("$ ls", "Note: words") + "</div>", CODE("$ ls") + MARKED("quote", '<blockquote class="wp-block-quote doc-callout"><p>Note: words</p></blockquote>', ' {"className":"doc-callout"}')),
+        ("documentation", "<pre>a &amp; 'b'\n\n</pre>", CODE("a &amp; &#039;b&#039;")),
+        ("plain_blocks", '<aside class="x" onclick="y()">Un<b>supp</b>orted<br>&amp; <script>z</script></aside>', MARKED("html", '<aside class="x">Un<b>supp</b>orted<br>&amp; </aside>')),
+        ("plain_blocks", '<video controls src="v"></video>', MARKED("html", '<video controls="" src="v"></video>')),
+        ("clean_article", '<figure><img src="a" alt="it\'s"><figcaption>Cap</figcaption></figure>', MARKED("image", '<figure class="wp-block-image"><img src="a" alt="it&#039;s" /><figcaption class="wp-element-caption">Cap</figcaption></figure>', ' {"url":"a","alt":"it\'s","caption":"Cap"}')),
+        ("clean_article", "<h3>2. Two</h3><ul><li><span>a</span><p>b</p></li></ul>words<ul><li>c</li></ul>", MARKED("heading", "<h3>2. Two</h3>", ' {"level":3}') + MARKED("list", '<ul class="wp-block-list">' + MARKED("list-item", "<li>ab</li>") + "</ul>") + MARKED("paragraph", "<p>words</p>") + MARKED("list", '<ul class="wp-block-list">' + MARKED("list-item", "<li>c</li>") + "</ul>")),
+        ("documentation", "<table><tr><th>S</th></tr><tr><td>R</td></tr></table><hr>", MARKED("table", '<figure class="wp-block-table"><table><tr><th>S</th></tr><tr><td>R</td></tr></table></figure>') + MARKED("separator", '<hr class="wp-block-separator has-alpha-channel-opacity"/>')),
+    ],
+)
+def test_pages_by_preset(preset, page, want):
+    assert html(page, preset) == want
+
+
 def test_heroes_and_sections(spark):
     pages = spark.createDataFrame([(1, '<p>before</p><h1>T</h1><p><img src="a"></p><p>lead</p><h2>S</h2><p>x</p>'), (2, "<p>only</p>")], "page_id long, html string")
     rows = documents.blocks(pages)
