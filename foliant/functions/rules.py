@@ -10,6 +10,11 @@ LARGE_BYTES = 8_388_608
 STALE_SECONDS = 600
 STALL_FLOOR = 7_200
 INTERVALS = {"hourly": 3_600, "twicedaily": 43_200, "daily": 86_400, "weekly": 604_800}
+#: Steps of a sync and how far it is at each; a partial import goes on from its own by the share that is done.
+STEPS = {"queued": 0, "checking": 10, "exporting": 25, "large_doc_fallback": 35, "importing": 55, "large_doc_partial_import": 55, "converting": 70, "updating": 90, "complete": 100}
+PARTIAL = 14
+INTERVAL_NAMES = ("off", "hourly", "twicedaily", "daily", "weekly")
+UNAVAILABLE = ("accessnotconfigured", "has not been used", "disabled")
 RECONNECT_CODES = ("access_denied", "credentials_missing", "reconnect_required", "transient_failure")
 
 
@@ -60,6 +65,37 @@ def remote_error(http_status: Column, body: Column) -> Column:
     return F.when(transient, "transient_failure").when(large, "export_too_large").when(http_status.isin(401, 403, 404), "access_denied").otherwise("bad_response")
 
 
+def document_error(http_status: Column, body: Column) -> Column:
+    """What a failed read of a document tree means."""
+    text = F.lower(F.coalesce(body, F.lit("")))
+    unavailable = text.contains(UNAVAILABLE[0]) | text.contains(UNAVAILABLE[1]) | text.contains(UNAVAILABLE[2])
+    return (
+        F.when((http_status == 429) | (http_status >= 500), "transient_failure")
+        .when((http_status == 403) & unavailable, "api_unavailable")
+        .when(http_status.isin(401, 403, 404), "access_denied")
+        .otherwise("bad_response")
+    )
+
+
+def step_progress(step: Column, done: Column, total: Column) -> Column:
+    """How far a sync is, in percent, at a step; null for an unknown one. done of total counts the elements of a partial import."""
+    known = F.create_map(*[F.lit(x) for pair in STEPS.items() for x in pair])
+    share = F.least(F.greatest(F.coalesce(done / F.nullif(total, F.lit(0)), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    more = F.when(step == "large_doc_partial_import", F.floor(share * PARTIAL)).otherwise(0)
+    return (F.try_element_at(known, step) + more).cast("int")
+
+
+def interval(own: Column, site: Column) -> Column:
+    """The schedule of a watch: its own, or the site's where it says site; off where that isn't known."""
+    chosen = F.when(F.coalesce(own, F.lit("site")) == "site", site).otherwise(own)
+    return F.when(chosen.isin(*INTERVAL_NAMES), chosen).otherwise("off")
+
+
+def post_type_rank(name: Column) -> Column:
+    """post first, then page, then the others."""
+    return F.when(name == "post", 0).when(name == "page", 1).otherwise(2)
+
+
 def recovery_hint(code: Column, step: Column, status: Column, has_lock: Column, has_schedule: Column) -> Column:
     """The kind of help for an event; the first rule that fits counts, none gives an empty string."""
     lost = (status == "syncing") & (has_lock == F.lit(False)) & (has_schedule == F.lit(False))

@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 # Fixed limits in characters.
 EVENT_FIELD, EVENT_MESSAGE, PROGRESS_MESSAGE, ERROR_MESSAGE = 160, 300, 240, 500
+# Fixed patterns: what is redacted, document ids and addresses, windows of days.
+BEARER = r"(?i)Bearer\s+[A-Za-z0-9._~+/=-]+"
+SECRET = r"(?i)(access_token|refresh_token|client_secret|authorization)\s*[:=]\s*[^\s,;]+"
+DOCUMENT_HOST, DOCUMENT_PATH, DOCUMENT_PART, DOCUMENT_ID = "docs.google.com", r"(^|/)document(/|$)", r"(?:^|/)d/([^/]+)", r"^[A-Za-z0-9_-]{10,200}$"
+WINDOW, WINDOW_DAYS = r"^([1-9][0-9]*)d$", 90
 # Fixed image types; any other becomes .png.
 IMAGE_SUFFIXES = {"image/gif": ".gif", "image/jpeg": ".jpg", "image/jpg": ".jpg", "image/png": ".png", "image/webp": ".webp"}
 
@@ -19,8 +24,7 @@ def blank_to_null(value: Column) -> Column:
 
 def redact(text: Column) -> Column:
     """Bearer tokens first, then key and value pairs of secrets; letters match in either case."""
-    bearer = F.regexp_replace(text, r"(?i)Bearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [redacted]")
-    return F.regexp_replace(bearer, r"(?i)(access_token|refresh_token|client_secret|authorization)\s*[:=]\s*[^\s,;]+", "$1=[redacted]")
+    return F.regexp_replace(F.regexp_replace(text, BEARER, "Bearer [redacted]"), SECRET, "$1=[redacted]")
 
 
 def truncate(text: Column, length: int) -> Column:
@@ -42,7 +46,14 @@ def sanitize_text(text: Column) -> Column:
 
 
 def whole_number(text: Column) -> Column:
-    return F.when(text.rlike(r"^[0-9]{1,18}$"), text.cast("long"))
+    """The number of a text of digits alone; null for others and beyond a long."""
+    return F.when(text.rlike(r"^[0-9]+$"), text.try_cast("long"))
+
+
+def normalized(text: Column, length: int) -> Column:
+    """Without control and other invisible characters, but for tabs and line ends; trimmed, then cut; null is empty."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\p{C}&&[^\t\n\r]]", "")
+    return F.substring(F.regexp_replace(plain, r"^\s+|\s+$", ""), 1, length)
 
 
 def clamp(value: Column, low: int, high: int) -> Column:
@@ -52,9 +63,9 @@ def clamp(value: Column, low: int, high: int) -> Column:
 def parse_document_id(kind: Column, value: Column) -> Column:
     """The id from a picker, a plain id or a document address; null where it isn't valid."""
     host, path = F.try_parse_url(value, F.lit("HOST")), F.try_parse_url(value, F.lit("PATH"))
-    from_url = F.when((host == "docs.google.com") & path.rlike(r"(^|/)document(/|$)"), F.regexp_extract(path, r"(?:^|/)d/([^/]+)", 1))
+    from_url = F.when((host == DOCUMENT_HOST) & path.rlike(DOCUMENT_PATH), F.regexp_extract(path, DOCUMENT_PART, 1))
     found = F.when(kind == "url", from_url).when(kind.isin("picker", "file_id"), F.trim(value))
-    return F.when(found.rlike(r"^[A-Za-z0-9_-]{10,200}$"), found)
+    return F.when(found.rlike(DOCUMENT_ID), found)
 
 
 def site_hash(text: Column) -> Column:
@@ -63,8 +74,8 @@ def site_hash(text: Column) -> Column:
 
 def window_days(text: Column) -> Column:
     """Days of a window such as 30d; null unless from 1 to 90."""
-    days = F.regexp_extract(text, r"^([1-9][0-9]*)d$", 1)
-    return F.when(text.rlike(r"^[1-9][0-9]?d$") & (days.cast("int") <= 90), days.cast("int"))
+    days = F.regexp_extract(text, WINDOW, 1).try_cast("int")
+    return F.when(days <= WINDOW_DAYS, days)
 
 
 def short_id(seed: Column, counter: Column) -> Column:
@@ -86,9 +97,10 @@ def image_path(source: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """Sorts names with numbers by value and letters in lower case: digit runs are padded to 20."""
+    """Sorts names with numbers by value and letters in lower case: before the digits of a number stands how many they are, in ten places."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 20, "0")).otherwise(p)), "")
+    number = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(number(p)).cast("string"), 10, "0"), number(p))).otherwise(p)), "")
 
 
 def contains_any(fields: list[Column], needle: str) -> Column:

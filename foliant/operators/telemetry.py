@@ -14,9 +14,12 @@ FIELDS = {"siteHash": "site_hash", "pluginSlug": "plugin_slug", "pluginVersion":
 
 def ingest(bodies: DataFrame, slug: str) -> DataFrame:
     """Adds the fields of JSON check-ins (body) and error, which is null for valid ones. Fields that aren't strings are empty."""
-    tree = F.try_parse_json("body")
-    field = lambda name: F.when(F.schema_of_variant(F.try_variant_get(tree, f"$.{name}", "variant")) == "STRING", F.substring(F.trim(F.try_variant_get(tree, f"$.{name}", "string")), 1, FIELD_CHARS))
-    rows = bodies.withColumns({c: F.coalesce(field(n), F.lit("")) for n, c in FIELDS.items()})
+    rows = bodies.withColumn("_tree", F.try_parse_json("body"))
+    tree = F.col("_tree")
+    text = lambda name: F.try_variant_get(tree, f"$.{name}", "string")
+    is_text = lambda name: F.schema_of_variant(F.try_variant_get(tree, f"$.{name}", "variant")) == "STRING"
+    field = lambda name: F.when(text(name).isNotNull() & is_text(name), F.substring(F.trim(text(name)), 1, FIELD_CHARS))
+    rows = rows.withColumns({c: F.coalesce(field(n), F.lit("")) for n, c in FIELDS.items()})
     missing = F.lit(False)
     for c in ("plugin_version", "wp_version", "php_version", "consent_version"):
         missing = missing | (F.col(c) == "")
@@ -27,7 +30,7 @@ def ingest(bodies: DataFrame, slug: str) -> DataFrame:
         .when(F.col("plugin_slug") != slug, "invalid_plugin_slug")
         .when(missing, "missing_metadata")
     )
-    return rows.withColumn("error", error).withColumn("site_hash", F.lower("site_hash"))
+    return rows.withColumn("error", error).withColumn("site_hash", F.lower("site_hash")).drop("_tree")
 
 
 def upsert(checkins: DataFrame, key: str, at: str, order: list[str], attributes: list[str], state: DataFrame | None = None) -> DataFrame:
@@ -36,9 +39,10 @@ def upsert(checkins: DataFrame, key: str, at: str, order: list[str], attributes:
     An earlier state of the same columns is a row of the aggregation, so that one shuffle merges both.
     """
     columns = [key, *attributes, "first_seen", "last_seen", "checkin_count"]
-    rows = checkins.select(key, *attributes, F.col(at).alias("first_seen"), F.col(at).alias("last_seen"), F.lit(1).cast("long").alias("checkin_count"), F.struct(F.lit(1).alias("new"), *[F.col(c).cast("string").alias(c) for c in order]).alias("_tie"))
+    rows = checkins.select(key, *attributes, F.col(at).alias("first_seen"), F.col(at).alias("last_seen"), F.lit(1).cast("long").alias("checkin_count"), F.struct(F.lit(1).alias("new"), *order).alias("_tie"))
     if state is not None:
-        rows = rows.unionByName(state.select(*columns).withColumn("_tie", F.struct(F.lit(0).alias("new"), *[F.lit(None).cast("string").alias(c) for c in order])))
+        none = [F.lit(None).cast(checkins.schema[c].dataType).alias(c) for c in order]
+        rows = rows.unionByName(state.select(*columns).withColumn("_tie", F.struct(F.lit(0).alias("new"), *none)))
     last = F.struct("last_seen", "_tie")
     return rows.groupBy(key).agg(*[F.max_by(c, last).alias(c) for c in attributes], F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("checkin_count").alias("checkin_count"))
 

@@ -6,15 +6,35 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's place where driver and executors both see it: below spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "foliant-shared")
+    """A new folder's place where driver and executors both see it: below spark.checkpoint.dir. Where that is unset a local session takes a
+    temporary one; on a cluster, whose machines don't share it, that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not (spark.conf.get("spark.master", "local") or "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = os.path.join(tempfile.gettempdir(), "foliant-shared")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, which cuts its lineage."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(table: DataFrame) -> None:
+    """Deletes the files of a table of written that nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def session(master: str = "local[*]", partitions: int | None = None, **settings: str) -> SparkSession:
     """UTC, adaptive execution, and shuffle partitions only where they are given; other settings stay the cluster's."""
     builder = SparkSession.builder.master(master).appName("foliant")

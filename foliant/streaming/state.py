@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from foliant.operators.groups import connected
 from foliant.session import shared_folder
 
 #: Fixed limits: accepted calls in a window for a user and for an address, and the window's seconds.
@@ -63,10 +64,18 @@ def limit_calls(calls: pd.DataFrame, state: dict[tuple[str, str], tuple[int, flo
     return out
 
 
-def rate_limited(calls: DataFrame, group: str = "ip") -> DataFrame:
+def coupled(calls: DataFrame) -> DataFrame:
+    """Adds group to calls (user, ip): the connected set of users and addresses that the call belongs to."""
+    user = F.concat(F.lit("u:"), F.coalesce("user", F.lit("")))
+    roots = connected(calls.select(user.alias("a"), F.concat(F.lit("a:"), F.coalesce("ip", F.lit(""))).alias("b")))
+    return calls.withColumn("_node", user).join(roots.select(F.col("node").alias("_node"), F.col("root").alias("group")), "_node").drop("_node")
+
+
+def rate_limited(calls: DataFrame, group: str | None = None) -> DataFrame:
     """Adds accepted to calls (call_id, user, ip, at): in time order within each group, whose users and addresses don't occur elsewhere.
 
-    Users and addresses are coupled, so a group is a connected set of them; by default each address with its users.
+    Users and addresses are coupled, so a group is a connected set of them, which coupled finds unless a column names it. A call's fate depends on all
+    earlier ones of its group, so that a group is one task's work; it reads its calls in order and holds two numbers for each user and address.
     """
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,30 +88,39 @@ def rate_limited(calls: DataFrame, group: str = "ip") -> DataFrame:
                     last = name
                 yield rows.drop(columns="_group").assign(accepted=limit_calls(rows, held))
 
-    dealt = calls.withColumn("_group", F.col(group)).repartition("_group").sortWithinPartitions("_group", "at", "call_id")
+    named = coupled(calls).withColumnRenamed("group", "_group") if group is None else calls.withColumn("_group", F.col(group))
+    dealt = named.repartition("_group").sortWithinPartitions("_group", "at", "call_id")
     return dealt.select("call_id", "user", "ip", "at", "_group").mapInPandas(one, "call_id long, user string, ip string, at double, accepted boolean")
 
 
 def stale_sources(heartbeats: DataFrame, seconds: int = 600) -> DataFrame:
-    """A stream of sources that are still syncing seconds after their last heartbeat, by watermark: post_id, last_at.
+    """A stream of the heartbeats after which a source was syncing for so many seconds without another one: post_id, last_at.
 
-    heartbeats: post_id, status, ts (timestamp with a watermark). A later status other than syncing ends the wait.
+    heartbeats: post_id, status, ts (timestamp with a watermark). Gaps between the rows of one batch are seen as well as those that only the
+    watermark ends, so that the answer doesn't depend on how the stream is cut. Rows of one time go by status.
     """
+    wait = seconds * 1_000_000
 
     def step(key: tuple[Any, ...], rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             (at,) = state.get
             state.remove()
-            yield pd.DataFrame({"post_id": [key[0]], "last_at": [pd.Timestamp(at, unit="ms")]})
+            yield pd.DataFrame({"post_id": [key[0]], "last_at": [pd.Timestamp(at, unit="us")]})
             return
         last, busy = (state.get[0], True) if state.exists else (0, False)
-        for batch in rows:
-            for at, status in sorted(zip(batch["ts"].astype("datetime64[ms]").astype("int64"), batch["status"], strict=True)):
-                if at >= last:
-                    last, busy = at, status == "syncing"
+        stale = []
+        fresh = [x for batch in rows for x in zip(batch["ts"].astype("datetime64[us]").astype("int64"), batch["status"], strict=True)]
+        for at, status in sorted(fresh):
+            if at < last:
+                continue
+            if busy and at - last >= wait:
+                stale.append(last)
+            last, busy = int(at), status == "syncing"
+        if stale:
+            yield pd.DataFrame({"post_id": [key[0]] * len(stale), "last_at": [pd.Timestamp(at, unit="us") for at in stale]})
         if busy:
-            state.update((int(last),))
-            state.setTimeoutTimestamp(max(int(last) + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+            state.update((last,))
+            state.setTimeoutTimestamp(max(-(-(last + wait) // 1000), state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
 
