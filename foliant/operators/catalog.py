@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.rules import health_rank
+from foliant.functions.rules import health_rank, post_type_rank
 from foliant.functions.text import blank_to_null, contains_any
 
 #: Statuses, page and summary limits.
 STATUSES = ("linked", "queued", "syncing", "synced", "skipped", "error")
 PAGE_MAX, SUMMARY_MAX = 100, 500
+BATCHES = {"cron": 20, "import": 5, "all": 20}
 
 
 def linked(sources: DataFrame) -> DataFrame:
@@ -18,8 +19,10 @@ def linked(sources: DataFrame) -> DataFrame:
     return sources.filter(F.col("file_id").isNotNull() & (F.col("file_id") != ""))
 
 
-def visible(sources: DataFrame, grants: DataFrame, user: int) -> DataFrame:
-    """Sources that a user may edit. grants: user_id, post_type, scope (all, own)."""
+def visible(sources: DataFrame, grants: DataFrame, user: int, author: int = 0, types: tuple[str, ...] | None = None) -> DataFrame:
+    """Sources that a user may edit, of an author where one is given (above 0), of the enabled post types. grants: user_id, post_type, scope (all, own)."""
+    sources = sources.filter(F.col("post_author") == author) if author > 0 else sources
+    sources = sources if types is None else sources.filter(F.col("post_type").isin(*types))
     own = grants.filter(F.col("user_id") == user).groupBy("post_type").agg(F.max(F.col("scope") == "all").alias("_all"))
     return sources.join(own, "post_type").filter(F.col("_all") | (F.col("post_author") == user)).drop("_all").select(sources.columns)
 
@@ -60,6 +63,42 @@ def page(rows: DataFrame, order: list[Column], number: int = 1, size: int = PAGE
     return found.filter(F.col("position") <= first + size)
 
 
+def page_after(rows: DataFrame, order: list[tuple[str, bool]], after: tuple | None, size: int = PAGE_MAX) -> DataFrame:
+    """The page that follows a row, by its values of the order's columns (name, descending), which tell rows apart; null values come first either way.
+
+    Only what follows is sorted, and no more than a page of each partition is kept, however deep the page is.
+    """
+    if after is not None:
+        follows, same = F.lit(False), F.lit(True)
+        for (name, descending), value in zip(order, after, strict=True):
+            column, given = F.col(name), F.lit(value)
+            beyond = column.isNotNull() if value is None else column < given if descending else column > given
+            follows, same = follows | same & beyond, same & column.eqNullSafe(given)
+        rows = rows.filter(F.coalesce(follows, F.lit(False)))
+    return rows.orderBy(*[F.desc_nulls_first(n) if d else F.asc_nulls_first(n) for n, d in order]).limit(max(1, min(size, PAGE_MAX)))
+
+
+def any_visible(sources: DataFrame, grants: DataFrame, user: int) -> DataFrame:
+    """One row: whether a user may edit any linked source. The first one found ends the search."""
+    return visible(linked(sources), grants, user).limit(1).agg((F.count("*") > 0).alias("found"))
+
+
+def batch(sources: DataFrame, before: str, kind: str) -> DataFrame:
+    """The due sources that one run of a kind (BATCHES) takes."""
+    return due_page(sources, before, BATCHES[kind])
+
+
+def ordered_types(types: DataFrame) -> DataFrame:
+    """Distinct post types (post_type) with position: post, page, then by name. A row for each type."""
+    order = Window.orderBy(post_type_rank(F.col("post_type")), "post_type")
+    return types.select("post_type").distinct().withColumn("position", F.row_number().over(order))
+
+
+def whitelisted(values: Column, keys: list[str]) -> Column:
+    """The entries of a map whose keys are known."""
+    return F.map_filter(values, lambda k, v: k.isin(*keys))
+
+
 def summary(sources: DataFrame, most: int = SUMMARY_MAX) -> DataFrame:
     """One row: total, syncing, healthy, attention, activated, truncated, over the first sources by id."""
     rows = linked(sources).orderBy("post_id").limit(most + 1).withColumn("_n", F.row_number().over(Window.orderBy("post_id")))

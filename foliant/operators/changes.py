@@ -37,6 +37,14 @@ def progress(events: DataFrame, key: str = "post_id") -> DataFrame:
     return events.withColumn("progress", F.when(F.col("status") == "error", F.max(held).over(so_far)).otherwise(held))
 
 
+def still_current(runs: DataFrame, sources: DataFrame) -> DataFrame:
+    """Runs (post_id, file_id) with error: source_changed where the source is gone or links another file by now, so that nothing old is written."""
+    now = sources.select("post_id", F.col("file_id").alias("_now"))
+    rows = runs.join(now, "post_id", "left")
+    same = F.coalesce(F.col("_now") == F.col("file_id"), F.lit(False))
+    return rows.withColumn("error", F.when(~same, "source_changed")).drop("_now")
+
+
 def live_locks(locks: DataFrame, now: int, seconds: int = 1_800) -> DataFrame:
     """Keys whose lock, refreshed at several times (key, at), hasn't run out."""
     return locks.groupBy("key").agg((F.max("at") + seconds).alias("expires")).filter(F.col("expires") > now)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import short_id
+from foliant.operators.catalog import delete_attributes
 
 BLOCK_SCHEMA = "array<struct<name:string,role:string,tag:string,level:int,depth:int,attrs:string,text:string,inner:string>>"
 
@@ -46,10 +46,31 @@ def sections(rows: DataFrame, key: str, heading: str = "is_heading") -> DataFram
 def heroes(rows: DataFrame, key: str) -> DataFrame:
     """Of blocks: key, heading_pos (first h1 or h2), text_pos (first paragraph with text after it), image_pos (first image anywhere), hero
     (whether there are a heading and a text)."""
-    top = rows.groupBy(key).agg(F.min(F.when(F.col("level").isin(1, 2), F.col("pos"))).alias("heading_pos"), F.min(F.when(F.col("name") == "image", F.col("pos"))).alias("image_pos"))
-    met = rows.join(top, key)
-    after = met.groupBy(key).agg(F.min(F.when((F.col("tag") == "p") & (F.trim("text") != "") & (F.col("name") == "paragraph") & (F.col("pos") > F.col("heading_pos")), F.col("pos"))).alias("text_pos"))
-    return top.join(after, key).withColumn("hero", F.col("heading_pos").isNotNull() & F.col("text_pos").isNotNull())
+    is_text = (F.col("tag") == "p") & (F.trim("text") != "") & (F.col("name") == "paragraph")
+    least = lambda c, n: F.min(F.when(c, F.col("pos"))).alias(n)
+    texts = F.collect_list(F.when(is_text, F.col("pos"))).alias("_texts")  # one number for each paragraph of a page
+    found = rows.groupBy(key).agg(least(F.col("level").isin(1, 2), "heading_pos"), least(F.col("name") == "image", "image_pos"), texts)
+    found = found.withColumn("text_pos", F.array_min(F.filter("_texts", lambda p: p > F.col("heading_pos")))).drop("_texts")
+    return found.select(key, "heading_pos", "image_pos", "text_pos", (F.col("heading_pos").isNotNull() & F.col("text_pos").isNotNull()).alias("hero"))
+
+
+def grouped(rows: DataFrame, key: str) -> DataFrame:
+    """Blocks with group and style: on a page with a hero, its heading, text and first image are group 0 (hero), in that order; the other blocks
+    (feature) begin a group at each heading that isn't the first of them. place orders the blocks of a group."""
+    page = Window.partitionBy(key)
+    order = page.orderBy("pos")
+    is_text = (F.col("tag") == "p") & (F.trim("text") != "") & (F.col("name") == "paragraph")
+    least = lambda c: F.min(F.when(c, F.col("pos"))).over(page)
+    found = rows.withColumn("_h", least(F.col("level").isin(1, 2))).withColumn("_i", least(F.col("name") == "image"))
+    found = found.withColumn("_t", least(is_text & (F.col("pos") > F.col("_h"))))
+    has = F.col("_h").isNotNull() & F.col("_t").isNotNull()
+    rank = F.when(has & (F.col("pos") == F.col("_h")), 0).when(has & (F.col("pos") == F.col("_t")), 1).when(has & (F.col("pos") == F.col("_i")), 2)
+    found = found.withColumn("_r", rank).withColumn("style", F.when(F.col("_r").isNotNull(), "hero").otherwise("feature"))
+    rest = Window.partitionBy(key, "style").orderBy("pos")
+    begins = F.when((F.col("level") > 0) & (F.row_number().over(rest) > 1), 1).otherwise(0)
+    turns = found.withColumn("_b", begins).withColumn("_n", F.sum("_b").over(rest.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    group = F.when(F.col("style") == "hero", 0).otherwise(F.col("_n") + F.when(has, 1).otherwise(0))
+    return turns.withColumn("group", group.cast("int")).withColumn("place", F.coalesce("_r", F.col("pos"))).drop("_h", "_i", "_t", "_r", "_b", "_n")
 
 
 def runs(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -78,13 +99,65 @@ def code_runs(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     return documents.select(key, F.explode(found(text)).alias("r")).select(key, "r.*")
 
 
+def widget_kind() -> Column:
+    """The kind of widget that a block becomes."""
+    return F.when(F.col("level") > 0, "heading").when(F.col("name") == "image", "image").when(F.col("tag") == "ul", "icon-list").when(F.col("name").isin("table", "html"), "html").when(F.col("name") == "separator", "divider").when(F.trim("text") == "", "spacer").otherwise("text-editor")
+
+
+def widget_tree(rows: DataFrame, key: str, seed: str = "layout") -> DataFrame:
+    """The widget tree of each page as JSON (key, tree): a container for each group of grouped, with its widgets in order.
+
+    Widgets are numbered through the page, then containers; an id is the short hash of seed, page and number. Settings hold a widget's title and size, its
+    image, its list items as HTML, or its HTML.
+    """
+    image = lambda name: F.coalesce(F.get_json_object("attrs", f"$.{name}"), F.lit(""))
+    none = F.lit(None).cast("string")
+    settings = F.struct(
+        F.when(widget_kind() == "heading", F.regexp_extract("inner", r"^<h[1-6]>(.*)</h[1-6]>$", 1)).alias("title"),
+        F.when(widget_kind() == "heading", F.concat(F.lit("h"), F.col("level").cast("string"))).alias("header_size"),
+        F.when(widget_kind() == "image", F.struct(image("url").alias("url"), F.lit(0).alias("id"), image("alt").alias("alt"))).alias("image"),
+        F.when(widget_kind() == "text-editor", F.col("inner")).alias("editor"),
+        F.when(widget_kind() == "icon-list", F.col("inner")).alias("icon_list"),
+        F.when(widget_kind() == "html", F.col("inner")).alias("html"),
+    )
+    name = F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))
+    order = Window.partitionBy(key).orderBy("group", "place")
+    placed = grouped(rows, key).withColumn("_k", F.row_number().over(order)).withColumn("_all", F.count("*").over(Window.partitionBy(key)))
+    node = F.struct(short_id(name, F.col("_k")).alias("id"), F.lit("widget").alias("elType"), widget_kind().alias("widgetType"), F.lit(False).alias("isInner"), settings.alias("settings"), F.array().cast("array<string>").alias("elements"))
+    groups = placed.groupBy(key, "group", "_all").agg(F.array_sort(F.collect_list(F.struct("_k", node.alias("node")))).alias("ns"), F.first("style").alias("style"))
+    container = F.struct(short_id(name, F.col("_all") + F.col("group") + 1).alias("id"), F.lit("container").alias("elType"), none.alias("widgetType"), F.lit(False).alias("isInner"), F.col("style"), F.transform("ns", lambda n: n.node).alias("elements"))
+    pages = groups.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("group", container.alias("node")))).alias("cs"))
+    return pages.select(key, F.to_json(F.transform("cs", lambda c: c.node)).alias("tree"))
+
+
+def widget_attributes(trees: DataFrame, key: str, attributes: DataFrame) -> DataFrame:
+    """Attributes (key, meta_key, meta_value) after trees are stored: the tree and its mode replace what was there, and cached styles go."""
+    gone = ["layout_data", "layout_mode", "layout_styles"]
+    new = trees.select(key, F.explode(F.array(F.struct(F.lit("layout_data").alias("k"), F.col("tree").alias("v")), F.struct(F.lit("layout_mode").alias("k"), F.lit("builder").alias("v")))).alias("a"))
+    return delete_attributes(attributes, trees, key, gone).unionByName(new.select(key, F.col("a.k").alias("meta_key"), F.col("a.v").alias("meta_value")))
+
+
+def joined(lines: DataFrame, key: str, order: str, value: str, by: str = "\n") -> DataFrame:
+    """The texts of each key in order, joined: key, joined. All lines of a key meet, as they are one text."""
+    rows = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("_ls"))
+    return rows.select(key, F.array_join(F.transform("_ls", lambda x: x.v), by).alias("joined"))
+
+
+def write_posts(posts: DataFrame, updates: DataFrame, drafts: DataFrame) -> DataFrame:
+    """Posts (post_id, title, content, status) after updates (post_id, content), which replace contents of posts that are there, and drafts (post_id, title, content, status), which
+    are put in where the id is new; a status other than publish is draft."""
+    new = updates.groupBy("post_id").agg(F.max_by("content", "content").alias("_new"))
+    changed = posts.join(new, "post_id", "left").withColumn("content", F.coalesce("_new", "content")).drop("_new")
+    status = F.when(F.col("status") == "publish", "publish").otherwise("draft")
+    return changed.unionByName(drafts.join(posts.select("post_id"), "post_id", "left_anti").withColumn("status", status).select(*posts.columns))
+
+
 def widgets(rows: DataFrame, key: str, seed: str = "layout") -> DataFrame:
     """Widgets of blocks in sections: adds widget, and ids that number a page's widgets first, then its sections."""
-    kind = F.when(F.col("level") > 0, "heading").when(F.col("name") == "image", "image").when(F.col("tag") == "ul", "icon-list").when(F.col("name").isin("table", "html"), "html").when(F.col("name") == "separator", "divider").when(F.trim("text") == "", "spacer").otherwise("text-editor")
     order = Window.partitionBy(key).orderBy("pos")
     count = F.count("*").over(Window.partitionBy(key))
     name = F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))
-    found = sections(rows.withColumn("is_heading", F.col("level") > 0), key).withColumn("widget", kind)
+    found = sections(rows.withColumn("is_heading", F.col("level") > 0), key).withColumn("widget", widget_kind())
     return found.withColumn("widget_id", short_id(name, F.row_number().over(order))).withColumn("section_id", short_id(name, count + F.col("section") + 1))
 
 

@@ -10,6 +10,7 @@ from foliant.functions.text import EVENT_FIELD, EVENT_MESSAGE, contains_any, dia
 #: Events kept for each source, levels, keys of the context.
 KEPT = 50
 LEVELS = ("info", "warning", "error")
+SEARCHED = ("outputType", "layoutPreset", "mode", "widgetPreset")
 CONTEXT = {"hasLock": "boolean", "hasCronEvent": "boolean", "lastHeartbeat": "string", "lastStep": "string", "outputType": "string", "layoutPreset": "string", "mode": "string", "widgetPreset": "string"}
 
 
@@ -49,8 +50,11 @@ def context(events: DataFrame, column: str = "props") -> DataFrame:
     return events.withColumn("context", F.from_json(column, schema))
 
 
-def matching(events: DataFrame, level: str | None = None, status: str | None = None, step: str | None = None, search: str | None = None) -> DataFrame:
-    """Events of a level, status and step that contain a term in any field, where given; an unknown level is an error."""
+def matching(events: DataFrame, level: str | None = None, status: str | None = None, step: str | None = None, search: str | None = None, posts: DataFrame | None = None) -> DataFrame:
+    """Events of a level, status and step that contain a term in any field, where given; an unknown level is an error.
+
+    A term is looked for in the title of the live post, too, where posts (post_id, live_title) are given, and in SEARCHED of a context, where there is one.
+    """
     if level is not None and level not in LEVELS:
         raise ValueError(f"unsupported level: {level}")
     rows = events
@@ -59,10 +63,26 @@ def matching(events: DataFrame, level: str | None = None, status: str | None = N
             rows = rows.filter(F.col(name) == value)
     if search:
         fields = [c for c in ("post_id", "post_title", "doc_title", "status", "step", "message", "error_code", "level") if c in events.columns]
-        rows = rows.filter(contains_any([F.col(c) for c in fields], search))
+        found = [F.col(c) for c in fields] + ([F.col(f"context.{c}") for c in SEARCHED] if "context" in events.columns else [])
+        if posts is None:
+            return rows.filter(contains_any(found, search))
+        rows = rows.join(posts.select("post_id", F.col("live_title").alias("_live")), "post_id", "left")
+        return rows.filter(contains_any([*found, F.col("_live")], search)).drop("_live")
     return rows
 
 
+def summary(events: DataFrame) -> DataFrame:
+    """One row over events: total, errors, warnings, latest_id and latest (time) of the newest one."""
+    newest = F.max_by(F.struct("event_id", "ts"), F.struct("ts", "event_id"))
+    rows = events.agg(F.count("*").alias("total"), F.count_if(F.col("level") == "error").alias("errors"), F.count_if(F.col("level") == "warning").alias("warnings"), newest.alias("_n"))
+    return rows.select("total", "errors", "warnings", F.col("_n.event_id").alias("latest_id"), F.col("_n.ts").alias("latest"))
+
+
+def level_counts(events: DataFrame) -> DataFrame:
+    """Events of each level, with the latest one's time."""
+    return events.groupBy("level").agg(F.count("*").alias("n"), F.max("ts").alias("latest"))
+
+
 def newest_first() -> list:
     return [F.desc("ts"), F.desc("event_id")]
 

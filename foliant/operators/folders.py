@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import natural_key
+from foliant.operators.catalog import page_after
+from foliant.session import written
 
 #: Fixed limits of an inventory: documents, depth, children read of each folder.
 DOCUMENTS, DEPTH, CHILDREN = 50, 3, 1_000
+#: Rows of a page at most, what a file's metadata must have, the type of documents.
+PAGE, REQUIRED, DOCUMENT_TYPE = 50, ("id", "name", "mimeType", "modifiedTime", "version"), "application/vnd.google-apps.document"
 
 
 def children(items: DataFrame, parent: str, search: str | None = None) -> DataFrame:
@@ -21,6 +25,43 @@ def children(items: DataFrame, parent: str, search: str | None = None) -> DataFr
     return rows.orderBy(F.when(F.col("item_type") == "folder", 0).otherwise(1), natural_key(F.col("name")), "file_id")
 
 
+def children_page(items: DataFrame, parent: str, after: tuple[int, str, str] | None = None, size: int = PAGE) -> DataFrame:
+    """A page of a folder's children that aren't trashed, in the same order, with token (rank, sort_key, file_id), which asks for the page after a row."""
+    rank = F.when(F.col("item_type") == "folder", 0).otherwise(1)
+    rows = items.filter((F.col("parent_id") == parent) & F.col("item_type").isin("folder", "document"))
+    if "trashed" in items.columns:
+        rows = rows.filter(~F.coalesce("trashed", F.lit(False)))
+    rows = rows.withColumns({"rank": rank, "sort_key": natural_key(F.col("name"))})
+    found = page_after(rows, [("rank", False), ("sort_key", False), ("file_id", False)], after, max(1, min(size, PAGE)))
+    return found.withColumn("token", F.struct("rank", "sort_key", "file_id")).drop("rank", "sort_key")
+
+
+def documents(items: DataFrame, size: int = PAGE) -> DataFrame:
+    """The documents changed last, at most a page: by modified from the newest, then by name and id."""
+    rows = items.filter(F.col("item_type") == "document")
+    return rows.orderBy(F.desc("modified"), "name", "file_id").limit(max(1, min(size, PAGE)))
+
+
+def scalar(tree: Column, name: str) -> Column:
+    """A field of a JSON object (variant) as text; null where it is missing, null, an object or an array."""
+    kind = F.schema_of_variant(F.try_variant_get(tree, f"$.{name}", "variant"))
+    return F.when(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY"), F.try_variant_get(tree, f"$.{name}", "string"))
+
+
+def drives(answers: DataFrame) -> DataFrame:
+    """Shared drives (id, name) of JSON objects (body); those without an id or a name are left out."""
+    tree = F.try_parse_json("body")
+    return answers.select(*[c for c in answers.columns if c != "body"], scalar(tree, "id").alias("id"), scalar(tree, "name").alias("name")).filter("id <> '' AND name <> ''")
+
+
+def metadata(answers: DataFrame) -> DataFrame:
+    """The metadata of files (JSON body): REQUIRED fields and error, bad_metadata where one is missing, not_document for another type, else null."""
+    tree = F.try_parse_json("body")
+    rows = answers.withColumns({c: F.coalesce(scalar(tree, c), F.lit("")) for c in REQUIRED})
+    missing = F.least(*[F.length(c) for c in REQUIRED]) == 0
+    return rows.withColumn("error", F.when(missing, "bad_metadata").when(F.col("mimeType") != DOCUMENT_TYPE, "not_document"))
+
+
 def inventory(items: DataFrame, roots: DataFrame, depth: int = DEPTH, most: int = CHILDREN) -> DataFrame:
     """All documents below roots (root_id): root_id, file_id, name, depth, path (folders joined by " / "), level by level.
 
@@ -28,7 +69,7 @@ def inventory(items: DataFrame, roots: DataFrame, depth: int = DEPTH, most: int
     (which also ends cycles). Of each folder the first most children are read.
     """
     order = [F.when(F.col("item_type") == "folder", 0).otherwise(1), natural_key(F.col("name")), F.col("file_id")]
-    ranked = items.withColumn("_rank", F.row_number().over(Window.partitionBy("parent_id").orderBy(*order))).filter(F.col("_rank") <= most)
+    ranked = written(items.withColumn("_rank", F.row_number().over(Window.partitionBy("parent_id").orderBy(*order))).filter(F.col("_rank") <= most), "ranked-children")
     front = roots.select("root_id", F.col("root_id").alias("folder_id"), F.lit("").alias("path"), F.array().cast("array<int>").alias("place"))
     entered = front.select("root_id", "folder_id")
     found = []

@@ -8,9 +8,11 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.functions.markup import escape
+
 #: Bytes of a package that is read; larger ones give an error.
 PACKAGE_BYTES = 10_485_760
 
@@ -53,8 +55,55 @@ def _tabs(tabs: list[dict], depth: int = 0) -> Iterator[tuple[int, dict]]:
         yield from _tabs(tab.get("childTabs") or [], depth + 1)
 
 
+def styled(content: Column, bold: Column, italic: Column, underline: Column, url: Column) -> Column:
+    """A run of text as HTML: escaped, line ends as breaks, without up to two at its end, then bold, italic, underline and link around it from the inside."""
+    text = F.regexp_replace(content, r"\n{1,2}\z", "")
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#039;"), ("\n", "<br>\n")):
+        text = F.replace(text, F.lit(char), F.lit(name))
+    for on, tag in ((bold, "strong"), (italic, "em"), (underline, "u")):
+        text = F.when(F.coalesce(on, F.lit(False)), F.concat(F.lit(f"<{tag}>"), text, F.lit(f"</{tag}>"))).otherwise(text)
+    link = F.replace(F.replace(url, F.lit("&"), F.lit("&#038;")), F.lit('"'), F.lit("%22"))
+    html = F.when(url.isNotNull(), F.concat(F.lit('<a href="'), link, F.lit('">'), text, F.lit("</a>"))).otherwise(text)
+    return F.when(F.coalesce(F.regexp_replace(content, r"\n{1,2}\z", ""), F.lit("")) == "", "").otherwise(html)
+
+
+#: Levels of tabs that a document tree may have.
+TAB_DEPTH = 3
+_BODY = "body: struct<content: array<string>>"
+
+
+def _tab(depth: int) -> str:
+    child = f", childTabs: array<{_tab(depth - 1)}>" if depth > 1 else ""
+    return f"struct<documentTab: struct<{_BODY}>{child}>"
+
+
+def element_count(document: Column) -> Column:
+    """How many elements the parts of a document tree (JSON) have, one at least: those of its tabs, down to TAB_DEPTH, or its own where it has no tabs."""
+    return F.greatest(F.lit(1), F.coalesce(_elements(F.from_json(document, f"struct<{_BODY}, tabs: array<{_tab(TAB_DEPTH)}>>"), TAB_DEPTH), F.lit(0)))
+
+
+def _elements(tree: Column, depth: int) -> Column:
+    size = lambda part: F.coalesce(F.when(part.body.content.isNotNull(), F.size(part.body.content)), F.lit(0))
+    total = lambda xs, f: F.aggregate(F.coalesce(xs, F.array()), F.lit(0), lambda t, x: t + f(x))
+
+    def of(tab: Column, left: int) -> Column:
+        own = size(tab.documentTab)
+        return own + total(tab.childTabs, lambda x: of(x, left - 1)) if left > 1 else own
+
+    return F.when(F.size(tree.tabs) > 0, total(tree.tabs, lambda x: of(x, depth))).otherwise(size(tree))
+
+
+def _picture(object_id: str, objects: dict) -> str:
+    """An inline object as an image, or the words that describe it where it has no address."""
+    embedded = ((objects.get(object_id) or {}).get("inlineObjectProperties") or {}).get("embeddedObject") or {}
+    words = escape(str(embedded.get("title") or embedded.get("description") or ""))
+    address = str((embedded.get("imageProperties") or {}).get("contentUri") or "")
+    return f'<img src="{escape(address)}" alt="{words}">' if address else words
+
+
 def document_parts(document: str | None) -> list[dict]:
-    """The paragraphs of a document tree in order, tab by tab, children after their parent: tab, depth, style, list_key, text."""
+    """The paragraphs of a document tree in order, tab by tab, children after their parent: tab, depth, style, list_key, text, objects (inline
+    images as HTML)."""
     try:
         tree = json.loads(document or "{}")
     except ValueError:
@@ -65,6 +114,7 @@ def document_parts(document: str | None) -> list[dict]:
     out = []
     for depth, part, tab in parts:
         lists = part.get("lists") or tree.get("lists") or {}
+        objects = part.get("inlineObjects") or tree.get("inlineObjects") or {}
         for element in (part.get("body") or {}).get("content") or []:
             if not (paragraph := element.get("paragraph")):
                 continue
@@ -75,14 +125,14 @@ def document_parts(document: str | None) -> list[dict]:
                 levels = ((lists.get(bullet.get("listId")) or {}).get("listProperties") or {}).get("nestingLevels") or []
                 glyph = levels[level].get("glyphType", "") if level < len(levels) else ""
                 key = f"{bullet.get('listId', '')}:{level}:{glyph}"
-            out.append({"tab": tab, "depth": depth, "style": (paragraph.get("paragraphStyle") or {}).get("namedStyleType", ""), "list_key": key, "text": text})
+            out.append({"tab": tab, "depth": depth, "style": (paragraph.get("paragraphStyle") or {}).get("namedStyleType", ""), "list_key": key, "text": text, "objects": "".join(_picture(e["inlineObjectElement"].get("inlineObjectId", ""), objects) for e in paragraph.get("elements") or [] if e.get("inlineObjectElement"))})
     return out
 
 
 def paragraphs(documents: DataFrame, key: str = "doc_id", column: str = "document") -> DataFrame:
-    """One row for each paragraph of document trees (JSON): key, pos, tab, depth, style, list_key, text."""
+    """One row for each paragraph of document trees (JSON): key, pos, tab, depth, style, list_key, text, objects."""
 
-    @F.pandas_udf("array<struct<tab:string,depth:int,style:string,list_key:string,text:string>>")
+    @F.pandas_udf("array<struct<tab:string,depth:int,style:string,list_key:string,text:string,objects:string>>")
     def parsed(trees: pd.Series) -> pd.Series:
         return trees.map(document_parts)
 
