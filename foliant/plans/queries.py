@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import rules
 from foliant.functions import text as tx
-from foliant.operators import catalog, changes, documents, events, folders, telemetry
+from foliant.operators import catalog, changes, documents, events, folders, telemetry, watches
 from foliant.plans.models import EVENTS_SQL, GRANTS_SQL, NOW, SOURCES_SQL, TREE_SQL, grants, table, tree
 from foliant.plans.models import events as event_table
 from foliant.plans.models import sources as source_table
+from foliant.sources import exports
 from foliant.streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,7 +44,7 @@ SINCE = "2024-01-25 00:00:00"
 
 
 def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("site"), F.col("event_type").alias("version"), "ts", F.lpad(F.col("event_id").cast("string"), 20, "0").alias("event_id"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("site"), F.col("event_type").alias("version"), "ts", "event_id")
     return telemetry.upsert(rows, "site", "ts", ["event_id"], ["version"])
 
 
@@ -56,7 +58,7 @@ def site_upsert(spark, sf_dir):
 
 @query("site_upsert_merge", f"SELECT site, version, {T.format('first_seen')} AS first_seen, {T.format('last_seen')} AS last_seen, checkin_count FROM ({SITES})")
 def site_upsert_merge(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("site"), F.col("event_type").alias("version"), "ts", F.lpad(F.col("event_id").cast("string"), 20, "0").alias("event_id"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("site"), F.col("event_type").alias("version"), "ts", "event_id")
     old = telemetry.upsert(rows.filter("ts < TIMESTAMP_NTZ '2024-01-15'"), "site", "ts", ["event_id"], ["version"])
     new = telemetry.upsert(rows.filter("ts >= TIMESTAMP_NTZ '2024-01-15'"), "site", "ts", ["event_id"], ["version"], old)
     return new.withColumns({"first_seen": _time("first_seen"), "last_seen": _time("last_seen")})
@@ -216,7 +218,7 @@ def events_page(spark, sf_dir):
 
 @query("events_level_counts", EVT + f"SELECT level, count(*) AS n, {T.format('max(ts)')} AS latest FROM ev GROUP BY level")
 def events_level_counts(spark, sf_dir):
-    return event_table(spark, sf_dir).groupBy("level").agg(F.count("*").alias("n"), _time(F.max("ts")).alias("latest"))
+    return events.level_counts(event_table(spark, sf_dir)).withColumn("latest", _time("latest"))
 
 
 @query("events_clear_count", EVT + "SELECT count(*) AS cleared FROM ev WHERE post_id % 3 = 0")
@@ -332,10 +334,11 @@ def watch_summary(spark, sf_dir):
     return folders.watch_summary(table(spark, sf_dir, "orders").select(F.expr("CASE o_orderstatus WHEN 'O' THEN 'importing' WHEN 'F' THEN 'watching' ELSE 'paused' END").alias("status")))
 
 
-@query("natural_order", "SELECT c_custkey, concat('folder ', lpad(CAST(c_nationkey % 3 AS STRING), 20, '0'), ' item ', lpad(CAST(c_custkey AS STRING), 20, '0')) AS sort_key FROM customer")
+@query("natural_order", "WITH n AS (SELECT c_custkey, CAST(c_nationkey % 3 AS STRING) AS a, concat(CAST(c_custkey + 1 AS STRING), CASE WHEN c_custkey % 7 = 0 THEN repeat('0', 30) ELSE '' END) AS b FROM customer) SELECT c_custkey, concat('folder ', lpad(CAST(length(a) AS STRING), 10, '0'), a, ' item ', lpad(CAST(length(b) AS STRING), 10, '0'), b) AS sort_key, row_number() OVER (ORDER BY a, length(b), b) AS position FROM n")
 def natural_order(spark, sf_dir):
-    name = F.concat(F.lit("Folder "), F.expr("c_nationkey % 3"), F.lit(" item "), F.col("c_custkey"))
-    return table(spark, sf_dir, "customer").select("c_custkey", tx.natural_key(name).alias("sort_key"))
+    name = F.concat(F.lit("Folder "), F.expr("c_nationkey % 3"), F.lit(" item "), F.expr("CASE WHEN c_custkey % 5 = 0 THEN '000' ELSE '' END"), F.expr("c_custkey + 1"), F.expr("CASE WHEN c_custkey % 7 = 0 THEN repeat('0', 30) ELSE '' END"))
+    keys = table(spark, sf_dir, "customer").select("c_custkey", tx.natural_key(name).alias("sort_key"))
+    return keys.withColumn("position", F.row_number().over(Window.orderBy("sort_key")))
 
 
 # Changes and liveness.
@@ -411,9 +414,9 @@ def truncate_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.truncate(F.col("text"), tx.EVENT_FIELD).alias("short"))
 
 
-@query("sanitize_key", "SELECT doc_id, regexp_replace(lower(substring(text, 1, 60)), '[^a-z0-9_\\-]', '', 'g') AS key FROM documents")
+@query("sanitize_key", "SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9_\\-]', '', 'g') AS key FROM documents")
 def sanitize_key(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.sanitize_key(F.substring("text", 1, 60)).alias("key"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.sanitize_key(F.col("text")).alias("key"))
 
 
 @query("sanitize_text", "SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '[\\r\\n\\t ]+', ' ', 'g')) AS plain FROM pages")
@@ -501,8 +504,7 @@ def partial_flushes(spark, sf_dir):
 
 @query("line_text", "SELECT doc_id, string_agg(rtrim(line), chr(10) ORDER BY pos) AS joined FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id")
 def line_text(spark, sf_dir):
-    rows = _lines(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("ls"))
-    return rows.select("doc_id", F.array_join(F.transform("ls", lambda x: F.rtrim(x.line)), "\n").alias("joined"))
+    return documents.joined(_lines(spark, sf_dir).withColumn("line", F.rtrim("line")), "doc_id", "pos", "line")
 
 
 @query("html_blocks")
@@ -536,11 +538,15 @@ def list_runs(spark, sf_dir):
     return documents.list_runs(rows, "doc_id")
 
 
+def limiter_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls in which users change addresses: ten users share four addresses, each day is a minute and a half."""
+    at = F.expr("CAST(timestampdiff(SECOND, TIMESTAMP_NTZ '2024-01-01', ts) AS DOUBLE) / 960")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("call_id"), F.col("user_id").cast("string").alias("user"), F.expr("concat('10.0.', user_id div 10, '.', event_id % 4)").alias("ip"), at.alias("at"))
+
+
 @query("rate_limit_idle_reset")
 def rate_limit_idle_reset(spark, sf_dir):
-    at = F.expr("CAST(timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01', ts) AS DOUBLE)")
-    calls = table(spark, sf_dir, "events").select(F.col("event_id").alias("call_id"), F.col("user_id").cast("string").alias("user"), F.expr("concat('10.0.0.', user_id % 20)").alias("ip"), at.alias("at"))
-    return state.rate_limited(calls)
+    return state.rate_limited(limiter_calls(spark, sf_dir))
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -562,7 +568,356 @@ def stream_window_counts(spark, sf_dir):
     return found.select(_time("window.start").alias("hour"), "event_type", "n")
 
 
-@query("stream_stale_timer")
+_BEATS = "SELECT user_id AS post_id, ts, CASE WHEN event_type IN ('view', 'signup') THEN 'syncing' ELSE 'synced' END AS status, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, CASE WHEN event_type IN ('view', 'signup') THEN 'syncing' ELSE 'synced' END) AS next FROM events"
+
+
+@query("stream_stale_timer", f"SELECT post_id, {T.format('ts')} AS last_at FROM ({_BEATS}) WHERE status = 'syncing' AND coalesce(next, (SELECT max(ts) - INTERVAL 1 MINUTE FROM events)) >= ts + INTERVAL 600 SECOND")
 def stream_stale_timer(spark, sf_dir):
     beats = _stream(spark, sf_dir).select(F.col("user_id").alias("post_id"), F.expr("CASE WHEN event_type IN ('view', 'signup') THEN 'syncing' ELSE 'synced' END").alias("status"), "ts")
-    return state.drained(state.stale_sources(beats.withWatermark("ts", "1 minute")), "append")
+    return state.drained(state.stale_sources(beats.withWatermark("ts", "1 minute")), "append").select("post_id", _time("last_at").alias("last_at"))
+
+
+# Listings, pages of keys, small lookups.
+
+
+@query("source_author", SRC + f", g AS ({GRANTS_SQL}) SELECT post_id FROM linked JOIN g USING (post_type) WHERE user_id = 7 AND post_type IN ('en', 'fr') AND post_author = 7")
+def source_author(spark, sf_dir):
+    return catalog.visible(catalog.linked(source_table(spark, sf_dir)), grants(spark), 7, author=7, types=("en", "fr")).select("post_id")
+
+
+@query("source_page_after", SRC + "SELECT post_id FROM linked WHERE post_modified < 1600300000 OR post_modified = 1600300000 AND post_id < 500 ORDER BY post_modified DESC, post_id DESC LIMIT 30")
+def source_page_after(spark, sf_dir):
+    return catalog.page_after(catalog.linked(source_table(spark, sf_dir)), [("post_modified", True), ("post_id", True)], (1_600_300_000, 500), 30).select("post_id")
+
+
+@query("source_exists", SRC + f", g AS ({GRANTS_SQL}), u AS (SELECT unnest([7, 8, 9]) AS user_id) SELECT u.user_id, EXISTS (SELECT 1 FROM linked JOIN g USING (post_type) WHERE g.user_id = u.user_id AND (scope = 'all' OR post_author = g.user_id)) AS found FROM u")
+def source_exists(spark, sf_dir):
+    one = lambda u: catalog.any_visible(source_table(spark, sf_dir), grants(spark), u).select(F.lit(u).alias("user_id"), "found")
+    return one(7).union(one(8)).union(one(9))
+
+
+@query("due_batch", SRC + f"SELECT post_id FROM linked WHERE {_DUE} ORDER BY last_synced_at, post_modified, post_id LIMIT 20")
+def due_batch(spark, sf_dir):
+    return catalog.batch(source_table(spark, sf_dir), "2024-01-15", "cron").select("post_id")
+
+
+@query("post_types", "WITH t AS (SELECT DISTINCT lang AS post_type FROM documents UNION SELECT unnest(['page', 'post'])) SELECT post_type, row_number() OVER (ORDER BY CASE post_type WHEN 'post' THEN 0 WHEN 'page' THEN 1 ELSE 2 END, post_type) AS position FROM t WHERE post_type IS NOT NULL")
+def post_types(spark, sf_dir):
+    types = table(spark, sf_dir, "documents").select(F.col("lang").alias("post_type")).filter("lang IS NOT NULL")
+    return catalog.ordered_types(types.union(spark.createDataFrame([("page",), ("post",)], "post_type string")))
+
+
+@query("known_keys", "SELECT event_id, concat_ws(',', CASE WHEN user_id % 2 = 0 THEN 'level=' || event_type END, 'step=' || user_id) AS kept FROM events")
+def known_keys(spark, sf_dir):
+    values = F.create_map(F.expr("CASE WHEN user_id % 2 = 0 THEN 'level' ELSE 'other' END"), F.col("event_type"), F.lit("step"), F.col("user_id").cast("string"))
+    kept = F.transform(F.map_entries(catalog.whitelisted(values, ["level", "step"])), lambda e: F.concat(e.key, F.lit("="), e.value))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(kept, ",").alias("kept"))
+
+
+@query("events_summary", EVT + f"SELECT count(*) AS total, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'warning') AS warnings, arg_max(event_id, (ts, event_id)) AS latest_id, {T.format('max(ts)')} AS latest FROM ev")
+def events_summary(spark, sf_dir):
+    return events.summary(event_table(spark, sf_dir)).withColumn("latest", _time("latest"))
+
+
+@query("events_search_context", "SELECT event_id FROM events LEFT JOIN customer ON user_id = c_custkey WHERE event_id % 50 = 0 OR contains(lower(c_name), '00001')")
+def events_search_context(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("post_id"), F.expr("CASE WHEN event_id % 50 = 0 THEN '{\"layoutPreset\":\"wide-00001\"}' ELSE '{\"hasLock\":true,\"lastStep\":\"00001\"}' END").alias("props")).withColumn("post_id", F.concat(F.lit("p"), F.col("post_id").cast("string")))
+    posts = table(spark, sf_dir, "customer").select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("post_id"), F.col("c_name").alias("live_title"))
+    return events.matching(events.context(rows), search="00001", posts=posts).select("event_id")
+
+
+def _files_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, trashed = F.expr("CASE WHEN o_orderkey % 9 = 0 THEN 'folder' ELSE 'document' END"), F.expr("CASE WHEN o_orderpriority = '5-LOW' THEN TRUE WHEN o_orderkey % 2 = 0 THEN FALSE END")
+    return table(spark, sf_dir, "orders").select(F.expr("concat('f', o_orderkey % 40)").alias("parent_id"), F.expr("concat('o', o_orderkey)").alias("file_id"), F.expr("concat('Order ', o_orderkey)").alias("name"), kind.alias("item_type"), trashed.alias("trashed"), F.col("o_orderdate").alias("modified"))
+
+
+_LISTED = "SELECT concat('f', o_orderkey % 40) AS parent_id, concat('o', o_orderkey) AS file_id, o_orderkey AS k, concat('Order ', o_orderkey) AS name, CASE WHEN o_orderkey % 9 = 0 THEN 0 ELSE 1 END AS r, coalesce(o_orderpriority = '5-LOW', FALSE) AS trashed, o_orderdate AS modified FROM orders"
+
+
+@query("document_listing", f"SELECT file_id FROM ({_LISTED}) WHERE r = 1 ORDER BY modified DESC, name, file_id LIMIT 50")
+def document_listing(spark, sf_dir):
+    return folders.documents(_files_listed(spark, sf_dir), 500).select("file_id")
+
+
+@query("folder_children_page", f"SELECT file_id FROM ({_LISTED}) WHERE parent_id = 'f7' AND NOT trashed AND (r, k) > (1, 200) ORDER BY r, k LIMIT 50")
+def folder_children_page(spark, sf_dir):
+    after = (1, "order 0000000003200", "o200")
+    return folders.children_page(_files_listed(spark, sf_dir), "f7", after, 60).select("file_id")
+
+
+@query("shared_drives", "SELECT c_custkey, concat('d', c_custkey) AS id, c_name AS name FROM customer WHERE c_custkey % 5 IN (0, 1) UNION ALL SELECT c_custkey, CAST(c_custkey AS STRING), c_name FROM customer WHERE c_custkey % 5 = 2")
+def shared_drives(spark, sf_dir):
+    body = F.expr("concat('{\"name\":\"', c_name, '\"', CASE c_custkey % 5 WHEN 2 THEN concat(',\"id\":', c_custkey) WHEN 3 THEN ',\"id\":{\"x\":1}' WHEN 4 THEN ',\"id\":null' ELSE concat(',\"id\":\"d', c_custkey, '\"') END, '}')")
+    return folders.drives(table(spark, sf_dir, "customer").select("c_custkey", body.alias("body")))
+
+
+@query("file_metadata", "SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (0, 1) THEN 'bad_metadata' WHEN o_orderkey % 6 = 2 THEN 'not_document' END AS error FROM orders")
+def file_metadata(spark, sf_dir):
+    body = F.expr("CASE o_orderkey % 6 WHEN 0 THEN '[1]' ELSE concat('{\"id\":\"', o_orderkey, '\",\"name\":\"n\",\"mimeType\":\"', CASE o_orderkey % 6 WHEN 2 THEN 'image/png' ELSE 'application/vnd.google-apps.document' END, '\",\"modifiedTime\":\"t\",\"version\":', CASE o_orderkey % 6 WHEN 1 THEN 'null' ELSE '7' END, '}') END")
+    return folders.metadata(table(spark, sf_dir, "orders").select("o_orderkey", body.alias("body"))).select("o_orderkey", "error")
+
+
+# Watches.
+
+
+@query("watch_same_members", "SELECT user_id, list_sort(list(event_id % 7)) = list_sort(list((event_id + CASE WHEN user_id % 2 = 0 THEN 7 ELSE 1 END) % 7)) AS same FROM events GROUP BY user_id")
+def watch_same_members(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.expr("event_id % 7")).alias("a"), F.collect_list(F.expr("(event_id + CASE WHEN user_id % 2 = 0 THEN 7 ELSE 1 END) % 7")).alias("b"))
+    return rows.select("user_id", folders.same_members(F.col("a"), F.col("b")).alias("same"))
+
+
+@query("watch_retry", "SELECT c_custkey, concat_ws(',', 'a' || c_custkey % 3, 'b', CASE WHEN c_custkey % 3 <> 2 THEN 'a2' END, 'c') AS files FROM customer")
+def watch_retry(spark, sf_dir):
+    pending = F.array(F.expr("concat('a', c_custkey % 3)"), F.lit("b"), F.lit("b"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(watches.retry(pending, F.array(F.lit("a2"), F.lit("c"))), ",").alias("files"))
+
+
+@query("watch_schedule", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'daily' WHEN 1 THEN 'weekly' WHEN 2 THEN 'off' ELSE 'weekly' END AS every FROM customer")
+def watch_schedule(spark, sf_dir):
+    own = F.expr("CASE c_custkey % 4 WHEN 0 THEN 'daily' WHEN 1 THEN 'site' WHEN 2 THEN 'sometimes' END")
+    return table(spark, sf_dir, "customer").select("c_custkey", rules.interval(own, F.lit("weekly")).alias("every"))
+
+
+_STORED = "SELECT c_nationkey AS site, concat('w', c_custkey) AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS pos, 'old' AS payload FROM customer QUALIFY pos <= 6"
+_CHANGED = "SELECT s_nationkey AS site, concat('N', s_suppkey) AS id, s_suppkey AS seq, 'new' AS payload FROM supplier UNION ALL SELECT c_nationkey, concat('w', c_custkey), c_custkey, 'changed' FROM customer WHERE c_custkey % 2 = 0"
+
+
+def _stored_watches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("site"), F.expr("concat('w', c_custkey)").alias("id"), F.row_number().over(order).alias("pos"), F.lit("old").alias("payload"))
+    return rows.filter("pos <= 6")
+
+
+def _watch_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("site"), F.expr("concat('N', s_suppkey, '!')").alias("id"), F.col("s_suppkey").alias("seq"), F.lit("new").alias("payload"))
+    return new.union(table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select("c_nationkey", F.expr("concat('w', c_custkey)"), "c_custkey", F.lit("changed")))
+
+
+@query("watch_save", f"WITH s AS ({_STORED}), c AS (SELECT site, lower(id) AS id, seq, payload FROM ({_CHANGED})), b AS (SELECT site, id, s.pos AS old, c.seq, coalesce(c.payload, s.payload) AS payload FROM s FULL JOIN c USING (site, id)), r AS (SELECT site, id, payload, row_number() OVER (PARTITION BY site ORDER BY old NULLS LAST, seq, id) AS pos FROM b) SELECT * FROM r WHERE pos <= 10")
+def watch_save(spark, sf_dir):
+    return watches.save(_stored_watches(spark, sf_dir), _watch_changes(spark, sf_dir))
+
+
+@query("watch_refused", f"WITH s AS ({_STORED}), c AS ({_CHANGED}), b AS (SELECT c.site, c.id, s.pos AS old, c.seq, lower(c.id) AS low FROM c LEFT JOIN s ON c.site = s.site AND lower(c.id) = s.id), n AS (SELECT site, count(*) AS held FROM s GROUP BY site), f AS (SELECT site, id, row_number() OVER (PARTITION BY site ORDER BY seq, low) + coalesce(held, 0) AS pos FROM b LEFT JOIN n USING (site) WHERE old IS NULL) SELECT site, CASE WHEN id LIKE 'N%' THEN id || '!' ELSE id END AS id FROM f WHERE pos > 10")
+def watch_refused(spark, sf_dir):
+    return watches.refused(_stored_watches(spark, sf_dir), _watch_changes(spark, sf_dir))
+
+
+@query("watch_access", "WITH u AS (SELECT c_custkey - 1 AS user_id, c_custkey % 500 = 7 AS admin, c_mktsegment AS t FROM customer), w AS (SELECT s_suppkey AS watch_id, s_suppkey % 20 AS owner_id, CASE WHEN s_suppkey % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END AS t FROM supplier) SELECT user_id, watch_id FROM u, w WHERE user_id > 0 AND (admin OR owner_id = user_id AND u.t = w.t)")
+def watch_access(spark, sf_dir):
+    users = table(spark, sf_dir, "customer").select(F.expr("c_custkey - 1").alias("user_id"), F.expr("c_custkey % 500 = 7").alias("admin"), F.array("c_mktsegment").alias("post_types"))
+    found = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("watch_id"), F.expr("s_suppkey % 20").alias("owner_id"), F.expr("CASE WHEN s_suppkey % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END").alias("post_type"))
+    return watches.accessible(found, users)
+
+
+_SCAN = _WATCH + """, linked AS (SELECT DISTINCT file_id FROM done WHERE file_id % 3 = 0), had AS (SELECT watch_id, file_id, min(pos) AS pos FROM pending GROUP BY 1, 2),
+fresh AS (SELECT watch_id, file_id, min(pos) AS pos FROM scope WHERE file_id % 13 <> 0 AND (watch_id, file_id) NOT IN (SELECT watch_id, file_id FROM excluded) AND (watch_id, file_id) NOT IN (SELECT watch_id, file_id FROM had) AND file_id NOT IN (SELECT file_id FROM linked) GROUP BY 1, 2),
+both_ AS (SELECT *, 0 AS part FROM had UNION ALL SELECT *, 1 FROM fresh)
+"""
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pending, scope, excluded, done = _watch_parts(spark, sf_dir)
+    had = pending.groupBy("watch_id", "file_id").agg(F.min("pos").alias("pos"))
+    every = scope.select("watch_id").distinct().withColumn("total", F.col("watch_id") * 10)
+    return watches.scan(every, scope.withColumn("selectable", F.expr("CASE WHEN file_id % 13 = 0 THEN FALSE END")).withColumn("file_id", F.col("file_id")), had, excluded, done.filter("file_id % 3 = 0"))
+
+
+@query("watch_scan", _SCAN + "SELECT watch_id, file_id, row_number() OVER (PARTITION BY watch_id ORDER BY part, pos, file_id) AS pos FROM both_")
+def watch_scan(spark, sf_dir):
+    return _scanned(spark, sf_dir)[0]
+
+
+@query("watch_scan_totals", _SCAN + "SELECT watch_id, watch_id * 10 + count(*) FILTER (part = 1) AS total, count(*) FILTER (part = 1) AS added, CASE WHEN count(part) > 0 THEN 'importing' ELSE 'watching' END AS status FROM (SELECT DISTINCT watch_id FROM scope) LEFT JOIN both_ USING (watch_id) GROUP BY watch_id")
+def watch_scan_totals(spark, sf_dir):
+    return _scanned(spark, sf_dir)[1]
+
+
+def _import_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    files = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("watch_id"), F.col("o_orderkey").alias("file_id"), F.col("o_orderkey").alias("pos"))
+    return files, files.select("watch_id", "file_id", F.expr("CASE WHEN file_id % 11 = 0 THEN 'access_denied' WHEN file_id % 4 = 0 THEN 'too_large' END").alias("code"))
+
+
+_IMPORT = """WITH f AS (SELECT o_custkey AS watch_id, o_orderkey AS file_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, CASE WHEN o_orderkey % 11 = 0 THEN 'access_denied' WHEN o_orderkey % 4 = 0 THEN 'too_large' END AS code FROM orders),
+s AS (SELECT *, coalesce(min(CASE WHEN k <= 5 AND code = 'access_denied' THEN k END) OVER (PARTITION BY watch_id), 6) AS stop FROM f),
+d AS (SELECT watch_id, file_id, k, stop, CASE WHEN k >= stop THEN 'pending' WHEN code IS NULL THEN 'imported' ELSE 'failed' END AS state, CASE WHEN k < stop THEN code END AS code FROM s)
+"""
+
+
+@query("watch_import", _IMPORT + "SELECT watch_id, file_id, state, code, CASE WHEN state = 'pending' THEN k - stop + 1 END AS pos FROM d")
+def watch_import(spark, sf_dir):
+    return watches.import_batch(*_import_parts(spark, sf_dir)).drop("stopped")
+
+
+@query("watch_after_import", _IMPORT + "SELECT watch_id, count(*) FILTER (state = 'imported') + 3 AS imported, CASE WHEN min(stop) <= 5 THEN 'error' WHEN bool_or(state = 'pending') THEN 'importing' ELSE 'watching' END AS status FROM d GROUP BY watch_id")
+def watch_after_import(spark, sf_dir):
+    files, outcomes = _import_parts(spark, sf_dir)
+    every = files.select("watch_id").distinct().withColumn("imported", F.lit(3))
+    return watches.after_batch(every, watches.import_batch(files, outcomes))
+
+
+# Progress and writes.
+
+
+@query("step_progress", "SELECT o_orderkey, CASE o_orderkey % 10 WHEN 0 THEN 0 WHEN 1 THEN 10 WHEN 2 THEN 25 WHEN 3 THEN 35 WHEN 4 THEN 55 WHEN 5 THEN 55 + CAST(floor(14 * (o_orderkey % 8) / 7) AS INT) WHEN 6 THEN 70 WHEN 7 THEN 90 WHEN 8 THEN 100 END AS progress FROM orders")
+def step_progress(spark, sf_dir):
+    step = F.get(F.array(*[F.lit(s) for s in (*rules.STEPS, "unknown")]), F.expr("CAST(o_orderkey % 10 AS INT)"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", rules.step_progress(step, F.expr("o_orderkey % 8"), F.lit(7)).alias("progress"))
+
+
+@query("document_errors", "SELECT event_id, CASE WHEN user_id % 5 IN (0, 4) THEN 'transient_failure' WHEN user_id % 5 = 1 AND event_type = 'view' THEN 'api_unavailable' WHEN user_id % 5 IN (1, 2) THEN 'access_denied' ELSE 'bad_response' END AS error FROM events")
+def document_errors(spark, sf_dir):
+    status = F.expr("CASE user_id % 5 WHEN 0 THEN 429 WHEN 1 THEN 403 WHEN 2 THEN 404 WHEN 3 THEN 400 ELSE 503 END")
+    return table(spark, sf_dir, "events").select("event_id", rules.document_error(status, F.expr("CASE WHEN event_type = 'view' THEN 'API Has Not Been Used before' END")).alias("error"))
+
+
+@query("still_current", SRC + "SELECT post_id, CASE WHEN post_id % 4 = 0 OR post_id % 5 = 0 THEN 'source_changed' END AS error FROM linked")
+def still_current(spark, sf_dir):
+    rows = catalog.linked(source_table(spark, sf_dir))
+    now = rows.filter("post_id % 5 <> 0").withColumn("file_id", F.expr("CASE WHEN post_id % 4 = 0 THEN concat(file_id, 'x') ELSE file_id END"))
+    return changes.still_current(rows.select("post_id", "file_id"), now).select("post_id", "error")
+
+
+@query("post_writes", "SELECT doc_id AS post_id, source AS title, CASE WHEN doc_id % 3 = 0 THEN concat('new ', doc_id) ELSE lang END AS content, 'publish' AS status FROM documents UNION ALL SELECT doc_id + 100000000, 'draft', 'text', CASE WHEN doc_id % 4 = 0 THEN 'publish' ELSE 'draft' END FROM documents WHERE doc_id % 2 = 0")
+def post_writes(spark, sf_dir):
+    posts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("post_id"), F.col("source").alias("title"), F.col("lang").alias("content"), F.lit("publish").alias("status"))
+    updates = posts.filter("post_id % 3 = 0").select("post_id", F.expr("concat('new ', post_id)").alias("content"))
+    drafts = posts.select(F.expr("CASE WHEN post_id % 2 = 0 THEN post_id + 100000000 ELSE post_id END").alias("post_id"), F.lit("draft").alias("title"), F.lit("text").alias("content"), F.expr("CASE WHEN post_id % 4 = 0 THEN 'publish' ELSE 'trash' END").alias("status"))
+    return documents.write_posts(posts, updates, drafts)
+
+
+@query("plain_strings", "SELECT doc_id, substring(regexp_replace(regexp_replace(replace(concat('  x', text), chr(7), ''), '^\\s+', ''), '\\s+$', ''), 1, 300) AS plain FROM documents")
+def plain_strings(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.normalized(F.concat(F.lit(" \u0007 x\u200b"), "text"), 300).alias("plain"))
+
+
+# Documents of known shape: SQL states what they become.
+
+_PAGES = "SELECT o_orderkey AS page_id, o_orderstatus AS s, o_orderpriority AS p, o_orderkey % 3 AS k FROM orders"
+_HTML = "concat('<div class=\"page\"><h1>Order ', page_id, '</h1><p>State <b>', s, '</b> &amp; more.</p><p>npm install ', page_id, '</p><p>  --save=', s, '</p><script>x</script><ul><li>', p, '<li>two</ul>', CASE WHEN k = 1 THEN '<p>```</p><p>a < b</p><p></p><p>```</p>' WHEN k = 2 THEN '<p>```</p><p>open</p>' ELSE '<p class=\"note\">Note: short</p>' END, '<hr></div>')"
+_BLOCK = "concat('<!-- wp:paragraph --><p>', {}, '</p><!-- /wp:paragraph -->')"
+_CODE = "concat('<!-- wp:code --><pre class=\"wp-block-code\"><code>', {}, '</code></pre><!-- /wp:code -->')"
+_RENDERED = (
+    "concat('<!-- wp:heading {\"level\":1} --><h1>Order ', page_id, '</h1><!-- /wp:heading -->', " + _BLOCK.format("'State ' || s || ' &amp; more.'") + ", " + _CODE.format("'npm install ' || page_id || chr(10) || '  --save=' || s")
+    + ", '<!-- wp:list --><ul class=\"wp-block-list\"><!-- wp:list-item --><li>', p, '</li><!-- /wp:list-item --><!-- wp:list-item --><li>two</li><!-- /wp:list-item --></ul><!-- /wp:list -->', CASE WHEN k = 1 THEN "
+    + _CODE.format("'a &lt; b'") + " WHEN k = 2 THEN " + _BLOCK.format("'```'") + " || " + _BLOCK.format("'open'")
+    + " ELSE '<!-- wp:quote {\"className\":\"doc-callout\"} --><blockquote class=\"wp-block-quote doc-callout\"><p>Note: short</p></blockquote><!-- /wp:quote -->' END, '<!-- wp:separator --><hr class=\"wp-block-separator has-alpha-channel-opacity\"/><!-- /wp:separator -->')"
+)
+
+
+def _known_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"), F.expr("o_orderkey % 3").alias("k"))
+    return rows.select("page_id", F.expr(_HTML).alias("html"))
+
+
+@query("known_pages_rendered", f"SELECT page_id, {_RENDERED} AS content FROM ({_PAGES})")
+def known_pages_rendered(spark, sf_dir):
+    return documents.rendered(_known_pages(spark, sf_dir), preset="documentation").select("page_id", "content")
+
+
+_KINDS = "CASE k WHEN 1 THEN ['heading', 'paragraph', 'code', 'list', 'code', 'separator'] WHEN 2 THEN ['heading', 'paragraph', 'code', 'list', 'paragraph', 'paragraph', 'separator'] ELSE ['heading', 'paragraph', 'code', 'list', 'quote', 'separator'] END"
+
+
+@query("known_pages_blocks", f"SELECT page_id, CAST(generate_subscripts({_KINDS}, 1) - 1 AS INT) AS pos, unnest({_KINDS}) AS name FROM ({_PAGES})")
+def known_pages_blocks(spark, sf_dir):
+    return documents.blocks(_known_pages(spark, sf_dir), preset="documentation").select("page_id", "pos", "name")
+
+
+@query("known_code_runs", "SELECT o_orderkey AS doc_id, 1 AS first_line, 2 AS last_line, 'lines' AS kind, 'git pull ' || o_orderkey || chr(10) || 'const x = 1' AS code FROM orders UNION ALL SELECT o_orderkey, 4, 7, 'fenced', o_orderstatus FROM orders WHERE o_orderkey % 2 = 0")
+def known_code_runs(spark, sf_dir):
+    text = F.expr("concat('Words.\\ngit pull ', o_orderkey, '  \\nconst x = 1\\nMore words.\\n', CASE WHEN o_orderkey % 2 = 0 THEN concat('```\\n', o_orderstatus, '\\n\\n~~~\\nEnd.') ELSE '```' END)")
+    return documents.code_runs(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
+
+
+def _hero_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.expr("concat('<p>before</p>', CASE WHEN o_orderkey % 2 = 0 THEN concat('<h1>T', o_orderkey, '</h1>') ELSE '' END, '<p><img src=\"i.png\"></p><p></p><p>lead</p><h3>S</h3><ul><li>x</li></ul>')")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
+
+
+_HEROES = "CASE WHEN o_orderkey % 2 = 0 THEN [1, 0, 0, 1, 0, 2, 2] ELSE [0, 0, 0, 0, 1, 1] END"
+
+
+@query("known_heroes", "SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 2 = 0 THEN 1 END AS heading_pos, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS image_pos, CASE WHEN o_orderkey % 2 = 0 THEN 4 END AS text_pos, o_orderkey % 2 = 0 AS hero FROM orders")
+def known_heroes(spark, sf_dir):
+    return documents.heroes(documents.blocks(_hero_pages(spark, sf_dir)), "page_id")
+
+
+@query("known_hero_groups", f'SELECT o_orderkey AS page_id, CAST(generate_subscripts({_HEROES}, 1) - 1 AS INT) AS pos, unnest({_HEROES}) AS "group" FROM orders')
+def known_hero_groups(spark, sf_dir):
+    return documents.grouped(documents.blocks(_hero_pages(spark, sf_dir)), "page_id").select("page_id", "pos", "group")
+
+
+_ID = "substring(sha256(concat('layout:', o_orderkey, ':', {})), 1, 8)"
+
+
+def _node(number: int, kind: str, settings: str) -> str:
+    return f"""'{{"id":"' || {_ID.format(number)} || '","elType":"widget","widgetType":"{kind}","isInner":false,"settings":{{' || {settings} || '}},"elements":[]}}'"""
+
+
+@query("known_widget_trees", "SELECT o_orderkey AS page_id, '[{\"id\":\"' || " + _ID.format(4) + " || '\",\"elType\":\"container\",\"isInner\":false,\"style\":\"hero\",\"elements\":[' || " + _node(1, "heading", "'\"title\":\"T' || o_orderkey || '\",\"header_size\":\"h2\"'") + " || ',' || " + _node(2, "text-editor", "'\"editor\":\"<p>lead</p>\"'") + " || ']},{\"id\":\"' || " + _ID.format(5) + " || '\",\"elType\":\"container\",\"isInner\":false,\"style\":\"feature\",\"elements\":[' || " + _node(3, "divider", "''") + " || ']}]' AS tree FROM orders")
+def known_widget_trees(spark, sf_dir):
+    pages = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), F.expr("concat('<h2>T', o_orderkey, '</h2><p>lead</p><hr>')").alias("html"))
+    return documents.widget_tree(documents.blocks(pages), "page_id")
+
+
+@query("widget_attributes", "SELECT doc_id, 'layout_data' AS meta_key, concat('[', doc_id, ']') AS meta_value FROM documents UNION ALL SELECT doc_id, 'layout_mode', 'builder' FROM documents UNION ALL SELECT doc_id, 'title', source FROM documents")
+def widget_attributes(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    pair = lambda k, v: docs.select("doc_id", F.lit(k).alias("meta_key"), v.alias("meta_value"))
+    old = pair("layout_data", F.lit("old")).union(pair("layout_styles", F.lit("css"))).union(pair("title", F.col("source")))
+    return documents.widget_attributes(docs.select("doc_id", F.expr("concat('[', doc_id, ']')").alias("tree")), "doc_id", old)
+
+
+# Exports.
+
+
+@query("run_styles", "WITH r AS (SELECT o_orderkey AS k, 'A<b>' || o_orderkey AS c FROM orders), h AS (SELECT k, '' || replace(replace(c, '<', '&lt;'), '>', '&gt;') || '<br>' || chr(10) || '&quot;' AS h FROM r), b AS (SELECT k, CASE WHEN k % 2 = 0 THEN '<strong>' || h || '</strong>' ELSE h END AS h FROM h), i AS (SELECT k, CASE WHEN k % 3 = 0 THEN '<em>' || h || '</em>' ELSE h END AS h FROM b), u AS (SELECT k, CASE WHEN k % 5 = 0 THEN '<u>' || h || '</u>' ELSE h END AS h FROM i) SELECT k AS o_orderkey, CASE WHEN k % 7 = 0 THEN '<a href=\"https://host/?a=1&#038;b=2\">' || h || '</a>' ELSE h END AS html FROM u")
+def run_styles(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders")
+    content = F.concat(F.lit("A<b>"), F.col("o_orderkey").cast("string"), F.lit('\n"\n'))
+    url = F.expr("CASE WHEN o_orderkey % 7 = 0 THEN 'https://host/?a=1&b=2' END")
+    return rows.select("o_orderkey", exports.styled(content, F.expr("o_orderkey % 2 = 0"), F.expr("o_orderkey % 3 = 0"), F.expr("o_orderkey % 5 = 0"), url).alias("html"))
+
+
+_LINE = """concat('{{"paragraph":{{"elements":[{{"textRun":{{"content":"', {}, '\\n"}}}}]}}}}')"""
+
+
+@query("element_counts", "SELECT o_orderkey, CAST(CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 1 END AS INT) AS n FROM orders")
+def element_counts(spark, sf_dir):
+    body = '"body":{"content":[{"a":1},{"b":2}]}'
+    tree = F.expr("CASE o_orderkey % 4 WHEN 0 THEN '{\"body\":{\"content\":[]}}' WHEN 1 THEN '{" + body + "}' WHEN 2 THEN '{\"tabs\":[{\"documentTab\":{" + body + "},\"childTabs\":[{\"documentTab\":{" + body + "}}]}]," + body + "}' ELSE 'no json' END")
+    return table(spark, sf_dir, "orders").select("o_orderkey", exports.element_count(tree).alias("n"))
+
+
+@query("tree_paragraphs", "SELECT o_orderkey AS doc_id, 0 AS pos, 't1' AS tab, 0 AS depth, o_orderpriority AS text, '' AS objects FROM orders UNION ALL SELECT o_orderkey, 1, 't2', 1, o_orderstatus, '<img src=\"i?' || o_orderkey || '\" alt=\"A\">' FROM orders")
+def tree_paragraphs(spark, sf_dir):
+    line = lambda value, more="": """'{"paragraph":{"elements":[{"textRun":{"content":"', """ + value + """, '\\\\n"}}""" + more + """]}}'"""
+    picture = """,{"inlineObjectElement":{"inlineObjectId":"o1"}}"""
+    tree = "concat('{\"tabs\":[{\"tabProperties\":{\"tabId\":\"t1\"},\"documentTab\":{\"body\":{\"content\":[', " + line("o_orderpriority") + ", ']}},\"childTabs\":[{\"tabProperties\":{\"tabId\":\"t2\"},\"documentTab\":{\"inlineObjects\":{\"o1\":{\"inlineObjectProperties\":{\"embeddedObject\":{\"title\":\"A\",\"imageProperties\":{\"contentUri\":\"i?', o_orderkey, '\"}}}}},\"body\":{\"content\":[', " + line("o_orderstatus", picture) + ", ']}}}]}]}')"
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(tree).alias("document"))
+    return exports.paragraphs(rows).select("doc_id", "pos", "tab", "depth", "text", "objects")
+
+
+@query("package_pages", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'a/INDEX.html' ELSE 'b.htm' END AS entry, html, CAST(NULL AS STRING) AS error FROM pages WHERE page_id % 4 <> 3 UNION ALL SELECT page_id, NULL, NULL, CASE WHEN page_id % 8 = 3 THEN 'no_page' ELSE 'bad_package' END FROM pages WHERE page_id % 4 = 3")
+def package_pages(spark, sf_dir):
+    @F.pandas_udf("binary")
+    def packed(ids: pd.Series, pages: pd.Series) -> pd.Series:
+        import io
+        import zipfile
+
+        def one(k: int, html: str) -> bytes:
+            data = io.BytesIO()
+            with zipfile.ZipFile(data, "w") as package:
+                package.writestr("../index.html", "outside")
+                package.writestr("t.txt", "text")
+                if k % 4 != 3:
+                    package.writestr("b.htm", "other" if k % 3 == 0 else html)
+                    if k % 3 == 0:
+                        package.writestr("a/INDEX.html", html)
+            return data.getvalue() if k % 8 != 7 else b"no package"
+
+        return pd.Series([one(k, h or "") for k, h in zip(ids, pages, strict=True)])
+
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), packed("page_id", "html").alias("content"))
+    found = exports.package_pages(rows.withColumn("length", F.length("content").cast("long")))
+    return found.select(F.col("path").cast("long").alias("page_id"), "entry", "html", "error")

@@ -188,6 +188,94 @@ def test_rate_limit_restarts_on_accepted_calls_only():
     assert state.limit_calls(calls, {}) == [True] * 5 + [False, False, True, True]
 
 
+def test_rate_limit_by_a_fold(spark):
+    from foliant.plans.queries import limiter_calls
+
+    calls = limiter_calls(spark, "/root/testdata/sf0.01")
+    rows = calls.toPandas().sort_values(["at", "call_id"])
+    rows["accepted"] = state.limit_calls(rows, {})
+    found = {r["call_id"]: r["accepted"] for r in state.rate_limited(calls).collect()}
+    assert found == dict(zip(rows["call_id"], rows["accepted"], strict=True))
+    assert calls.groupBy("user").agg(F.countDistinct("ip").alias("n")).agg(F.max("n")).first()[0] > 1 and 0 < sum(found.values()) < len(found)
+
+
+def test_a_user_of_two_addresses_has_one_limit(spark):
+    rows = [(k, "u", f"a{k % 2}", float(k)) for k in range(12)]
+    found = state.rate_limited(spark.createDataFrame(rows, "call_id long, user string, ip string, at double")).collect()
+    assert sorted(r["call_id"] for r in found if r["accepted"]) == [0, 1, 2, 3, 4]
+
+
+def test_connected_groups(spark):
+    import random
+
+    from foliant.operators.groups import connected
+
+    draw = random.Random(2)
+    pairs = [(f"x{draw.randrange(60)}", f"y{draw.randrange(60)}") for _ in range(45)] + [(f"c{k:02}", f"c{k + 1:02}") for k in range(30)]
+    root = {v: v for p in pairs for v in p}
+    for _ in pairs:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    found = {r["node"]: r["root"] for r in connected(spark.createDataFrame(pairs, "a string, b string")).collect()}
+    assert found == root
+    assert connected(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+@pytest.mark.parametrize("cuts", [1, 5])
+def test_stale_heartbeats_in_one_and_many_batches(spark, tmp_path, cuts):
+    beats = [(1, "syncing", 0), (1, "syncing", 700), (1, "synced", 800), (2, "syncing", 0), (2, "syncing", 599), (2, "syncing", 1_198), (3, "synced", 0), (4, "syncing", 2_000), (5, "syncing", 2_050), (9, "synced", 2_700)]
+    size = -(-len(beats) // cuts)
+    ordered = sorted(beats, key=lambda b: b[2])
+    for k in range(cuts):
+        rows = spark.createDataFrame(ordered[k * size : (k + 1) * size], "post_id long, status string, at long").withColumn("ts", F.timestamp_seconds(F.col("at") + 1_700_000_000))
+        rows.coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema("post_id long, status string, at long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*")).withWatermark("ts", "1 second")
+    found = state.drained(state.stale_sources(stream), "append").withColumn("at", F.unix_timestamp("last_at") - 1_700_000_000)
+    assert sorted((r["post_id"], r["at"]) for r in found.collect()) == [(1, 0), (2, 1_198), (4, 2_000), (5, 2_050)]
+
+
+def test_upsert_keeps_the_types_of_tie_breaks(spark):
+    rows = spark.createDataFrame([("s", 1, 9, "old"), ("s", 1, 10, "new")], "site string, at long, event long, version string")
+    assert telemetry.upsert(rows, "site", "at", ["event"], ["version"]).first()["version"] == "new"
+    state_before = telemetry.upsert(rows.filter("event = 10"), "site", "at", ["event"], ["version"])
+    assert telemetry.upsert(rows.filter("event = 9"), "site", "at", ["event"], ["version"], state_before).first()["checkin_count"] == 2
+
+
+def test_numbers_and_long_digit_runs(spark):
+    texts = ["9223372036854775807", "9223372036854775808", "007", "-1", "1.5", "", "x", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string")
+    assert [r[0] for r in rows.orderBy("k").select(text.whole_number(F.col("t"))).collect()] == [2**63 - 1, None, 7, None, None, None, None, None]
+    names = ["a" + "1" * 22, "a" + "2" * 21, "a9", "a10", "a" + "0" * 30 + "8", "A2"]
+    found = [r["n"] for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(text.natural_key(F.col("n"))).collect()]
+    assert found == ["A2", "a" + "0" * 30 + "8", "a9", "a10", "a" + "2" * 21, "a" + "1" * 22]
+
+
+def test_inventory_reads_its_limit_of_children(spark):
+    items = spark.range(30).selectExpr("'r' AS parent_id", "concat('d', id) AS file_id", "concat('n', id) AS name", "'document' AS item_type", "true AS selectable")
+    roots = spark.createDataFrame([("r",)], "root_id string")
+    found = folders.inventory(items, roots, most=12)
+    assert sorted(int(r["name"][1:]) for r in found.collect()) == list(range(12))
+    first = folders.capped(folders.inventory(items, roots), 5).orderBy("position").collect()
+    assert [r["name"] for r in first] == [f"n{k}" for k in range(5)] and first[0]["overflow"]
+
+
+def test_shared_folder_on_a_cluster(monkeypatch):
+    from foliant import session as sessions
+
+    class Conf:
+        def __init__(self, values):
+            self.values = values
+
+        def get(self, name, default=None):
+            return self.values.get(name, default)
+
+    class Spark:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        sessions.shared_folder(Spark(), "x")
+
+
 def test_reconcile_order(spark):
     make = lambda rows: spark.createDataFrame(rows, "watch_id long, file_id string, pos long")
     found = folders.reconcile(make([(1, "c", 0), (1, "gone", 1), (1, "a", 2), (1, "c", 3)]), make([(1, "a", 0), (1, "b", 1), (1, "c", 2), (1, "x", 3), (1, "done", 4)]), make([(1, "x", 0)]), make([(1, "done", 0)]))
