@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.rules import health_rank, post_type_rank
-from foliant.functions.text import blank_to_null, contains_any
+from foliant.functions.text import ERROR_MESSAGE, PROGRESS_MESSAGE, blank_to_null, clamp, contains_any, redact, sanitize_key, sanitize_text, truncate
 
 #: Statuses, page and summary limits.
 STATUSES = ("linked", "queued", "syncing", "synced", "skipped", "error")
 PAGE_MAX, SUMMARY_MAX = 100, 500
+READY = "Linked and ready to sync."
 BATCHES = {"cron": 20, "import": 5, "all": 20}
 
 
@@ -162,6 +163,40 @@ def from_attributes(attributes: DataFrame, key: str, names: list[str]) -> DataFr
     return rows.agg(*[F.coalesce(F.max(F.when(F.col("meta_key") == n, F.col("meta_value"))), F.lit("")).alias(n) for n in names])
 
 
+def short_message(text: Column, length: int = PROGRESS_MESSAGE) -> Column:
+    """A message as it is kept: without tags, then without secrets, then cut."""
+    return truncate(redact(sanitize_text(text)), length)
+
+
+def with_progress(rows: DataFrame) -> DataFrame:
+    """Sources with step, message and progress (text) filled in where they are missing: the status, or linked, as the step; a message for linked
+    ones; all of the way for finished ones, else none."""
+    empty = lambda c: F.coalesce(F.col(c), F.lit(""))
+    step = F.when(sanitize_key(empty("step")) != "", sanitize_key(empty("step"))).when(empty("status") != "", sanitize_key(empty("status"))).otherwise("linked")
+    given = F.when(F.col("progress").isNotNull(), clamp(F.coalesce(F.col("progress").try_cast("int"), F.lit(0)), 0, 100))
+    found = rows.withColumn("progress", F.coalesce(given, F.when(F.col("status").isin("synced", "skipped"), 100).otherwise(0))).withColumn("step", step)
+    return found.withColumn("message", F.when(empty("message") != "", short_message(F.col("message"))).when(F.col("step") == "linked", READY).otherwise(""))
+
+
+def sanitized(changes: DataFrame) -> DataFrame:
+    """Changes of sources as they are stored: keys are cleaned, messages shortened, progress held within 0 and 100; missing values get their defaults."""
+    key = lambda c, default="": F.coalesce(sanitize_key(F.col(c)), F.lit(default))
+    forms = {
+        "status": key("status"), "step": key("step", "linked"), "folder_watch_id": key("folder_watch_id"), "error_code": key("error_code"),
+        "error": F.coalesce(short_message(F.col("error"), ERROR_MESSAGE) if "error" in changes.columns else F.lit(""), F.lit("")),
+        "message": F.coalesce(short_message(F.col("message")) if "message" in changes.columns else F.lit(READY), F.lit(READY)),
+        "progress": clamp(F.coalesce(F.col("progress"), F.lit(0)), 0, 100),
+    }
+    return changes.withColumns({c: v for c, v in forms.items() if c in changes.columns})
+
+
+def update(state: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """Rows by key with the values of changes where there are any; changes of keys that aren't there are left out."""
+    new = changes.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in changes.columns if c != key])
+    rows = state.join(new, F.col(key) == F.col("_key"), "left")
+    return rows.select(*[F.coalesce(f"_{c}", c).alias(c) if c in changes.columns and c != key else c for c in state.columns])
+
+
 def delete_attributes(attributes: DataFrame, keys: DataFrame, key: str, names: list[str]) -> DataFrame:
     """Attributes without those names of those keys; names that aren't listed survive."""
     gone = keys.select(key).distinct().withColumn("_gone", F.lit(True))

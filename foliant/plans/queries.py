@@ -921,3 +921,36 @@ def package_pages(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), packed("page_id", "html").alias("content"))
     found = exports.package_pages(rows.withColumn("length", F.length("content").cast("long")))
     return found.select(F.col("path").cast("long").alias("page_id"), "entry", "html", "error")
+
+
+# Stored sources: defaults, sanitising, updates; streams with attributes.
+
+_RAW = "CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'Expor-ting!' END"
+
+
+@query("source_progress", "WITH s AS (SELECT doc_id AS post_id, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'synced' ELSE 'error' END AS status FROM documents), t AS (SELECT *, CASE WHEN post_id % 4 = 1 THEN 'expor-ting' WHEN status = '' THEN 'linked' ELSE status END AS step FROM s) SELECT post_id, step, CASE WHEN post_id % 5 = 0 THEN 'Half done authorization=[redacted]' WHEN step = 'linked' THEN 'Linked and ready to sync.' ELSE '' END AS message, CAST(CASE WHEN post_id % 7 = 0 THEN 100 WHEN post_id % 7 = 1 THEN 0 WHEN status = 'synced' THEN 100 ELSE 0 END AS INT) AS progress FROM t")
+def source_progress(spark, sf_dir):
+    status = F.expr("CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'synced' ELSE 'error' END").alias("status")
+    message = F.expr("CASE doc_id % 5 WHEN 0 THEN 'Half <b>done</b>\nauthorization: abc' WHEN 1 THEN '' END").alias("message")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("post_id"), status, F.expr(_RAW).alias("step"), message, F.expr("CASE doc_id % 7 WHEN 0 THEN '140' WHEN 1 THEN 'none' END").alias("progress"))
+    return catalog.with_progress(rows).select("post_id", "step", "message", "progress")
+
+
+@query("source_sanitized", "SELECT doc_id AS post_id, CASE WHEN doc_id % 2 = 0 THEN 'synced' ELSE '' END AS status, CASE WHEN doc_id % 3 = 0 THEN 'linked' ELSE 'converting' END AS step, substring(trim('Error ' || repeat('x', CAST(doc_id % 700 AS INT))), 1, 500) AS error, CAST(least(100, doc_id % 130) AS INT) AS progress FROM documents")
+def source_sanitized(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("post_id"), F.expr("CASE WHEN doc_id % 2 = 0 THEN ' Synced! ' END").alias("status"), F.expr("CASE WHEN doc_id % 3 <> 0 THEN 'Converting.' END").alias("step"), F.expr("concat('<p>Error\n\n', repeat('x', CAST(doc_id % 700 AS INT)), '</p>')").alias("error"), F.expr("CAST(doc_id % 130 AS INT)").alias("progress"))
+    return catalog.sanitized(rows)
+
+
+@query("source_update", SRC + "SELECT post_id, CASE WHEN post_id % 3 = 0 THEN 'queued' ELSE status END AS status, layout_preset FROM sources")
+def source_update(spark, sf_dir):
+    rows = source_table(spark, sf_dir).select("post_id", "status", "layout_preset")
+    new = rows.filter("post_id % 3 = 0").select("post_id", F.lit("queued").alias("status")).union(rows.select(F.expr("-1 - post_id"), F.lit("unknown")))
+    return catalog.update(rows, new, "post_id")
+
+
+@query("stream_site_attributes", f"SELECT site, version, {T.format('last_seen')} AS last_seen, checkin_count FROM ({SITES})")
+def stream_site_attributes(spark, sf_dir):
+    rows = _stream(spark, sf_dir).select(F.col("user_id").alias("site"), F.col("event_type").alias("version"), "ts", "event_id")
+    found = state.drained(state.stream_upsert(rows, "site", "ts", ("version",), ("event_id",)), "complete")
+    return found.select("site", "version", _time("last_seen").alias("last_seen"), "checkin_count")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -27,12 +28,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def removed(table: DataFrame) -> None:
-    """Deletes the files of a table of written that nothing reads any more."""
-    spark = table.sparkSession
+    """Deletes a written table that nothing reads any more."""
     for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        deleted(table.sparkSession, folder)
 
 
 def session(master: str = "local[*]", partitions: int | None = None, **settings: str) -> SparkSession:
@@ -41,4 +45,13 @@ def session(master: str = "local[*]", partitions: int | None = None, **settings:
     base = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.ui.enabled": "false"}
     if partitions:
         base["spark.sql.shuffle.partitions"] = str(partitions)
-    return builder.config(map=base | settings).getOrCreate()
+    found = builder.config(map=base | settings).getOrCreate()
+    if not master.startswith("local"):
+        shipped(found)
+    return found
+
+
+def shipped(spark: SparkSession) -> None:
+    """Gives the executors' Python this package, where they don't have it installed."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "foliant"), "zip", root, "foliant"))

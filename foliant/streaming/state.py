@@ -37,9 +37,11 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(*last) if last else spark.createDataFrame([], stream.schema)
 
 
-def stream_upsert(checkins: DataFrame, key: str, at: str) -> DataFrame:
-    """A running state of check-ins, for update or complete mode: key, first_seen, last_seen, checkin_count."""
-    return checkins.groupBy(key).agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.count("*").alias("checkin_count"))
+def stream_upsert(checkins: DataFrame, key: str, at: str, attributes: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
+    """A running state of check-ins, for update or complete mode: key, first_seen, last_seen, checkin_count, and the attributes of the last one (by at, then order)."""
+    last = F.struct(at, *order)
+    kept = [F.max_by(c, last).alias(c) for c in attributes]
+    return checkins.groupBy(key).agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.count("*").alias("checkin_count"), *kept)
 
 
 def windowed_counts(events: DataFrame, at: str, by: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
