@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliant.session import deleted, removed, shared_folder
+
 #: White space between words.
 GAP = r"[\x20\x09-\x0D]+"
 
@@ -36,18 +35,30 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the session names none, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "foliant-shared")
+#: The folders of the tables made within scratch, the innermost last.
+_made: list[list[str]] = []
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it again, which cuts its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Writes df as a Parquet table in the shared folder and reads it again, which cuts its lineage. It outlives scratch only if it is to be kept."""
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
+    if _made and not keep:
+        _made[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that are made within, once what was computed from them is written."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            deleted(spark, path)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
     """Within, Python gets at most so many rows at a time, so that batches of long texts stay small. Plans must run within."""
@@ -83,7 +94,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds (Kiveris et al. 2014) until the edges are stars. Minima come from
     aggregates and joins, so that a node with very many edges isn't one task's work. Each round is
-    a written table.
+    a written table, and the one before is deleted then.
     """
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     stars = materialize(edges.filter("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), "edges")
@@ -94,9 +105,12 @@ def components(edges: DataFrame) -> DataFrame:
         upper = stars.select(F.col("b").alias("a"), F.col("a").alias("v"))
         large = materialize(upper.join(least, "a").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "edges")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
+        old = stars
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         stars = materialize(low.select("a", F.col("m").alias("b")).union(small).distinct(), "edges")
         after = mark(stars)
+        removed(old)
+        removed(large)
         if after == before:
             break
         before = after

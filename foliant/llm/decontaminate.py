@@ -116,7 +116,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_windows: int = 6, mi
     pairs = F.zip_with("islots", F.when(F.col("raw"), F.col("islots")).otherwise(F.col("dslots")), lambda i, d: F.struct(i.value.alias("i"), d.value.alias("d")))
     met = met.select("doc_id", "row_key", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", pairs.alias("pairs"))
     verbatim = F.when(~F.exists("pairs", lambda p: p.i != p.d), F.col("ipos"))
-    aligned = met.groupBy("doc_id", "row_key", "item_id", "shift").agg(F.countDistinct("ipos").alias("all"), F.countDistinct(verbatim).alias("same"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    aligned = met.groupBy("doc_id", "row_key", "item_id", "shift").agg(F.size(F.collect_set("ipos")).cast("long").alias("all"), F.size(F.collect_set(verbatim)).cast("long").alias("same"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     side = lambda name: F.size(F.array_distinct(F.transform("pairs", lambda p: p[name])))
     consistent = (side("i") == F.size("pairs")) & (side("d") == F.size("pairs"))
     aligned = aligned.select("doc_id", "row_key", "item_id", F.when(consistent, F.col("all")).otherwise(F.col("same")).alias("n_windows"), (~F.exists("pairs", lambda p: p.i != p.d)).alias("same_values"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import components, framed, materialize, small_batches, text_of, words_of
+from foliant.session import removed
 
 #: Fingerprints in one shard tree; with 8 bytes each this bounds what a task holds.
 TREE = 4096
@@ -199,7 +200,7 @@ def commonest(rows: DataFrame, size: int, width: int) -> np.ndarray:
 
 
 def meeting_shingles(words: Column, last: np.ndarray, similarity: float, width: int = 5, sketch: int = 0) -> Column:
-    """The shingles at which a text meets others, as a struct: n (its distinct shingles), p, and arrays gram, rank, sketched, common.
+    """The shingles at which a text meets others, as a struct: n (its distinct shingles), p, and arrays gram and code (rank * 4 + sketched * 2 + common).
 
     The first p = n - ceil(similarity * n) + 1 shingles have a rank from 1, in one order for all texts: by hash, those of last at the end. Two
     texts that are similar have one of these in common, whatever the order is. The sketch shingles with the least hashes are sketched (and have rank 0 if
@@ -208,7 +209,7 @@ def meeting_shingles(words: Column, last: np.ndarray, similarity: float, width:
     order = np.argsort(last)
     known = last[order]
 
-    @F.pandas_udf("n int, p int, gram array<long>, rank array<int>, sketched array<boolean>, common array<boolean>")
+    @F.pandas_udf("n int, p int, gram array<long>, code array<int>")
     def met(all_words: pd.Series) -> pd.DataFrame:
         out = []
         for words in all_words:
@@ -218,12 +219,12 @@ def meeting_shingles(words: Column, last: np.ndarray, similarity: float, width:
                 at = np.minimum(np.searchsorted(known, own.view(np.int64)), len(known) - 1)
                 late = np.where(known[at] == own.view(np.int64), order[at] + 1, 0)
             p = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1 if len(own) else 0
-            rank = np.zeros(len(own), dtype=np.int32)
+            rank = np.zeros(len(own), dtype=np.int64)
             rank[np.lexsort((own, late))[:p]] = np.arange(1, p + 1)
             sketched = np.arange(len(own)) < sketch
             k = np.flatnonzero((rank > 0) | sketched)
-            out.append((len(own), p, own[k].view(np.int64), rank[k], sketched[k], late[k] > 0))
-        return pd.DataFrame(out, columns=["n", "p", "gram", "rank", "sketched", "common"])
+            out.append((len(own), p, own[k].view(np.int64), (rank * 4 + sketched * 2 + (late > 0))[k].astype(np.int32)))
+        return pd.DataFrame(out, columns=["n", "p", "gram", "code"])
 
     return met(words)
 
@@ -238,10 +239,11 @@ def alike_anywhere(texts: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     than their places allow, so that no pair as similar as asked is left out. With words, texts whose numbered words are as similar as that go too, if
     they share MET of their sketches.
     """
-    zipped = F.explode(F.arrays_zip("gram", "rank", "sketched", "common")).alias("m")
-    seen = texts.select("row_key", "place", "n", "p", zipped).select("row_key", "place", "n", "p", "m.*")
+    seen = texts.select("row_key", F.explode(F.arrays_zip("gram", "code")).alias("m")).select("row_key", "m.*")  # narrow, as most shingles are one text's own
     counts = seen.groupBy("gram").agg(F.count("*").alias("held")).filter("held > 1").select("gram")
-    rest = materialize(seen.join(counts, "gram"), "similar-met")
+    met = seen.join(counts, "gram").join(texts.select("row_key", "place", "n", "p"), "row_key")
+    bit = lambda k: F.col("code").bitwiseAND(k) != 0
+    rest = materialize(met.select("row_key", "place", "n", "p", "gram", F.shiftright("code", 2).alias("rank"), bit(2).alias("sketched"), bit(1).alias("common")), "similar-met")
     fields = ("row_key", "place", "n", "p", "rank", "sketched")
     leader = lambda value: [value(c).alias(f"leader_{c}") for c in fields]
 
@@ -263,14 +265,18 @@ def alike_anywhere(texts: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
         scored = own.join(other, ["leader_key", "part"]).select("row_key", "leader_key", jaccard("grams", "leader_grams").alias("jaccard"), jaccard("bag", "leader_bag").alias("words"))
         near = F.col("jaccard") >= similarity
         best = scored.filter(near if words is None else near | (F.col("words") >= words)).groupBy("row_key").agg(F.max(F.struct("jaccard", "leader_key")).alias("best"))
-        return materialize(best.select("row_key", "best.leader_key", "best.jaccard"), "similar-found")
+        found = materialize(best.select("row_key", "best.leader_key", "best.jaccard"), "similar-found")
+        removed(sets)
+        removed(kept)
+        return found
 
     taken = None
     for _ in range(ROUNDS if words is not None else 1):
         least = rest.groupBy("gram").agg(F.min(F.struct("place", *[c for c in fields if c != "place"])).alias("l")).select("gram", *leader(lambda c: F.col(f"l.{c}")))
         found = verified(rest.join(materialize(least, "similar-least"), "gram"))
         taken = found if taken is None else taken.union(found)
-        rest = materialize(rest.join(found.select("row_key"), "row_key", "left_anti"), "similar-rest")
+        before, rest = rest, materialize(rest.join(found.select("row_key"), "row_key", "left_anti"), "similar-rest")
+        removed(before)
     rest = rest.filter((F.col("rank") > 0) | ~F.col("common"))
     sized = rest.groupBy("gram").agg(F.count("*").alias("held")).filter("held > 1").select("gram", F.ceil(F.col("held") / SALTED).alias("parts"))
     rest = materialize(rest.join(sized, "gram"), "similar-rest")
@@ -302,7 +308,7 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, word
     if only is not None:
         prints = prints.join(only, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left_semi")
     first = lambda c: F.first(c).alias(c)
-    texts = prints.groupBy("row_key").agg(F.min("doc_id").alias("doc_id"), *[first(c) for c in ("n", "p", "gram", "rank", "sketched", "common")])
+    texts = prints.groupBy("row_key").agg(F.min("doc_id").alias("doc_id"), *[first(c) for c in ("n", "p", "gram", "code")])
     texts = materialize(texts.withColumn("place", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"))), "similar-texts")
 
     def sets_of(wanted: DataFrame) -> DataFrame:

@@ -71,6 +71,39 @@ def test_linked_parts(spark):
     assert sorted(found[2]) == ["access", "endpoint", "weak_secret"]
 
 
+def linked_spans(text, gap=256):
+    """All spans of a text, weak ones only with their complement, by comparing every two."""
+    base = [(int(a), k, int(b)) for k, a, b in (x.split(":") for x in base_spans(text).split(",") if x)]
+    mixed = lambda t: re.search("[0-9]", t) and re.search("[a-z]", t) and re.search("[A-Z]", t)
+    weak = [(m.start(), "weak_id", m.end()) for m in re.finditer(secret_scan.WEAK_ID, text)]
+    weak += [(m.start(), "weak_secret", m.end()) for m in re.finditer(secret_scan.WEAK_SECRET, text) if mixed(m[0])]
+    weak += [(m.start(), "endpoint", m.end()) for m in re.finditer(secret_scan.ENDPOINT, text)]
+    near = lambda x, y: y[0] - x[2] <= gap and x[0] - y[2] <= gap
+    ids = [p for p in base + weak if p[1] in ("access", "weak_id")]
+    secrets = [p for p in base + weak if p[1] in ("assign", "hex", "weak_secret")]
+    kept = []
+    for part in weak:
+        if any(b[0] < part[2] and part[0] < b[2] for b in base):
+            continue
+        has_id, has_secret = any(near(part, i) for i in ids), any(near(part, x) for x in secrets)
+        if {"weak_id": has_secret, "weak_secret": has_id, "endpoint": has_id and has_secret}[part[1]]:
+            kept.append(part)
+    order = {k: i for i, k in enumerate(secret_scan.KINDS)}
+    return ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(base + kept, key=lambda p: (p[0], order[p[1]], p[2])))
+
+
+def test_linked_spans_by_hand(spark, odd_rows):
+    draw = random.Random(9)
+    pieces = ["user: alice", "login=bob42", "access_key_id: Qx9", "Ab1" * 8, "Zz9-_/+" * 4, "https://host.example/p?q=1", "token = abcdefgh12", "AKIA" + "B7" * 8, "0f" * 20, "plain words", "👍" * 30, "x" * 300, " " * 250, " " * 100]
+    texts = ["".join(draw.choice(pieces) + draw.choice([" ", "\n", ", "]) for _ in range(draw.randint(1, 25))) for _ in range(300)] + [r[1] for r in odd_rows if r[1]]
+    texts += [" ".join(["user: alice " + "Ab1" * 8] * 3_000)]
+    found = {r["doc_id"]: r["spans"] for r in secret_scan.op1_secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    different = [k for k, t in enumerate(texts) if k < 300 + len(odd_rows) and found[k] != linked_spans(t)]
+    assert different == []
+    assert found[len(texts) - 1].count("weak_id") == found[len(texts) - 1].count("weak_secret") == 3_000
+    assert len({x.split(":")[0] for v in found.values() for x in v.split(",") if x}) == 6
+
+
 # op2
 
 
@@ -164,6 +197,20 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
+def test_long_chats_and_clashing_columns(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"turn {k} </s> <|end|>") for k in range(3_000)] + [(2, 0, "user", "<|end|>" * 50_000), (2, 1, "assistant", "\\" * 100_000 + "</s>")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    clashing = turns.withColumns({c: F.lit("x") for c in ("formatted", "loss", "turns", "n_turns", "struct", "_text", "_role", "row", "t", "at")})
+    shown = chat.format_chats(turns).select("conv_id", chat.read_back(F.col("formatted")).alias("turns"), "loss").collect()
+    got = {r["conv_id"]: r for r in shown}
+    for k in (1, 2):
+        own = [r for r in rows if r[0] == k]
+        assert [(t["role"], t["text"]) for t in got[k]["turns"]] == [(r[2], r[3]) for r in own]
+        assert len(got[k]["loss"]) == sum(r[2] == "assistant" for r in own)
+    plain, other = (sorted(map(str, chat.op3_chat_format(t).collect())) for t in (turns, clashing))
+    assert plain == other
+
+
 # op4
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import re
+from pathlib import Path
 
 import corpus_pipeline
 from foliant.llm import decontaminate, mixing, quality, simhash
@@ -63,3 +64,10 @@ def test_stages_on_odd_rows(spark, odd, clashing, nothing):
 def test_run(spark):
     found = corpus_pipeline.run(spark, SF)
     assert found.count() > 0 and "shard" in found.columns
+
+
+def test_tables_of_a_run_are_deleted(spark):
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert sorted(p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before) == sorted(f"stage-{name}" for name, _ in corpus_pipeline.STAGES)
