@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import EVENT_FIELD, EVENT_MESSAGE, contains_any, diagnostic
+from foliant.operators import catalog
 
-#: Events kept for each source, levels, keys of the context.
-KEPT = 50
+#: Events kept for each source and shown on a page, levels, keys of the context.
+KEPT, PAGE = 50, 50
 LEVELS = ("info", "warning", "error")
 SEARCHED = ("outputType", "layoutPreset", "mode", "widgetPreset")
 CONTEXT = {"hasLock": "boolean", "hasCronEvent": "boolean", "lastHeartbeat": "string", "lastStep": "string", "outputType": "string", "layoutPreset": "string", "mode": "string", "widgetPreset": "string"}
@@ -87,6 +88,11 @@ def newest_first() -> list:
     return [F.desc("ts"), F.desc("event_id")]
 
 
+def page(events: DataFrame, number: int = 1, size: int = PAGE) -> DataFrame:
+    """A page of events, the newest first: PAGE of them unless asked otherwise, and no more than any page holds."""
+    return catalog.page(events, newest_first(), number, size)
+
+
 def titled(events: DataFrame, posts: DataFrame) -> DataFrame:
     """Events with a title: the stored one, else that of the live post (post_id, live_title)."""
     return events.join(posts, "post_id", "left").withColumn("title", F.coalesce(F.nullif("post_title", F.lit("")), "live_title", F.lit("")))

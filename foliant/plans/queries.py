@@ -213,7 +213,7 @@ def events_search(spark, sf_dir):
 @query("events_page", EVT + "SELECT event_id, position, n > 100 AS has_more FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS position, count(*) OVER () AS n FROM ev WHERE level = 'error') WHERE position BETWEEN 51 AND 100")
 def events_page(spark, sf_dir):
     rows = events.matching(event_table(spark, sf_dir), level="error")
-    return catalog.page(rows, events.newest_first(), number=2, size=50).select("event_id", "position", "has_more")
+    return events.page(rows, number=2).select("event_id", "position", "has_more")
 
 
 @query("events_level_counts", EVT + f"SELECT level, count(*) AS n, {T.format('max(ts)')} AS latest FROM ev GROUP BY level")
@@ -954,3 +954,28 @@ def stream_site_attributes(spark, sf_dir):
     rows = _stream(spark, sf_dir).select(F.col("user_id").alias("site"), F.col("event_type").alias("version"), "ts", "event_id")
     found = state.drained(state.stream_upsert(rows, "site", "ts", ("version",), ("event_id",)), "complete")
     return found.select("site", "version", _time("last_seen").alias("last_seen"), "checkin_count")
+
+
+# More of what the first queries only touch: the order of an inventory, secrets of many forms.
+
+_RANKED = f"""WITH RECURSIVE tree AS ({TREE_SQL}),
+items AS (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY CASE item_type WHEN 'folder' THEN 0 ELSE 1 END, CASE WHEN name LIKE 'NATION%' THEN CAST(substring(name, 8) AS BIGINT) WHEN name LIKE 'Order %' THEN CAST(substring(name, 7) AS BIGINT) END, name, file_id) AS k FROM tree),
+walk AS (
+  SELECT concat('r', r_regionkey) AS root_id, concat('r', r_regionkey) AS folder_id, 0 AS depth, CAST([] AS BIGINT[]) AS place FROM region
+  UNION ALL
+  SELECT root_id, file_id, depth + 1, list_append(place, k) FROM walk JOIN items ON parent_id = folder_id WHERE item_type = 'folder' AND depth < 3),
+docs AS (SELECT root_id, file_id, depth, list_append(place, k) AS place FROM walk JOIN items ON parent_id = folder_id WHERE item_type = 'document' AND selectable)
+"""
+
+
+@query("folder_inventory_first", _RANKED + "SELECT * FROM (SELECT root_id, file_id, row_number() OVER (PARTITION BY root_id ORDER BY depth, place, file_id) AS position FROM docs) WHERE position <= 50")
+def folder_inventory_first(spark, sf_dir):
+    return folders.capped(folders.inventory(tree(spark, sf_dir), _roots(spark, sf_dir))).select("root_id", "file_id", "position")
+
+
+_SECRETS = "CASE event_id % 6 WHEN 0 THEN concat('Authorization: bearer ', event_id, '.a_b~c+d/e=-') WHEN 1 THEN concat('ACCESS_TOKEN=', event_id, ';next') WHEN 2 THEN concat('client_secret :  ', event_id, ', refresh_token=z') WHEN 3 THEN concat('bearer', event_id) WHEN 4 THEN concat('token=', event_id) ELSE concat('Bearer  ', event_id, ' Bearer x authorization') END"
+
+
+@query("redact_forms", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'authorization=[redacted] [redacted]' WHEN 1 THEN 'access_token=[redacted];next' WHEN 2 THEN 'client_secret=[redacted], refresh_token=[redacted]' WHEN 3 THEN concat('bearer', event_id) WHEN 4 THEN concat('token=', event_id) ELSE 'bearer [redacted] bearer [redacted] authorization' END AS redacted FROM events")
+def redact_forms(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.lower(tx.redact(F.expr(_SECRETS))).alias("redacted"))
