@@ -23,8 +23,8 @@ def templates(rows: DataFrame, lengths: list[int] | None = None) -> DataFrame:
     """Adds windows, an array of (at, hash, raw), slots, an array of (at, type, value), and n, the number of words, to rows with _text.
 
     A word is letters or a number. Numbers (type 1), capitalised words that aren't OPENERS (2) and units after
-    numbers (3) become typed placeholders, other words count in lower case. Windows are of WINDOW canonical words; those with more
-    than half placeholders are given as raw too, hashed by their words. Raw windows of some lengths below WINDOW are added; without
+    numbers (3) become typed placeholders, other words count in lower case. Windows are of WINDOW canonical words; each is
+    given as raw too, hashed by its words in lower case, so that what is word for word the same is met however it is capitalised. Raw windows of some lengths below WINDOW are added; without
     lengths a text of fewer words has one, of its whole length.
     """
     marked = F.lower(F.regexp_replace("_text", r"(?<![\p{L}\p{M}])(?=\p{Lu})", NAME))
@@ -52,14 +52,6 @@ def templates(rows: DataFrame, lengths: list[int] | None = None) -> DataFrame:
         words = F.transform(F.slice(ts, at + 1, n), lambda t: t.word)
         return F.struct(at.alias("at"), F.xxhash64(F.lit("raw"), words).alias("hash"), F.lit(True).alias("raw"))
 
-    def dense(ts: Column, slots: Column) -> Column:
-        # the windows around each WINDOW // 2 + 1 placeholders in a row that one window holds
-        half, last = WINDOW // 2, F.size(ts) - WINDOW
-        ends = F.transform(slots, lambda s, k: F.struct(s.at.alias("first"), F.get(slots, k + half).at.alias("last")))
-        near = F.filter(ends, lambda e: e.last - e.first < WINDOW)
-        starts = F.transform(near, lambda e: F.sequence(F.greatest(e.last - (WINDOW - 1), F.lit(0)), e.first))
-        return F.transform(F.filter(F.array_distinct(F.flatten(starts)), lambda i: i <= last), lambda i: raw(ts, i, WINDOW))
-
     def short(ts: Column) -> Column:
         none = F.array().cast("array<struct<at: int, hash: bigint, raw: boolean>>")
         if lengths is None:
@@ -69,11 +61,14 @@ def templates(rows: DataFrame, lengths: list[int] | None = None) -> DataFrame:
         return F.concat(none, *found)
 
     def both(ts: Column) -> Column:
-        hashes = F.transform(ts, lambda t: F.when(t.type > 0, t.type.cast("bigint")).otherwise(t.word))
-        whole = F.when(F.size(ts) >= WINDOW, let(hashes, windows)).otherwise(F.array().cast("array<bigint>"))
-        placed = F.transform(whole, lambda h, i: F.struct(i.alias("at"), h.alias("hash"), F.lit(False).alias("raw")))
+        none = F.array().cast("array<bigint>")
+        hashes = lambda of: F.when(F.size(ts) >= WINDOW, let(F.transform(ts, of), windows)).otherwise(none)
+        placed = lambda found, is_raw: F.transform(found, lambda h, i: F.struct(i.alias("at"), h.alias("hash"), F.lit(is_raw).alias("raw")))
+        typed_windows = placed(hashes(lambda t: F.when(t.type > 0, t.type.cast("bigint")).otherwise(t.word)), False)
+        raw_windows = placed(hashes(lambda t: F.xxhash64(F.lit("raw"), t.word)), True)
         slots = F.filter(ts, lambda t: t.type > 0)
-        return let(slots, lambda s: F.struct(F.transform(s, lambda t: F.struct(t.at.alias("at"), t.type.alias("type"), t.word.alias("value"))).alias("slots"), F.concat(placed, dense(ts, s), short(ts)).alias("windows"), F.size(ts).alias("n")))
+        kept = F.transform(slots, lambda t: F.struct(t.at.alias("at"), t.type.alias("type"), t.word.alias("value")))
+        return F.struct(kept.alias("slots"), F.concat(typed_windows, raw_windows, short(ts)).alias("windows"), F.size(ts).alias("n"))
 
     # bound by let, not by columns: a filter that Spark moves below would repeat a column's expression for each element
     found = let(let(tokens, typed), both)
@@ -93,8 +88,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_windows: int = 6, mi
     A document holds an item if, at one alignment, min_windows of its windows match (13 words in a row, or more
     in pieces) or min_share of them, and the slots agree: each value of the item always stands for the same
     value of the document, and the reverse. Where they don't, the windows whose values are all the same still count by themselves, so that
-    a copy of which one mention was changed is found. same_values tells whole copies from re-parameterised or changed items. Windows of the item
-    with more than half placeholders match word for word only; an item of fewer than WINDOW words is one such window. Null and
+    a copy of which one mention was changed is found. same_values tells whole copies from re-parameterised or changed items. Windows match by template or word for word, those of the item
+    with more than half placeholders word for word only; an item of fewer than WINDOW words is one such window. Null and
     empty texts hold nothing; very long ones are read whole; repeated rows and items with one id and text count once; of alignments that tie, one of
     the same values goes first; an empty table of either gives no rows; other columns are ignored.
     """

@@ -471,6 +471,7 @@ ITEM = "A train travels 120 km from Paris to Lyon in 2 hours while Anna waits an
         (ITEM.replace("Anna reads", "Otto reads"), True),
         ("A plane flies 120 km and nothing else is the same here at all", False),
         (" ".join(reversed(ITEM.split())), False),
+        ("SHOUTED: " + ITEM.upper() + "!!", True),
     ],
 )
 def test_templates(spark, text, held):
@@ -481,7 +482,7 @@ def test_templates(spark, text, held):
         found = decontaminate.op6_decontaminate(docs, bench).collect()
         decontaminate.BROADCAST_WINDOWS = 500_000
         assert [r["item_id"] for r in found] == ([7] if held else [])
-        assert not held or found[0]["same_values"] == (ITEM in text)
+        assert not held or found[0]["same_values"] == (ITEM.lower() in text.lower())
 
 
 NUMBERS = "12 + 7 - 9 * 4 = 3, 15 km, 20 km and 4 kg, Anna, Otto, Mia, Paul, 18 / 6 = 3"
@@ -533,8 +534,8 @@ def held_items(docs, items, min_windows=6, min_share=0.5):
             n = min(8, len(own))
             aligned = collections.defaultdict(list)
             for ipos, a, raw in windows(own, n) if n else []:
-                for pos, b, dense in windows(words, n):
-                    if raw and dense and [x for x, _ in a] == [x for x, _ in b] or not raw and template(a) == template(b):
+                for pos, b, _ in windows(words, n):
+                    if [x for x, _ in a] == [x for x, _ in b] or not raw and template(a) == template(b):
                         aligned[pos - ipos].append([(x, y) for (x, k), (y, _) in zip(a, b, strict=True) if k])
             best = None
             for matched in aligned.values():
