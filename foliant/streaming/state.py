@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -17,6 +18,18 @@ from foliant.session import shared_folder
 USER_LIMIT, ADDRESS_LIMIT, WINDOW_SECONDS = 5, 20, 3_600
 
 
+@contextmanager
+def with_states(spark: SparkSession) -> Iterator[None]:
+    """Within, streams that are started keep their state in RocksDB, which operators with several state variables and timers need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over all that is there now and returns its output: in append mode all rows, in complete mode the last state.
 
