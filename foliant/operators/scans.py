@@ -58,14 +58,15 @@ def reached(starts: DataFrame, jumps: DataFrame) -> DataFrame:
     """
     found = written(starts.select("id").distinct(), "reached")
     jumps = written(jumps.filter("next IS NOT NULL").select("id", "next"), "jumps")
+    size = found.count()
     while True:
-        new = written(found.join(jumps, "id").select(F.col("next").alias("id")).join(found, "id", "left_anti").distinct(), "reached-new")
-        if new.isEmpty():
-            removed(new)
-            removed(jumps)
-            return found
         before, far = found, jumps
-        found = written(before.union(new), "reached")
+        found = written(before.union(before.join(far, "id").select("next")).distinct(), "reached")
+        removed(before)
+        grown = found.count()
+        if grown == size:
+            removed(far)
+            return found
+        size = grown
         jumps = written(far.join(far.select(F.col("id").alias("next"), F.col("next").alias("far")), "next").select("id", F.col("far").alias("next")), "jumps")
-        for old in (before, far, new):
-            removed(old)
+        removed(far)

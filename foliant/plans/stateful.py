@@ -109,3 +109,17 @@ def lock_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("lock_holders", LOCKS_SQL)
 def lock_holders(spark, sf_dir):
     return locks.held(lock_requests(spark, sf_dir))
+
+
+# Limits: all users and addresses are one connected group, whose calls are dealt out.
+
+
+def roaming_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of users who share addresses with those before and after them; a day is six hours."""
+    at = F.expr("CAST(timestampdiff(SECOND, TIMESTAMP_NTZ '2024-01-01', ts) AS DOUBLE) / 4")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("call_id"), F.col("user_id").cast("string").alias("user"), F.expr("concat('10.0.0.', user_id div 4 + event_id % 3)").alias("ip"), at.alias("at"))
+
+
+@query("rate_limit_one_group")
+def rate_limit_one_group(spark, sf_dir):
+    return state.rate_limited(roaming_calls(spark, sf_dir), most=1_000)

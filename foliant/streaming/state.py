@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foliant.operators.groups import connected
-from foliant.session import shared_folder
+from foliant.operators.limits import accepted
+from foliant.session import shared_folder, written
 
 #: Fixed limits: accepted calls in a window for a user and for an address, and the window's seconds.
 USER_LIMIT, ADDRESS_LIMIT, WINDOW_SECONDS = 5, 20, 3_600
+#: Calls of a connected group up to which one task goes through it.
+TASK_CALLS = 100_000
 
 
 @contextmanager
@@ -86,11 +89,12 @@ def coupled(calls: DataFrame) -> DataFrame:
     return calls.withColumn("_node", user).join(roots.select(F.col("node").alias("_node"), F.col("root").alias("group")), "_node").drop("_node")
 
 
-def rate_limited(calls: DataFrame, group: str | None = None) -> DataFrame:
+def rate_limited(calls: DataFrame, group: str | None = None, most: int = TASK_CALLS) -> DataFrame:
     """Adds accepted to calls (call_id, user, ip, at): in time order within each group, whose users and addresses don't occur elsewhere.
 
     Users and addresses are coupled, so a group is a connected set of them, which coupled finds unless a column names it. A call's fate depends on all
-    earlier ones of its group, so that a group is one task's work; it reads its calls in order and holds two numbers for each user and address.
+    earlier ones of its group. A group of up to most calls is one task's work, which reads its calls in order and holds two numbers for each user and address; the
+    calls of larger ones are dealt out (limits.accepted).
     """
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,8 +108,15 @@ def rate_limited(calls: DataFrame, group: str | None = None) -> DataFrame:
                 yield rows.drop(columns="_group").assign(accepted=limit_calls(rows, held))
 
     named = coupled(calls).withColumnRenamed("group", "_group") if group is None else calls.withColumn("_group", F.col(group))
-    dealt = named.repartition("_group").sortWithinPartitions("_group", "at", "call_id")
-    return dealt.select("call_id", "user", "ip", "at", "_group").mapInPandas(one, "call_id long, user string, ip string, at double, accepted boolean")
+    columns, answer = ["call_id", "user", "ip", "at"], "call_id long, user string, ip string, at double, accepted boolean"
+    fold = lambda rows: rows.repartition("_group").sortWithinPartitions("_group", "at", "call_id").select(*columns, "_group").mapInPandas(one, answer)
+    sizes = named.groupBy("_group").agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(F.col("_group").alias("_large"))
+    if sizes.isEmpty():
+        return fold(named)
+    large = F.col("_group").eqNullSafe(F.col("_large"))
+    spread = written(named.join(sizes, large, "left_semi").select(*columns).withColumn("id", F.monotonically_increasing_id()), "limit-calls")
+    verdict = accepted(spread, (USER_LIMIT, ADDRESS_LIMIT), WINDOW_SECONDS)
+    return fold(named.join(sizes, large, "left_anti")).unionByName(spread.join(verdict, "id").select(*columns, "accepted"))
 
 
 def stale_sources(heartbeats: DataFrame, seconds: int = 600) -> DataFrame:
