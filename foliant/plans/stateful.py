@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from foliant.operators import locks
 from foliant.plans.models import table
 from foliant.plans.queries import query
-from foliant.session import written
-from foliant.streaming import progress, state
+from foliant.operators.watches import HARD
+from foliant.session import shared_folder, written
+from foliant.sources.keyed_table import KeyedTable
+from foliant.streaming import progress, sites, state, watch_sync
 
 # Progress of syncs.
 
@@ -40,6 +42,12 @@ def _name(column: str) -> str:
     return f'"{column}"'
 
 
+def _as_stream(rows: DataFrame) -> DataFrame:
+    """Rows as a written table, read as a stream."""
+    table_of = written(rows, "stream-rows")
+    return rows.sparkSession.readStream.schema(table_of.schema).parquet(table_of.inputFiles()[0].rsplit("/", 1)[0])
+
+
 _NUMBERED = f"""
 SELECT {", ".join(f"{e} AS {_name(c)}" for c, e in REPORT_COLUMNS.items())} FROM (
   SELECT *, date_diff('second', TIMESTAMP '2024-01-01', ts) AS seconds, list_extract({SCRIPT}, CAST((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) % {len(SCRIPT)} + 1 AS INT)) AS script FROM events)"""
@@ -73,10 +81,8 @@ UNION ALL SELECT post_id, n + 1, attempt, "at" + 600, 'error', 'error', progress
 
 @query("stream_progress_events", PROGRESS_SQL)
 def stream_progress_events(spark, sf_dir):
-    rows = written(reports(spark, sf_dir), "progress-reports")
-    folder = rows.inputFiles()[0].rsplit("/", 1)[0]
     with state.with_states(spark):
-        return state.drained(progress.progress_events(spark.readStream.schema(rows.schema).parquet(folder)), "append")
+        return state.drained(progress.progress_events(_as_stream(reports(spark, sf_dir))), "append")
 
 
 # Locks: a third of the requests are for one key.
@@ -123,3 +129,55 @@ def roaming_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("rate_limit_one_group")
 def rate_limit_one_group(spark, sf_dir):
     return state.rate_limited(roaming_calls(spark, sf_dir), most=1_000)
+
+
+# Written tables: sites that a stream upserts and lets go after a day, and folder watches over four ticks.
+
+_SECONDS = "date_diff('second', TIMESTAMP '2024-01-01', ts)"
+SITE_TABLE_SQL = f"""
+WITH c AS (SELECT user_id AS site, event_type AS version, event_id, {_SECONDS} AS s FROM events),
+g AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY site ORDER BY s, event_id) >= 86400 THEN 1 ELSE 0 END AS anew FROM c WHERE s + 1 <= (SELECT max(s) - 60 FROM c)),
+n AS (SELECT *, sum(anew) OVER (PARTITION BY site ORDER BY s, event_id) AS life FROM g),
+l AS (SELECT site, life, arg_max(version, (s, event_id)) AS version, min(s) AS first_seen, max(s) AS last_seen, count(*) AS checkin_count FROM n GROUP BY site, life)
+SELECT site, version, first_seen, last_seen, checkin_count FROM l WHERE last_seen + 86400 > (SELECT max(s) - 60 FROM c)"""
+
+
+@query("stream_site_table", SITE_TABLE_SQL)
+def stream_site_table(spark, sf_dir):
+    """The first half of the events is there as a table, which is the stream's first state; the others are merged into it."""
+    at = F.expr("CAST(timestampdiff(SECOND, TIMESTAMP_NTZ '2024-01-01', ts) AS BIGINT)")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("site"), F.col("event_type").alias("version"), F.col("event_id").alias("seq"), at.alias("at"), F.timestamp_seconds(at).alias("ts"))
+    half = rows.filter(F.col("at") < 14 * sites.DAY)
+    order = Window.partitionBy("site").orderBy("at", "seq")
+    lives = half.withColumn("_anew", F.coalesce(F.col("at") - F.lag("at").over(order) >= sites.DAY, F.lit(False)).cast("int")).withColumn("_life", F.sum("_anew").over(order))
+    stored = lives.groupBy("site", "_life").agg(F.max_by("version", F.struct("at", "seq")).alias("version"), F.min("at").alias("first_seen"), F.max("at").alias("last_seen"), F.count("*").alias("checkin_count"))
+    stored = stored.groupBy("site").agg(F.max_by(F.struct("version", "first_seen", "last_seen", "checkin_count"), "_life").alias("s")).select("site", "s.*")
+    found = KeyedTable(spark, shared_folder(spark, "site-table"), sites.SITES, "site", 16)
+    found.replace(stored)
+    with state.with_states(spark):
+        states = sites.site_states(_as_stream(rows.filter(F.col("at") >= 14 * sites.DAY).drop("at")), 1, stored=found.read())
+        sites.follow(states, found, "check-ins", shared_folder(spark, "site-stream"))
+    return found.read()
+
+
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four listings of each source's folder, the documents growing in number; a document of another source is in it, too, now and then."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "source", F.concat(F.lit("f"), F.col("doc_id") % 397).alias("file_id"))
+    seen = docs.select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(4).cast("long"))).alias("tick"), F.coalesce("source", F.lit("none")).alias("watch_id"), "file_id", "pos", (F.col("pos") % 11 != 0).alias("selectable"))
+    return seen.filter(F.col("pos") % 4 < F.col("tick"))
+
+
+def import_codes(files: DataFrame) -> DataFrame:
+    """How imports of files go, by their names: most well, some softly wrong, few hard."""
+    number = F.substring("file_id", 2, 9).cast("int")
+    code = F.when(number % 29 == 0, F.lit(HARD[0])).when(number % 5 == 0, "export_too_large")
+    return files.select("watch_id", "file_id", code.alias("code"))
+
+
+@query("stream_watch_import")
+def stream_watch_import(spark, sf_dir):
+    """The state of each watch after four ticks: one row for the watch and for each file in line or failed."""
+    watch = KeyedTable(spark, shared_folder(spark, "watch-table"), watch_sync.STATE, "watch_id", 8)
+    linked = KeyedTable(spark, shared_folder(spark, "linked-table"), watch_sync.LINKED, "file_id", 8)
+    watch_sync.run(_as_stream(listings(spark, sf_dir)), watch, linked, import_codes, shared_folder(spark, "watch-stream"))
+    return watch.read()

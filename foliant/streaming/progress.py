@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import Any, NamedTuple
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
+
+from foliant.streaming.in_order import InOrder
 
 #: How far each step is, and which may follow it; what isn't listed is refused. idle stands for linked, complete and error.
 PERCENT = {"queued": 0, "checking_google": 10, "exporting": 25, "large_doc_fallback": 35, "importing": 55, "large_doc_partial_import": 55, "converting": 70, "updating_post": 90, "complete": 100}
@@ -80,18 +81,18 @@ def stalled(run: Run, now: int, seconds: int = STALE_SECONDS) -> tuple[Run, tupl
     return step_on(run, Report(run.at + seconds, 0, "error", code="sync_stalled"))
 
 
-class ProgressMachine(StatefulProcessor):
-    """Holds reports until the watermark has passed them, so that they are handled in order of time however the stream is cut, and a timer for what is due next."""
+class ProgressMachine(InOrder):
+    """A source's run as three state variables, moved on by reports and by time."""
+
+    rows = "at long, seq long, step string, done int, total int, code string"
 
     def __init__(self, seconds: int = STALE_SECONDS):
         self.seconds = seconds
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+    def variables(self, handle: StatefulProcessorHandle) -> None:
         self.step = handle.getValueState("step", "step string, attempt long, n long")
         self.highest = handle.getValueState("progress", "progress int")
         self.heartbeat = handle.getValueState("heartbeat", "at long")
-        self.waiting = handle.getListState("waiting", "at long, seq long, step string, done int, total int, code string")
 
     def load(self) -> Run:
         if not self.step.exists():
@@ -104,45 +105,20 @@ class ProgressMachine(StatefulProcessor):
         self.highest.update((run.progress,))
         self.heartbeat.update((run.at,))
 
-    def rearm(self, run: Run, waiting: list[Report], watermark: int) -> None:
-        """One timer for each source: when the second of the first report that waits is over or, if that is sooner, when the sync stalls."""
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        due = [r.at + 1 for r in waiting] + ([run.at + self.seconds] if run.step != "idle" else [])
-        if due:
-            self.handle.registerTimer(max(min(due) * 1000, watermark + 1))
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        new = [(r["at"], r["seq"], r["step"], r["done"], r["total"], r["code"]) for r in rows]
-        self.waiting.appendList(new)
-        before = [Report(*r) for r in self.waiting.get()]
-        self.rearm(self.load(), before, timerValues.getCurrentWatermarkInMs())
-        return iter([])
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        watermark = timerValues.getCurrentWatermarkInMs()
-        run, held = self.load(), sorted((Report(*r) for r in self.waiting.get()), key=lambda r: (r.at, r.seq, r.step))
-        events, left = [], []
-        for report in held:
-            if (report.at + 1) * 1000 > watermark:
-                left.append(report)
-                continue
-            run, stall = stalled(run, report.at, self.seconds)
-            run, event = step_on(run, report)
-            events += [e for e in (stall, event) if e]
-        run, stall = stalled(run, watermark // 1000, self.seconds)
-        events += [stall] if stall else []
-        self.save(run)
-        if left:
-            self.waiting.put([tuple(r) for r in left])
-        else:
-            self.waiting.clear()
-        self.rearm(run, left, watermark)
-        for e in events:
-            yield Row(post_id=key[0], n=e[0], attempt=e[1], at=e[2], step=e[3], status=e[4], progress=e[5], level=e[6], code=e[7])
-
-    def close(self) -> None:
-        pass
+    def due(self, run: Run) -> int | None:
+        return None if run.step == "idle" else run.at + self.seconds
+
+    def move(self, run: Run, row: tuple) -> tuple[Run, list[tuple]]:
+        after, stall = stalled(run, row[0], self.seconds)
+        after, event = step_on(after, Report(*row))
+        return after, [e for e in (stall, event) if e]
+
+    def pass_time(self, run: Run, now: int) -> tuple[Run, list[tuple]]:
+        after, stall = stalled(run, now, self.seconds)
+        return after, [stall] if stall else []
+
+    def output(self, key: Any, event: tuple) -> Row:
+        return Row(post_id=key[0], n=event[0], attempt=event[1], at=event[2], step=event[3], status=event[4], progress=event[5], level=event[6], code=event[7])
 
 
 def progress_events(reports: DataFrame, late: str = "1 minute", seconds: int = STALE_SECONDS) -> DataFrame:
