@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 from foliant.functions.code_lines import runs
+from foliant.functions.nested import flat, joined, safe_address
 
 # Fixed sets of element names and attributes.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -20,6 +23,8 @@ TABLE = INLINE | {"tbody": (), "td": ("colspan", "rowspan"), "tfoot": (), "th":
 INLINE_TAGS = {"a", "abbr", "b", "br", "cite", "code", "del", "em", "i", "img", "ins", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "u"}
 CALLOUT_NAMES = re.compile(r"\b(callout|note|tip|warning|important|caution)\b")
 CALLOUT_TEXT = re.compile(r"(note|tip|warning|important|caution):\s+")
+#: Attributes whose value is an address.
+ADDRESSES = {"action", "archive", "background", "cite", "classid", "codebase", "data", "formaction", "href", "icon", "longdesc", "manifest", "poster", "profile", "src", "srcdoc", "usemap", "xlink:href", "xmlns"}
 PRESETS = ("plain_blocks", "clean_article", "documentation")
 
 
@@ -30,39 +35,55 @@ def escape(text: str, quote: bool = True) -> str:
 
 
 class Node:
-    """An element, or a text where tag is empty."""
+    """An element, or a text where tag is empty. images, tables and links count what is in it, itself included, once the tree is read."""
 
-    __slots__ = ("tag", "attrs", "children", "text")
+    __slots__ = ("tag", "attrs", "children", "text", "images", "tables", "links")
 
     def __init__(self, tag: str, attrs: dict | None = None, text: str = ""):
         self.tag, self.attrs, self.children, self.text = tag, attrs or {}, [], text
+        self.images, self.tables, self.links = int(tag == "img"), int(tag == "table"), int(tag == "a")
+
+    def nodes(self) -> Iterator[Node]:
+        """The node and all in it, in order."""
+        todo = [self]
+        while todo:
+            node = todo.pop()
+            yield node
+            todo.extend(reversed(node.children))
 
     def content(self) -> str:
-        return self.text if not self.tag else "\n" if self.tag == "br" else "".join(c.content() for c in self.children)
+        return "".join(n.text if not n.tag else "\n" if n.tag == "br" else "" for n in self.nodes())
 
     def find(self, tag: str) -> list[Node]:
-        own = [self] if self.tag == tag else []
-        return own + [n for c in self.children for n in c.find(tag)]
+        return [n for n in self.nodes() if n.tag == tag]
 
 
 class Tree(HTMLParser):
-    """Builds a tree; p, li, rows and cells left open end where browsers end them."""
+    """Builds a tree; p, li, rows and cells left open end where browsers end them. How many elements of a name are open is known, so that none is looked for in vain."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open = [Node("body")]
+        self.open, self.names, self.made, self.unseen = [Node("body")], Counter(), [], 0
+
+    def close_to(self, k: int) -> None:
+        for node in self.open[k:]:
+            self.names[node.tag] -= 1
+            self.unseen -= node.tag in UNSEEN
+        del self.open[k:]
 
     def end(self, tags: set[str], stops: set[str]) -> None:
+        if not any(self.names[t] for t in tags):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag in tags:
-                del self.open[k:]
+                self.close_to(k)
                 return
             if self.open[k].tag in stops:
                 return
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK_TAGS:
-            self.end({"p"}, BLOCK_TAGS - {"p"})
+            self.end({"p"}, _NOT_P)
         if tag == "li":
             self.end({"li"}, {"ul", "ol"})
         elif tag in ("td", "th"):
@@ -70,62 +91,88 @@ class Tree(HTMLParser):
         elif tag == "tr":
             self.end({"tr"}, {"table"})
         node = Node(tag, {k: v or "" for k, v in attrs})
+        self.made.append((self.open[-1], node))
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.names[tag] += 1
+            self.unseen += tag in UNSEEN
 
     def handle_endtag(self, tag):
+        if not self.names[tag]:
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag == tag:
-                del self.open[k:]
+                self.close_to(k)
                 return
 
     def handle_data(self, data):
-        if not any(n.tag in UNSEEN for n in self.open):
+        if not self.unseen:
             self.open[-1].children.append(Node("", text=data))
 
 
+_NOT_P = BLOCK_TAGS - {"p"}
+
+
 def parse(html: str) -> Node:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    for above, node in reversed(tree.made):
+        above.images, above.tables, above.links = above.images + node.images, above.tables + node.tables, above.links + node.links
     return tree.open[0]
 
 
-def cleaned(node: Node, allowed: dict[str, tuple[str, ...]]) -> str:
-    """The inner HTML of a node with allowed elements and attributes; others leave their contents."""
-    out = []
+def _shown(attrs: dict[str, str]) -> str:
+    """Attributes as HTML; addresses that could run something go."""
+    return "".join(f' {k}="{escape(v)}"' for k, v in attrs.items() if k not in ADDRESSES or safe_address(v))
+
+
+def _inner(node: Node, allowed: dict[str, tuple[str, ...]]) -> Iterator:
     for c in node.children:
         if not c.tag:
-            out.append(escape(c.text, quote=False))
+            yield escape(c.text, quote=False)
         elif c.tag in allowed:
-            attrs = "".join(f' {k}="{escape(v)}"' for k, v in c.attrs.items() if k in allowed[c.tag] and not v.strip().lower().startswith("javascript:"))
-            out.append(f"<{c.tag}{attrs}>" if c.tag in VOID else f"<{c.tag}{attrs}>{cleaned(c, allowed)}</{c.tag}>")
+            yield f"<{c.tag}{_shown({k: v for k, v in c.attrs.items() if k in allowed[c.tag]})}>"
+            if c.tag not in VOID:
+                yield _inner(c, allowed)
+                yield f"</{c.tag}>"
         elif c.tag not in UNSEEN:
-            out.append(cleaned(c, allowed))
-    return "".join(out)
+            yield _inner(c, allowed)
+
+
+def cleaned(node: Node, allowed: dict[str, tuple[str, ...]]) -> str:
+    """The inner HTML of a node with allowed elements and attributes; others leave their contents."""
+    return joined(_inner(node, allowed))
+
+
+def _whole(node: Node) -> Iterator:
+    if not node.tag:
+        yield escape(node.text, quote=False)
+        return
+    yield f"<{node.tag}{_shown({k: v for k, v in node.attrs.items() if not k.startswith('on')})}>"
+    if node.tag not in VOID:
+        yield from (_whole(c) for c in node.children if c.tag not in UNSEEN)
+        yield f"</{node.tag}>"
 
 
 def outer(node: Node) -> str:
     """A node as HTML, with its attributes and all that is in it; scripts and the like go."""
-    if not node.tag:
-        return escape(node.text, quote=False)
-    attrs = "".join(f' {k}="{escape(v)}"' for k, v in node.attrs.items() if not k.startswith("on") and not v.strip().lower().startswith("javascript:"))
-    return f"<{node.tag}{attrs}>" + ("" if node.tag in VOID else "".join(outer(c) for c in node.children if c.tag not in UNSEEN) + f"</{node.tag}>")
+    return joined(_whole(node))
 
 
 def standalone_image(node: Node) -> dict | None:
     """The image of an img, or of an a, figure, p or span with one img and no text besides a caption."""
-    images = node.find("img")
     if node.tag == "img":
         return {"url": node.attrs.get("src", ""), "alt": node.attrs.get("alt", ""), "caption": "", "href": ""}
-    if node.tag not in ("a", "figure", "p", "span") or len(images) != 1:
+    if node.tag not in ("a", "figure", "p", "span") or node.images != 1:
         return None
+    images = node.find("img")
     captions = node.find("figcaption") if node.tag == "figure" else []
     caption = " ".join(" ".join(c.content() for c in captions).split())
     if " ".join(node.content().split()) != caption:
         return None
-    links = [a for a in node.find("a") if a.find("img")]
+    links = [a for a in node.find("a") if a.images] if node.links else []
     return {"url": images[0].attrs.get("src", ""), "alt": images[0].attrs.get("alt", ""), "caption": caption, "href": links[0].attrs.get("href", "") if links else ""}
 
 
@@ -144,23 +191,30 @@ def role(node: Node) -> str:
     return "container" if node.tag in WRAPPERS else "default"
 
 
-def _list_html(node: Node) -> str:
-    items = []
+def _items(node: Node) -> Iterator:
+    """A list's HTML; lists in its items are blocks of their own."""
+    yield f'<{node.tag} class="wp-block-list">'
     for li in (c for c in node.children if c.tag == "li"):
         plain, nested = Node("li"), []
         for c in li.children:
             (nested if c.tag in ("ul", "ol") else plain.children).append(c)
-        items.append(f"<!-- wp:list-item --><li>{cleaned(plain, INLINE).strip()}{''.join(_marked('list', _list_attrs(n), _list_html(n)) for n in nested)}</li><!-- /wp:list-item -->")
-    return f'<{node.tag} class="wp-block-list">{"".join(items)}</{node.tag}>'
+        yield f"<!-- wp:list-item --><li>{cleaned(plain, INLINE).strip()}"
+        for n in nested:
+            opening, closing = _marks("list", _list_attrs(n))
+            yield opening
+            yield _items(n)
+            yield closing
+        yield "</li><!-- /wp:list-item -->"
+    yield f"</{node.tag}>"
 
 
 def _list_attrs(node: Node) -> dict:
     return {"ordered": True} if node.tag == "ol" else {}
 
 
-def _marked(name: str, attrs: dict, inner: str) -> str:
+def _marks(name: str, attrs: dict) -> tuple[str, str]:
     shown = f" {json.dumps(attrs, separators=(',', ':'), ensure_ascii=False)}" if attrs else ""
-    return f"<!-- wp:{name}{shown} -->{inner}<!-- /wp:{name} -->"
+    return f"<!-- wp:{name}{shown} -->", f"<!-- /wp:{name} -->"
 
 
 def block_of(node: Node, preset: str = "plain_blocks") -> tuple[str, dict, str]:
@@ -189,7 +243,7 @@ def block_of(node: Node, preset: str = "plain_blocks") -> tuple[str, dict, str]:
         frame.children = [node]
         return "paragraph", {}, f"<p>{cleaned(frame, INLINE)}</p>"
     if tag in ("ul", "ol"):
-        return "list", _list_attrs(node), _list_html(node)
+        return "list", _list_attrs(node), joined(_items(node))
     if tag == "table":
         return "table", {}, f'<figure class="wp-block-table"><table>{cleaned(node, TABLE)}</table></figure>'
     if tag == "blockquote":
@@ -208,7 +262,7 @@ def code_block(code: str) -> tuple[str, dict, str]:
 
 def code_paragraphs(children: list[Node]) -> dict[int, tuple[int, str]]:
     """Of the children of a container: first child to (last child, code) of each run of code in paragraphs. Only plain paragraphs without images and tables are lines."""
-    plain = [c.tag == "p" and role(c) == "default" and not c.find("img") and not c.find("table") for c in children]
+    plain = [c.tag == "p" and role(c) == "default" and not c.images and not c.tables for c in children]
     texts = ["\n".join(x.replace("\u00a0", " ").rstrip() for x in re.split(r"\r\n|\r|\n", c.content())) if yes else None for c, yes in zip(children, plain, strict=True)]
     return {first: (last, code) for first, last, _, code in runs(texts)}
 
@@ -222,27 +276,63 @@ def page_blocks(html: str, preset: str = "plain_blocks") -> list[dict]:
         level = int(tag[1]) if re.fullmatch("h[1-6]", tag) else 0
         out.append({"name": name, "role": kind, "tag": tag, "level": level, "depth": depth, "attrs": json.dumps(attrs, ensure_ascii=False), "text": text, "inner": inner})
 
-    def visit(node: Node, depth: int) -> None:
+    def visit(node: Node, depth: int) -> Iterator:
         children = [c for c in node.children if c.tag and c.tag not in UNSEEN or c.text.strip()]
         code, after = code_paragraphs(children) if preset == "documentation" else {}, 0
         for k, c in enumerate(children):
-            text = " ".join(c.content().split())
             if k in code:
                 after, found = code[k][0] + 1, code[k][1]
                 add("code", "code", "p", depth, {}, found, code_block(found)[2])
-            elif k < after:
                 continue
-            elif not c.tag:
+            if k < after:
+                continue
+            kind = role(c) if c.tag else "default"
+            if c.tag in WRAPPERS and kind == "container":
+                yield visit(c, depth + 1)
+                continue
+            content = c.content()
+            text = " ".join(content.split())
+            if not c.tag:
                 add("paragraph", "default", "", depth, {}, text, f"<p>{escape(text, quote=False)}</p>")
-            elif c.tag in WRAPPERS and role(c) == "container":
-                visit(c, depth + 1)
-            elif text or c.tag == "hr" or c.find("img") or preset == "plain_blocks" and c.tag != "br":
+            elif text or c.tag == "hr" or c.images or preset == "plain_blocks" and c.tag != "br":
                 name, attrs, inner = block_of(c, preset)
-                add(name, role(c), c.tag, depth, attrs, c.content() if c.tag in ("p", "pre") else text, inner)
+                add(name, kind, c.tag, depth, attrs, content if c.tag in ("p", "pre") else text, inner)
 
-    visit(parse(html), 0)
+    for _ in flat(visit(parse(html), 0)):
+        pass
     return out
 
 
 def serialized(blocks: list[dict]) -> str:
-    return "".join(_marked(b["name"], json.loads(b["attrs"]), b["inner"]) for b in blocks)
+    return "".join(b["inner"].join(_marks(b["name"], json.loads(b["attrs"]))) for b in blocks)
+
+
+_ATTRIBUTE = re.compile(r"""[\s/"']([^\s/>="']+)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""")
+
+
+class _Images(HTMLParser):
+    """The img elements of a page as they are written."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "img":
+            self.found.append(self.get_starttag_text())
+
+
+def image_cuts(html: str) -> list[str]:
+    """A page cut at the sources of its images: text, source as it is written (in its quotes), text, and so on; the last is text. Images without a source aren't cut."""
+    images = _Images()
+    images.feed(html)
+    images.close()
+    out, at, done = [], 0, 0
+    for image in images.found:
+        at = html.index(image, at)
+        source = next((m for m in _ATTRIBUTE.finditer(image) if m[1].lower() == "src"), None)
+        if source:
+            out += [html[done : at + source.start(2)], source[2]]
+            done = at + source.end(2)
+        at += len(image)
+    return [*out, html[done:]]

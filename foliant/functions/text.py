@@ -96,6 +96,17 @@ def image_path(source: Column) -> Column:
     return F.when(~outside, F.regexp_replace(plain, r"^(\./)+", ""))
 
 
+def image_source(source: Column) -> Column:
+    """A source of an image as kind (remote, unsafe or local) and path: remote ones and inline data have no path, nor has an empty one, which counts as remote."""
+    for name, char in (("&quot;", '"'), ("&#039;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        source = F.replace(source, F.lit(name), F.lit(char))
+    source = F.trim(source)
+    remote = source.rlike(r"(?i)^(https?:)?//|^(data|blob):") | (source == "")
+    path = image_path(F.regexp_replace(F.regexp_replace(source, "^file://[^/]*", ""), "^/+", ""))
+    kind = F.when(remote, "remote").when(path.isNull(), "unsafe").otherwise("local")
+    return F.struct(kind.alias("kind"), F.when(~remote, path).alias("path"))
+
+
 def natural_key(name: Column) -> Column:
     """Sorts names with numbers by value and letters in lower case: before the digits of a number stands how many they are, in ten places."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))

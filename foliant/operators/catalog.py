@@ -190,8 +190,16 @@ def sanitized(changes: DataFrame) -> DataFrame:
     return changes.withColumns({c: v for c, v in forms.items() if c in changes.columns})
 
 
-def update(state: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Rows by key with the values of changes where there are any; changes of keys that aren't there are left out."""
+def last_change(changes: DataFrame, key: str, order: str | None) -> DataFrame:
+    """One change of each key: the last by a column, or of those that tie, or where none is named, the greatest row."""
+    rest = [c for c in changes.columns if c != key]
+    turn = F.struct(*([order] if order else []), *rest)
+    return changes.groupBy(key).agg(F.max_by(F.struct(*rest), turn).alias("_row")).select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
+def update(state: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Rows by key with the values of changes where there are any; changes of keys that aren't there are left out. Of several changes of a key the last by order counts."""
+    changes = last_change(changes, key, order)
     new = changes.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in changes.columns if c != key])
     rows = state.join(new, F.col(key) == F.col("_key"), "left")
     return rows.select(*[F.coalesce(f"_{c}", c).alias(c) if c in changes.columns and c != key else c for c in state.columns])
@@ -203,8 +211,9 @@ def delete_attributes(attributes: DataFrame, keys: DataFrame, key: str, names: l
     return attributes.join(gone, key, "left").filter(F.col("_gone").isNull() | ~F.col("meta_key").isin(names)).drop("_gone")
 
 
-def merge(state: DataFrame, changes: DataFrame, key: str, optional: list[str]) -> DataFrame:
-    """Overwrites rows by key; a null in an optional column of the changes leaves the old value, an empty string removes it."""
+def merge(state: DataFrame, changes: DataFrame, key: str, optional: list[str], order: str | None = None) -> DataFrame:
+    """Overwrites rows by key; a null in an optional column of the changes leaves the old value, an empty string removes it. Of several changes of a key the last by order counts."""
+    changes = last_change(changes, key, order)
     new = changes.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in state.columns if c != key])
     both = state.join(new, F.col(key) == F.col("_key"), "full")
     changed = F.col("_key").isNotNull()

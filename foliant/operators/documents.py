@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import short_id
+from foliant.functions.text import image_source, short_id
 from foliant.operators.catalog import delete_attributes
+from foliant.session import written
 
 BLOCK_SCHEMA = "array<struct<name:string,role:string,tag:string,level:int,depth:int,attrs:string,text:string,inner:string>>"
 
@@ -21,7 +22,29 @@ def blocks(pages: DataFrame, key: str = "page_id", preset: str = "plain_blocks")
 
         return html.fillna("").map(lambda h: page_blocks(h, preset))
 
-    return pages.select(key, F.posexplode(parsed("html")).alias("pos", "b")).select(key, "pos", "b.*")
+    return spread(pages.select(key, "html")).select(key, F.posexplode(parsed("html")).alias("pos", "b")).select(key, "pos", "b.*")
+
+
+@F.udtf(returnType="pos: int, name: string, role: string, tag: string, level: int, depth: int, attrs: string, text: string, inner: string")
+class HtmlBlocks:
+    """html_blocks(html, preset) in SQL: the blocks of a page in order, as blocks has them."""
+
+    def eval(self, html: str, preset: str):
+        from foliant.functions.markup import page_blocks
+
+        for pos, b in enumerate(page_blocks(html or "", preset)):
+            yield pos, b["name"], b["role"], b["tag"], b["level"], b["depth"], b["attrs"], b["text"], b["inner"]
+
+
+def register(spark: SparkSession) -> None:
+    """Makes html_blocks known to SQL."""
+    spark.udtf.register("html_blocks", HtmlBlocks)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a few files dealt out to all cores, for work in Python that takes far longer than a shuffle; those of many files stay where they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.isStreaming or len(rows.inputFiles()) >= cores else rows.repartition(cores)
 
 
 def rendered(pages: DataFrame, key: str = "page_id", preset: str = "plain_blocks") -> DataFrame:
@@ -33,7 +56,7 @@ def rendered(pages: DataFrame, key: str = "page_id", preset: str = "plain_blocks
 
         return html.fillna("").map(lambda h: serialized(page_blocks(h, preset)))
 
-    return pages.select(key, content("html").alias("content")).withColumn("layout_hash", F.sha2(F.concat(F.lit(f"{preset}:"), "content"), 256))
+    return spread(pages.select(key, "html")).select(key, content("html").alias("content")).withColumn("layout_hash", F.sha2(F.concat(F.lit(f"{preset}:"), "content"), 256))
 
 
 def sections(rows: DataFrame, key: str, heading: str = "is_heading") -> DataFrame:
@@ -168,8 +191,39 @@ def new_assets(found: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def asset_urls(found: DataFrame, known: DataFrame) -> DataFrame:
-    """Each asset with the address it is known by, or null."""
-    return found.join(known.select("file_id", "asset_path", "sha256", "url"), ["file_id", "asset_path", "sha256"], "left")
+    """Each asset with the address it is known by, or null; of several that are known the first by address."""
+    key = ["file_id", "asset_path", "sha256"]
+    return found.join(known.groupBy(*key).agg(F.min("url").alias("url")), key, "left")
+
+
+def put_images(pages: DataFrame, assets: DataFrame, key: str = "page_id") -> DataFrame:
+    """Pages (key, file_id, html) with the addresses of their images in place: key, html, error (image_missing, image_unsafe or null).
+
+    assets: file_id, asset_path, sha256 and url of what is stored; the least sha256 of a path counts. A local source is met by its path without query and fragment, decoded;
+    remote, inline and empty sources stay. A page with a source that leaves its folder, or that isn't stored, has an error and no html.
+
+    A page's html is cut into an array at its images and stays one row; only sources are exploded and joined, so that neither a page of very many images nor a file of very many
+    pages moves html about. A null html is null; repeated keys are one page.
+    """
+
+    @F.pandas_udf("array<string>")
+    def cuts(html: pd.Series) -> pd.Series:
+        from foliant.functions.markup import image_cuts
+
+        return html.map(lambda h: None if h is None else image_cuts(h))
+
+    once = pages.groupBy(key).agg(F.min(F.struct("file_id", "html")).alias("_p")).select(key, "_p.file_id", cuts("_p.html").alias("_cut"))
+    once = written(once, "image-cuts")  # so that pages are cut once
+    is_source = F.transform("_cut", lambda x, k: F.struct(k.alias("k"), F.when(k % 2 == 1, x).alias("raw")))
+    sources = once.select(key, "file_id", F.explode(F.filter(is_source, lambda x: x.raw.isNotNull())).alias("_s")).withColumn("_source", image_source(F.regexp_replace("_s.raw", "^[\"']|[\"']$", "")))
+    local = sources.filter(F.col("_source.kind") != "remote").select(key, "file_id", F.col("_s.k").alias("_k"), "_source.kind", F.col("_source.path").alias("asset_path"))
+    stored = assets.groupBy("file_id", "asset_path").agg(F.min(F.struct("sha256", "url")).alias("_a")).select("file_id", "asset_path", "_a.url")
+    met = local.join(stored, ["file_id", "asset_path"], "left")
+    wrong = F.when(F.col("kind") == "unsafe", "image_unsafe").when(F.col("url").isNull(), "image_missing")
+    urls = met.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_k", "url"))).alias("_urls"), F.min_by(wrong, F.when(wrong.isNotNull(), F.col("_k"))).alias("error"))
+    quoted = lambda url: F.concat(F.lit('"'), F.replace(F.replace(url, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit('"'))
+    parts = F.transform("_cut", lambda x, k: F.coalesce(quoted(F.try_element_at("_urls", k)), x))
+    return once.join(urls, key, "left").select(key, F.when(F.col("error").isNull(), F.array_join(parts, "")).alias("html"), "error")
 
 
 def flushes(elements: DataFrame, key: str, every: int = 20) -> DataFrame:

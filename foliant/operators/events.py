@@ -63,7 +63,7 @@ def matching(events: DataFrame, level: str | None = None, status: str | None = N
         if value is not None:
             rows = rows.filter(F.col(name) == value)
     if search:
-        fields = [c for c in ("post_id", "post_title", "doc_title", "status", "step", "message", "error_code", "level") if c in events.columns]
+        fields = [c for c in ("post_id", "post_title", "doc_title", "status", "step", "message", "error_code") if c in events.columns]
         found = [F.col(c) for c in fields] + ([F.col(f"context.{c}") for c in SEARCHED] if "context" in events.columns else [])
         if posts is None:
             return rows.filter(contains_any(found, search))

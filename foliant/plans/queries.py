@@ -202,7 +202,7 @@ def events_filter(spark, sf_dir):
     return events.matching(event_table(spark, sf_dir), level="warning", status="syncing", step="view").select("event_id", "level", "step")
 
 
-_FIELDS = ("CAST(post_id AS STRING)", "post_title", "status", "step", "message", "error_code", "level")
+_FIELDS = ("CAST(post_id AS STRING)", "post_title", "status", "step", "message", "error_code")
 
 
 @query("events_search", EVT + "SELECT event_id FROM ev WHERE " + " OR ".join(f"contains(lower({c}), 'abc77')" for c in _FIELDS))

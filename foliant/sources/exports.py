@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import io
-import json
+import lzma
+import struct
 import zipfile
-from collections.abc import Iterator
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.functions.markup import escape
+from foliant.functions import doc_trees
 
-#: Bytes of a package that is read; larger ones give an error.
-PACKAGE_BYTES = 10_485_760
+#: Bytes of a package that is read, and of its page once it is unpacked; larger ones give an error.
+PACKAGE_BYTES, PAGE_BYTES = 10_485_760, 104_857_600
+#: What reading a damaged package may raise.
+DAMAGED = (zipfile.BadZipFile, zlib.error, lzma.LZMAError, struct.error, EOFError, OSError, ValueError, RuntimeError, NotImplementedError, OverflowError)
 
 
 def packages(spark: SparkSession, path: str) -> DataFrame:
@@ -30,7 +33,7 @@ def entry_name(names: list[str]) -> str | None:
 
 
 def package_pages(found: DataFrame, limit: int = PACKAGE_BYTES) -> DataFrame:
-    """Of packages (path, length, content): path, entry, html, error (too_large, bad_package, no_page or null)."""
+    """Of packages (path, length, content): path, entry, html, error (too_large, bad_package, no_page or null). A page is unpacked up to PAGE_BYTES and no further, whatever its package says."""
 
     @F.pandas_udf("entry string, html string, error string")
     def read(contents: pd.Series) -> pd.DataFrame:
@@ -38,9 +41,13 @@ def package_pages(found: DataFrame, limit: int = PACKAGE_BYTES) -> DataFrame:
         for data in contents:
             try:
                 with zipfile.ZipFile(io.BytesIO(data or b"")) as package:
-                    name = entry_name(package.namelist())
-                    out.append((name, package.read(name).decode("utf-8", "replace"), None) if name else (None, None, "no_page"))
-            except (zipfile.BadZipFile, RuntimeError, NotImplementedError):
+                    if not (name := entry_name(package.namelist())):
+                        out.append((None, None, "no_page"))
+                        continue
+                    with package.open(name) as page:
+                        html = page.read(PAGE_BYTES + 1)
+                    out.append((name, html.decode("utf-8", "replace"), None) if len(html) <= PAGE_BYTES else (None, None, "too_large"))
+            except DAMAGED:
                 out.append((None, None, "bad_package"))
         return pd.DataFrame(out, columns=["entry", "html", "error"])
 
@@ -49,12 +56,6 @@ def package_pages(found: DataFrame, limit: int = PACKAGE_BYTES) -> DataFrame:
     return small.unionByName(found.filter(F.col("length") > limit).select("path", none.alias("entry"), none.alias("html"), F.lit("too_large").alias("error")))
 
 
-def _tabs(tabs: list[dict], depth: int = 0) -> Iterator[tuple[int, dict]]:
-    for tab in tabs:
-        yield depth, tab
-        yield from _tabs(tab.get("childTabs") or [], depth + 1)
-
-
 def styled(content: Column, bold: Column, italic: Column, underline: Column, url: Column) -> Column:
     """A run of text as HTML: escaped, line ends as breaks, without up to two at its end, then bold, italic, underline and link around it from the inside."""
     text = F.regexp_replace(content, r"\n{1,2}\z", "")
@@ -67,73 +68,58 @@ def styled(content: Column, bold: Column, italic: Column, underline: Column, url
     return F.when(F.coalesce(F.regexp_replace(content, r"\n{1,2}\z", ""), F.lit("")) == "", "").otherwise(html)
 
 
-#: Levels of tabs that a document tree may have.
-TAB_DEPTH = 3
-_BODY = "body: struct<content: array<string>>"
-
+def element_count(document: Column) -> Column:
+    """How many elements the parts of a document tree (JSON) have, one at least: those of its tabs at any depth, or its own where it has no tabs."""
 
-def _tab(depth: int) -> str:
-    child = f", childTabs: array<{_tab(depth - 1)}>" if depth > 1 else ""
-    return f"struct<documentTab: struct<{_BODY}>{child}>"
+    @F.pandas_udf("int")
+    def counted(trees: pd.Series) -> pd.Series:
+        return trees.map(doc_trees.element_count, na_action=None)
 
-
-def element_count(document: Column) -> Column:
-    """How many elements the parts of a document tree (JSON) have, one at least: those of its tabs, down to TAB_DEPTH, or its own where it has no tabs."""
-    return F.greatest(F.lit(1), F.coalesce(_elements(F.from_json(document, f"struct<{_BODY}, tabs: array<{_tab(TAB_DEPTH)}>>"), TAB_DEPTH), F.lit(0)))
-
-
-def _elements(tree: Column, depth: int) -> Column:
-    size = lambda part: F.coalesce(F.when(part.body.content.isNotNull(), F.size(part.body.content)), F.lit(0))
-    total = lambda xs, f: F.aggregate(F.coalesce(xs, F.array()), F.lit(0), lambda t, x: t + f(x))
-
-    def of(tab: Column, left: int) -> Column:
-        own = size(tab.documentTab)
-        return own + total(tab.childTabs, lambda x: of(x, left - 1)) if left > 1 else own
-
-    return F.when(F.size(tree.tabs) > 0, total(tree.tabs, lambda x: of(x, depth))).otherwise(size(tree))
-
-
-def _picture(object_id: str, objects: dict) -> str:
-    """An inline object as an image, or the words that describe it where it has no address."""
-    embedded = ((objects.get(object_id) or {}).get("inlineObjectProperties") or {}).get("embeddedObject") or {}
-    words = escape(str(embedded.get("title") or embedded.get("description") or ""))
-    address = str((embedded.get("imageProperties") or {}).get("contentUri") or "")
-    return f'<img src="{escape(address)}" alt="{words}">' if address else words
-
-
-def document_parts(document: str | None) -> list[dict]:
-    """The paragraphs of a document tree in order, tab by tab, children after their parent: tab, depth, style, list_key, text, objects (inline
-    images as HTML)."""
-    try:
-        tree = json.loads(document or "{}")
-    except ValueError:
-        return []
-    if not isinstance(tree, dict):
-        return []
-    parts = [(d, t.get("documentTab") or {}, (t.get("tabProperties") or {}).get("tabId", "")) for d, t in _tabs(tree.get("tabs") or [])] or [(0, tree, "")]
-    out = []
-    for depth, part, tab in parts:
-        lists = part.get("lists") or tree.get("lists") or {}
-        objects = part.get("inlineObjects") or tree.get("inlineObjects") or {}
-        for element in (part.get("body") or {}).get("content") or []:
-            if not (paragraph := element.get("paragraph")):
-                continue
-            text = "".join((e.get("textRun") or {}).get("content", "") for e in paragraph.get("elements") or []).removesuffix("\n")
-            key = None
-            if bullet := paragraph.get("bullet"):
-                level = bullet.get("nestingLevel", 0)
-                levels = ((lists.get(bullet.get("listId")) or {}).get("listProperties") or {}).get("nestingLevels") or []
-                glyph = levels[level].get("glyphType", "") if level < len(levels) else ""
-                key = f"{bullet.get('listId', '')}:{level}:{glyph}"
-            out.append({"tab": tab, "depth": depth, "style": (paragraph.get("paragraphStyle") or {}).get("namedStyleType", ""), "list_key": key, "text": text, "objects": "".join(_picture(e["inlineObjectElement"].get("inlineObjectId", ""), objects) for e in paragraph.get("elements") or [] if e.get("inlineObjectElement"))})
-    return out
+    return counted(document)
 
 
 def paragraphs(documents: DataFrame, key: str = "doc_id", column: str = "document") -> DataFrame:
-    """One row for each paragraph of document trees (JSON): key, pos, tab, depth, style, list_key, text, objects."""
+    """One row for each paragraph of document trees (JSON): key, pos, tab, depth, style, list_key, text, objects. What can't be read has none."""
 
     @F.pandas_udf("array<struct<tab:string,depth:int,style:string,list_key:string,text:string,objects:string>>")
     def parsed(trees: pd.Series) -> pd.Series:
-        return trees.map(document_parts)
+        return trees.map(doc_trees.paragraphs, na_action=None)
 
     return documents.select(key, F.posexplode(parsed(column)).alias("pos", "p")).select(key, "pos", "p.*")
+
+
+@F.udtf(returnType="pos: int, total: int, html: string, closes: string, error: string")
+class DocumentHtml:
+    """document_html(tree) in SQL: a document tree (JSON) as a row for each element of its parts, or one with the error bad_tree."""
+
+    def eval(self, document: str):
+        found = doc_trees.pieces(document)
+        if found is None:
+            yield 0, 0, None, None, "bad_tree"
+            return
+        for piece in found:
+            yield *piece, None
+
+
+def register(spark: SparkSession) -> None:
+    """Makes document_html known to SQL."""
+    spark.udtf.register("document_html", DocumentHtml)
+
+
+def html_pieces(documents: DataFrame, key: str = "doc_id", column: str = "document") -> DataFrame:
+    """The elements of document trees (JSON) as HTML: key, pos (from 1), total, html, closes (the end tag of the list that is open after it), error."""
+    return documents.select(F.col(key), F.col(column).alias("_tree")).lateralJoin(DocumentHtml(F.col("_tree").outer())).drop("_tree")
+
+
+def document_html(pieces: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Of html_pieces each document's HTML: key, html, error. A document without elements has none of html_pieces, and no row."""
+    rows = pieces.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "html"))).alias("_p"), F.max("error").alias("error"))
+    return rows.select(key, F.when(F.col("error").isNull(), F.array_join(F.transform("_p", lambda p: p.html), "")).alias("html"), "error")
+
+
+def partial_html(pieces: DataFrame, key: str = "doc_id", every: int = 20) -> DataFrame:
+    """What is there of a document's HTML after each every-th element and the last, with its open list closed: key, rendered, total, html."""
+    rows = pieces.filter("error IS NULL").groupBy(key, "total").agg(F.array_sort(F.collect_list(F.struct("pos", "html", "closes"))).alias("_p"))
+    marks = rows.withColumn("_mark", F.explode(F.filter("_p", lambda p: (p.pos % every == 0) | (p.pos >= F.col("total")))))
+    so_far = F.array_join(F.transform(F.slice("_p", F.lit(1), F.col("_mark.pos")), lambda p: p.html), "")
+    return marks.select(key, F.col("_mark.pos").alias("rendered"), "total", F.concat(so_far, "_mark.closes").alias("html"))
