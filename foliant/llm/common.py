@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,27 +36,29 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-#: The folders of the tables made within scratch, the innermost last.
-_made: list[list[str]] = []
+#: The folders of the tables made within scratch in this thread, the innermost last.
+_made: ContextVar[tuple[list[str], ...]] = ContextVar("made", default=())
 
 
 def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again, which cuts its lineage. It outlives scratch only if it is to be kept."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    if _made and not keep:
-        _made[-1].append(path)
+    if (made := _made.get()) and not keep:
+        made[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes the tables that are made within, once what was computed from them is written."""
-    _made.append([])
+    """Deletes the tables that are made within by this thread, once what was computed from them is written."""
+    own: list[str] = []
+    before = _made.set((*_made.get(), own))
     try:
         yield
     finally:
-        for path in _made.pop():
+        _made.reset(before)
+        for path in own:
             deleted(spark, path)
 
 

@@ -9,6 +9,8 @@ from foliant.llm.common import framed, let, materialize, text_of
 
 #: Words in a window; windows are hashed by doubling.
 WINDOW = 8
+#: Words that an item has at least; a shorter one stands in texts that have nothing to do with it ("the" in nearly all) and is never met.
+SHORTEST = 4
 #: A benchmark is broadcast up to this many windows (some 100 bytes each); a larger one is joined by a shuffle.
 BROADCAST_WINDOWS = 500_000
 # Fixed list of units, as lower-case words after a number.
@@ -89,11 +91,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_windows: int = 6, mi
     in pieces) or min_share of them, and the slots agree: each value of the item always stands for the same
     value of the document, and the reverse. Where they don't, the windows whose values are all the same still count by themselves, so that
     a copy of which one mention was changed is found. same_values tells whole copies from re-parameterised or changed items. Windows match by template or word for word, those of the item
-    with more than half placeholders word for word only; an item of fewer than WINDOW words is one such window. Null and
+    with more than half placeholders word for word only; an item of fewer than WINDOW words is one such window, one of fewer than SHORTEST is never met. Null and
     empty texts hold nothing; very long ones are read whole; repeated rows and items with one id and text count once; of alignments that tie, one of
     the same values goes first; an empty table of either gives no rows; other columns are ignored.
     """
-    items = templates(benchmark.select("item_id", text_of().alias("_text")).distinct())
+    items = templates(benchmark.select("item_id", text_of().alias("_text")).distinct()).filter(F.col("n") >= SHORTEST)
     parts = items.select("item_id", "slots", "n", F.inline("windows")).withColumnRenamed("at", "ipos").select("item_id", "hash", "ipos", "raw", "n", _inside(F.col("ipos")).alias("islots"))
     parts = parts.filter(F.col("raw") | (F.size("islots") <= WINDOW // 2))
     parts = materialize(parts, "benchmark-windows")

@@ -497,6 +497,9 @@ NUMBERS = "12 + 7 - 9 * 4 = 3, 15 km, 20 km and 4 kg, Anna, Otto, Mia, Paul, 18
         ("Name the longest river", "name the longest of the rivers", None),
         ("2 4 6 8", "1 2 4 6 8 10", (True, 1.0)),
         ("2 4 6 8", "1 3 5 7", None),
+        ("the", "the text has the word of the item", None),
+        ("Of the", "a piece of the text", None),
+        ("is it so", "is it so", None),
         ("Anna, Otto, Mia, Eva, Paul, Ida, Max and the others of their class went out to the old mill by the river", "a class: Anna, Otto, Mia, Eva, Paul, Ida, Max and the others of their class went out to the old mill by the river", (True, 1.0)),
     ],
 )

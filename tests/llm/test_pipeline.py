@@ -70,4 +70,4 @@ def test_tables_of_a_run_are_deleted(spark):
     folder = Path(spark.conf.get("spark.checkpoint.dir"))
     before = set(folder.iterdir())
     assert corpus_pipeline.run(spark, SF).count() > 0
-    assert sorted(p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before) == sorted(f"stage-{name}" for name, _ in corpus_pipeline.STAGES)
+    assert [p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before] == [f"stage-{corpus_pipeline.STAGES[-1][0]}"]
