@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators import documents
+from foliant.operators import documents, layouts
 from foliant.plans.models import table
 from foliant.plans.queries import query
 from foliant.sources import exports
@@ -95,3 +95,83 @@ def images_put(spark, sf_dir):
     plain = keys.select(F.expr("concat('f', f)").alias("file_id"), F.expr("concat('images/i', i, '.png')").alias("asset_path"), F.lit("a").alias("sha256"), F.expr("concat('https://media/', f, '/', i, '?a=1&b=2')").alias("url"))
     spaced = keys.filter("i < 3").select(F.expr("concat('f', f)").alias("file_id"), F.expr("concat('images/i ', i, '.png')").alias("asset_path"), F.lit("a").alias("sha256"), F.expr("concat('https://media/', f, '/i ', i, '.png')").alias("url"))
     return documents.put_images(pages, plain.union(spaced))
+
+
+# Layouts: pages with a hero and a widget of every kind.
+
+_LAYOUT_PAGE = """concat('<h1>T', page_id, '</h1><p>Lead of ', page_id, '</p><p><img src="https://h/', page_id, '.png" alt="A"></p><p> </p><h3>More</h3><ul><li>one <b>b</b><li>two</ul><ol><li>x</ol><table class="t"><tr><td>c</table><blockquote>said</blockquote><hr><a href="https://h/"><img src="i.png"></a>', CASE WHEN page_id % 2 = 0 THEN '<section><dl>d</dl></section>' ELSE '' END)"""
+
+
+def _sized(value: int, unit: str = "px") -> str:
+    return f'{{"unit":"{unit}","size":{value},"sizes":[]}}'
+
+
+def _edged(top: int, right: int, bottom: int, left: int) -> str:
+    return f'{{"unit":"px","top":"{top}","right":"{right}","bottom":"{bottom}","left":"{left}","isLinked":false}}'
+
+
+def _id(number: str) -> str:
+    return f"' || substring(sha256(concat('layout:', page_id, ':', {number})), 1, 8) || '"
+
+
+def _widget(number: str, kind: str, own: str) -> str:
+    return f'{{"id":"{_id(number)}","elType":"widget","widgetType":"{kind}","isInner":false,"settings":{{{own}}},"elements":[]}}'
+
+
+def _item(text: str) -> str:
+    return f'{{"text":"{text}","selected_icon":{{"value":"fas fa-check","library":"fa-solid"}},"link":{{"url":"","is_external":"","nofollow":""}}}}'
+
+
+def _picture(url: str, alt: str, widths: tuple[int, int], more: str = "") -> str:
+    return f'"image":{{"url":"{url}","id":0,"alt":"{alt}"}},"image_size":"large","align":"center","width":{_sized(widths[0], "%")},"width_tablet":{_sized(widths[1], "%")},"width_mobile":{_sized(100, "%")},"_margin":{_edged(8, 0, 0, 0)}{more}'
+
+
+def _text(html: str, align: str = "left", below: int = 4) -> str:
+    return f'"editor":"{html}","align":"{align}","_margin":{_edged(0, 0, below, 0)}'
+
+
+_PADS = {True: [(96, 24, 80, 24), (72, 22, 64, 22), (56, 18, 48, 18)], False: [(48, 24, 48, 24), (40, 22, 40, 22), (32, 18, 32, 18)]}
+_HERO = [
+    _widget("1", "heading", f'"title":"T\' || page_id || \'","header_size":"h1","size":"xxl","align":"center","_margin":{_edged(0, 0, 8, 0)}'), _widget("2", "text-editor", _text("<p>Lead of ' || page_id || '</p>", "center", 16)), _widget("3", "image", _picture("https://h/' || page_id || '.png", "A", (86, 92))),
+]
+_SPACER = _widget("4", "spacer", '"space":{"size":20,"unit":"px"}')
+_FEATURE = [
+    _widget("5", "heading", f'"title":"More","header_size":"h3","size":"large","align":"left","_margin":{_edged(0, 0, 8, 0)}'),
+    _widget("6", "icon-list", f'"icon_list":[{_item("one b")},{_item("two")}],"space_between":{_sized(10)},"icon_size":{_sized(14)},"text_indent":{_sized(8)},"_margin":{_edged(4, 0, 4, 0)}'),
+    _widget("7", "text-editor", _text("<ol><li>x</li></ol>")), _widget("8", "html", f'"html":"<table><tr><td>c</td></tr></table>","_margin":{_edged(8, 0, 0, 0)}'), _widget("9", "text-editor", _text("<p>said</p>")), _widget("10", "divider", ""),
+    _widget("11", "image", _picture("i.png", "", (72, 86), ',"link":{"url":"https://h/","is_external":false,"nofollow":false}')),
+]
+_LAST = """' || CASE WHEN page_id % 2 = 0 THEN '""" + "," + _widget("12", "html", f'"html":"<dl>d</dl>","_margin":{_edged(8, 0, 0, 0)}').replace("<dl>d</dl>", "<p><dl>d</dl></p>") + """' ELSE '' END || '"""
+_ALL = "(11 + CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END)"
+
+
+def _box(group: int, hero: bool, elements: str) -> str:
+    pads = ",".join(f'"{n}":{_edged(*p)}' for n, p in zip(("padding", "padding_tablet", "padding_mobile"), _PADS[hero], strict=True))
+    own = f'"content_width":"boxed","boxed_width":{_sized(1120 if hero else 960)},' + (f'"height":"min-height","min_height":{_sized(520)},"min_height_tablet":{_sized(440)},"content_position":"middle",' if hero else "") + '"flex_direction":"column",' + ('"justify_content":"center",' if hero else "")
+    own += f'"align_items":"{"center" if hero else "stretch"}","gap":{_sized(24 if hero else 18)},' + ('"background_background":"classic","background_color":"#f6f8fb",' if hero else "") + pads + ',"html_tag":"section"'
+    return f'{{"id":"{_id(f"{_ALL} + {group + 1}")}","elType":"container","isInner":false,"settings":{{{own}}},"elements":[{elements}]}}'
+
+
+def _section(group: int, hero: bool, elements: str) -> str:
+    pads = ",".join(f'"{n}":{_edged(*p)}' for n, p in zip(("padding", "padding_tablet", "padding_mobile"), _PADS[hero], strict=True))
+    own = f'"layout":"boxed","content_width":{_sized(1120 if hero else 960)},' + (f'"height":"min-height","custom_height":{_sized(520)},"content_position":"middle","background_background":"classic","background_color":"#f6f8fb",' if hero else "") + pads + ',"html_tag":"section"'
+    column = f'{{"id":"{_id(f"{_ALL} + {2 * group + 1}")}","elType":"column","isInner":false,"settings":{{"_column_size":100,"_inline_size":null,' + ('"content_position":"center",' if hero else "") + f'"space_between_widgets":{24 if hero else 18}}},"elements":[{elements}]}}'
+    return f'{{"id":"{_id(f"{_ALL} + {2 * group + 2}")}","elType":"section","isInner":false,"settings":{{{own}}},"elements":[{column}]}}'
+
+
+def _layout_sql(box) -> str:
+    return "SELECT page_id, '[" + ",".join([box(0, True, ",".join(_HERO)), box(1, False, _SPACER), box(2, False, ",".join(_FEATURE) + _LAST)]) + "]' AS tree FROM pages"
+
+
+def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.blocks(table(spark, sf_dir, "pages").select("page_id", F.expr(_LAYOUT_PAGE).alias("html")))
+
+
+@query("layout_containers", _layout_sql(_box))
+def layout_containers(spark, sf_dir):
+    return layouts.layout(layout_blocks(spark, sf_dir), "page_id")
+
+
+@query("layout_sections", _layout_sql(_section))
+def layout_sections(spark, sf_dir):
+    return layouts.layout(layout_blocks(spark, sf_dir), "page_id", containers=False)
