@@ -13,6 +13,8 @@ INTERVALS = {"hourly": 3_600, "twicedaily": 43_200, "daily": 86_400, "weekly": 6
 #: Steps of a sync and how far it is at each; a partial import goes on from its own by the share that is done.
 STEPS = {"queued": 0, "checking": 10, "exporting": 25, "large_doc_fallback": 35, "importing": 55, "large_doc_partial_import": 55, "converting": 70, "updating": 90, "complete": 100}
 PARTIAL = 14
+#: Presets: version, and whether first headings are lowered, code blocks and callouts made.
+PRESETS = {"plain_blocks": ("2", False, False, False), "clean_article": ("2", True, False, False), "documentation": ("3", False, True, True)}
 INTERVAL_NAMES = ("off", "hourly", "twicedaily", "daily", "weekly")
 UNAVAILABLE = ("accessnotconfigured", "has not been used", "disabled")
 RECONNECT_CODES = ("access_denied", "credentials_missing", "reconnect_required", "transient_failure")
@@ -23,6 +25,14 @@ def health_rank(status: Column, last_synced: Column) -> Column:
     return F.when(status == "syncing", 1).when(status.isin("synced", "skipped") & (last_synced != ""), 2).otherwise(0)
 
 
+def preset_fingerprint(preset: Column) -> Column:
+    """The hash of what a preset (plain_blocks where it isn't known) does to a layout, as JSON: its id, version, and whether it lowers first headings, makes code blocks and callouts."""
+    known = F.when(preset.isin(*PRESETS), preset).otherwise("plain_blocks")
+    number = F.create_map(*[F.lit(x) for name, (version, *_) in PRESETS.items() for x in (name, version)])
+    flags = [F.create_map(*[F.lit(x) for name, own in PRESETS.items() for x in (name, own[k + 1])])[known].alias(n) for k, n in enumerate(("demote_top_level_headings", "render_code_blocks", "render_callouts"))]
+    return F.sha2(F.to_json(F.struct(known.alias("id"), number[known].alias("version"), *flags)), 256)
+
+
 def fingerprint_current(current: Column, recorded: Column, preset: Column, plain: str = "plain_blocks", widget: Column | None = None) -> Column:
     """Whether the layout is what was last written; without a record only the plain preset counts as current, and widgets never."""
     widgets = F.lit(False) if widget is None else widget

@@ -66,14 +66,17 @@ def inventory(items: DataFrame, roots: DataFrame, depth: int = DEPTH, most: int
     """All documents below roots (root_id): root_id, file_id, name, depth, path (folders joined by " / "), level by level.
 
     A level is one join on the parent, so that the tree's width is dealt out; each folder is entered once, at its first place
-    (which also ends cycles). Of each folder the first most children are read.
+    (which also ends cycles). Of each folder the first most children are read; only those of folders that the level enters are put in order. Each level's folders are
+    a written table.
     """
     order = [F.when(F.col("item_type") == "folder", 0).otherwise(1), natural_key(F.col("name")), F.col("file_id")]
-    ranked = written(items.withColumn("_rank", F.row_number().over(Window.partitionBy("parent_id").orderBy(*order))).filter(F.col("_rank") <= most), "ranked-children")
+    rank = F.row_number().over(Window.partitionBy("parent_id").orderBy(*order))
     front = roots.select("root_id", F.col("root_id").alias("folder_id"), F.lit("").alias("path"), F.array().cast("array<int>").alias("place"))
     entered = front.select("root_id", "folder_id")
     found = []
     for level in range(depth + 1):
+        inside = items.join(front.select(F.col("folder_id").alias("parent_id")).distinct(), "parent_id", "left_semi")
+        ranked = inside.withColumn("_rank", rank).filter(F.col("_rank") <= most)
         met = front.join(ranked, F.col("folder_id") == F.col("parent_id"))
         met = met.withColumn("place", F.array_append("place", F.col("_rank")))
         documents = met.filter((F.col("item_type") == "document") & F.coalesce("selectable", F.lit(True)))
@@ -82,7 +85,7 @@ def inventory(items: DataFrame, roots: DataFrame, depth: int = DEPTH, most: int
             break
         folders = met.filter(F.col("item_type") == "folder").groupBy("root_id", F.col("file_id").alias("folder_id")).agg(F.min_by(F.struct("name", "path", "place"), "place").alias("f"))
         fresh = folders.join(entered, ["root_id", "folder_id"], "left_anti")
-        front = fresh.select("root_id", "folder_id", F.concat("f.path", F.when(F.col("f.path") == "", "").otherwise(" / "), "f.name").alias("path"), "f.place")
+        front = written(fresh.select("root_id", "folder_id", F.concat("f.path", F.when(F.col("f.path") == "", "").otherwise(" / "), "f.name").alias("path"), "f.place"), "entered-folders")
         entered = entered.union(front.select("root_id", "folder_id"))
     rows = reduce(DataFrame.union, found)
     first = rows.groupBy("root_id", "file_id").agg(F.min_by(F.struct("name", "depth", "path", "place"), F.struct("depth", "place")).alias("d"))

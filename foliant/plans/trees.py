@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.functions import rules
 from foliant.operators import documents, layouts
 from foliant.plans.models import table
 from foliant.plans.queries import query
@@ -175,3 +176,12 @@ def layout_containers(spark, sf_dir):
 @query("layout_sections", _layout_sql(_section))
 def layout_sections(spark, sf_dir):
     return layouts.layout(layout_blocks(spark, sf_dir), "page_id", containers=False)
+
+
+_SEED = '{{"id":"{}","version":"{}","demote_top_level_headings":{},"render_code_blocks":{},"render_callouts":{}}}'
+
+
+@query("preset_fingerprints", "SELECT doc_id, sha256(CASE doc_id % 4 WHEN 1 THEN '" + _SEED.format("clean_article", 2, "true", "false", "false") + "' WHEN 2 THEN '" + _SEED.format("documentation", 3, "false", "true", "true") + "' ELSE '" + _SEED.format("plain_blocks", 2, "false", "false", "false") + "' END) AS fingerprint FROM documents")
+def preset_fingerprints(spark, sf_dir):
+    preset = F.expr("CASE doc_id % 4 WHEN 0 THEN 'plain_blocks' WHEN 1 THEN 'clean_article' WHEN 2 THEN 'documentation' ELSE 'other' END")
+    return table(spark, sf_dir, "documents").select("doc_id", rules.preset_fingerprint(preset).alias("fingerprint"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +41,17 @@ def removed(table: DataFrame) -> None:
         deleted(table.sparkSession, folder)
 
 
+def swept(spark: SparkSession, hours: float) -> int:
+    """Deletes the tables and stream folders of this library in the shared folder that nothing has been put into for so many hours; how many they were."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark, "x")).getParent()
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    before, gone = (time.time() - hours * 3_600) * 1_000, 0
+    for status in fs.listStatus(base) if fs.exists(base) else []:
+        if re.fullmatch(r"[a-z0-9_-]+-[0-9a-f]{32}", status.getPath().getName()) and status.getModificationTime() < before:
+            gone += fs.delete(status.getPath(), True)
+    return gone
+
+
 def session(master: str = "local[*]", partitions: int | None = None, **settings: str) -> SparkSession:
     """UTC, adaptive execution, and shuffle partitions only where they are given; other settings stay the cluster's."""
     builder = SparkSession.builder.master(master).appName("foliant")

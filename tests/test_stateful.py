@@ -311,3 +311,10 @@ def test_watches_however_they_are_cut(spark, monkeypatch):
         watch_sync.run(stream, watch, linked, imports, place)
         assert sorted(map(str, (tuple(r) for r in watch.read().collect()))) == sorted(map(str, want))
         assert sorted(tuple(r) for r in linked.read().collect()) == sorted(links)
+
+
+def test_old_tables_are_swept(spark):
+    from foliant.session import swept, written
+
+    kept = written(spark.range(3).toDF("a"), "swept")
+    assert swept(spark, 1) == 0 and kept.count() == 3
