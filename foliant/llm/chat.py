@@ -31,8 +31,8 @@ def format_chats(turns: DataFrame, key: str = "conv_id", trained_role: str = "as
     """Formats conversations (key, turn, role, text): key, formatted, loss (array of (begin, width) in code points).
 
     Turns go by turn, ties by role and text; null turns come first; null roles and texts are empty;
-    repeated rows are turns of their own; a null key is a conversation of its own; other columns are
-    ignored; an empty table gives no rows. Adjacent turns of a role share one block, in which NEXT parts
+    repeated rows are turns of their own; a null key is a conversation of its own; very long texts are formatted
+    whole; other columns are ignored; an empty table gives no rows. Adjacent turns of a role share one block, in which NEXT parts
     the messages, so that the rows can be read back. The loss mask covers each text of trained_role.
     """
     empty = F.lit("")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm.chat import OP3_SQL, op3_chat_format
 from foliant.llm.decontaminate import op6_decontaminate
-from foliant.llm.hard_negatives import op13_hard_negatives
+from foliant.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from foliant.llm.html_text import op9_html_text
 from foliant.llm.language import op7_language
 from foliant.llm.mixing import op2_mixing
@@ -41,4 +41,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_hard_negatives": _over(op13_hard_negatives, "embeddings"),
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_chat_format": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_format": OP3_SQL, "op13_hard_negatives": OP13_SQL}

@@ -113,7 +113,7 @@ def scan_secrets(docs: DataFrame, max_gap: int = 256) -> DataFrame:
     """Finds secrets in documents (doc_id, text): doc_id, base and linked, arrays of (start, kind, end).
 
     A null text is empty and has no spans; an empty table gives no rows; repeated rows are answered each;
-    other columns are ignored. Weak parts are reported only if link_parts keeps them.
+    very long texts are searched whole; spans that tie in start and kind are one; other columns are ignored. Weak parts are reported only if link_parts keeps them.
     """
     rows = materialize(parts(docs), "secret-parts")
     scope = ["doc_id", "row_key"]

@@ -135,8 +135,8 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataF
 
     Fingerprints at most radius bits apart are linked and component_id is the smallest doc_id reachable.
     Null and empty texts have fingerprint 0, which links like any other; repeated rows share a component;
-    null ids never name one unless all of its ids are null; an empty table gives no rows; other columns
-    are ignored.
+    null ids never name one unless all of its ids are null; very long texts are fingerprinted whole; a bit that half of the hashes
+    set, a tie, is 0; an empty table gives no rows; other columns are ignored.
     """
     rows = docs.select("doc_id", text_of().alias("_text"))
     rows = materialize(rows.select("doc_id", F.xxhash64("_text").alias("row_key"), fingerprint(F.col("_text"), shingle).alias("fp")), "simhash")

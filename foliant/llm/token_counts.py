@@ -41,7 +41,8 @@ def n_tokens(text: Column, vocabulary: str = VOCABULARY) -> Column:
 
 
 def length_histogram(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(length, docs): how many documents (text) have each encoded length. Repeated rows count each; an empty table gives no rows."""
+    """(length, docs): how many documents (text) have each encoded length. Very long texts are encoded whole;
+    repeated rows count each; there are no ties, as a length is one row; an empty table gives no rows."""
     return docs.select(n_tokens(F.col("text"), vocabulary).alias("length")).groupBy("length").agg(F.count("*").alias("docs"))
 
 

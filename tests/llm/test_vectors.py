@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm import hard_negatives, whitening
 from foliant.plans.models import table
+from tests.oracle import compare
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -117,6 +118,10 @@ def test_hard_negatives_by_hand(spark, kind, monkeypatch):
     assert sorted(map(str, found)) == sorted(map(str, want)) and want
 
 
+def test_hard_negatives_by_sql(spark):
+    compare(hard_negatives.op13_hard_negatives(table(spark, "/root/testdata/sf0.01", "embeddings")), hard_negatives.OP13_SQL, "/root/testdata/sf0.01")
+
+
 def test_hard_negatives_of_little(spark):
     of = lambda rows: hard_negatives.op13_hard_negatives(spark.createDataFrame(rows, SCHEMA)).collect()
     assert of([]) == [] and of([(1, [1.0], 1)]) == [] and of([(100, [1.0], 1)]) == []
