@@ -329,3 +329,14 @@ def test_prepend_collects_what_it_keeps(spark, capsys):
     assert "WindowGroupLimit" in capsys.readouterr().out
     want = {p: [str(k) for k in range(4_999, -1, -1) if k % 2 * (k % 3) == p][:3] for p in (0, 1, 2)} | {9: ["old"]}
     assert {r["post_id"]: r["events"] for r in found.collect()} == want
+
+
+LINES = {
+    "npm install left-pad": "S", "git pull": "S", "curl -s https://host \\": "C", "  --save=x": "k", "  --save=x \\": "K", '"""': "Q", "": "b", "   ": "b", "This is a sentence of plain words.": "p", "const x = 1": "S", "<div>": "S",
+}
+
+
+def test_lines_by_a_table():
+    """What each kind of line is, by hand; the fold over runs takes its letters from the same function."""
+    found = {line: code_lines.letter(line) for line in LINES}
+    assert found == LINES
