@@ -15,10 +15,9 @@ from foliant.session import removed
 
 #: Fingerprints in one shard tree; with 8 bytes each this bounds what a task holds.
 TREE = 4096
-#: Texts, at the least, in which the commonest shingles are counted, and how many of these come last in the order of all; both touch the speed alone.
-COUNTED, COMMONEST = 20_000, 100_000
-#: Texts that share a shingle, above which it counts as common once it is counted in all texts, and how often the order is mended by such counts.
-HEAVY, MENDED = 64, 2
+#: The commonest shingles are counted in one of so many texts, or in so many texts at the least, and so many of these come last in the order of all. As the share is fixed, a shingle that
+#: isn't found to be common is in few texts however many there are; all three touch the speed alone.
+SHARE, COUNTED, COMMONEST = 8, 20_000, 100_000
 #: Texts of one shingle, or of one leader, that a task of a join compares with all the others of it.
 SALTED = 1_000
 #: Shingles in a text's sketch, the share of them that two texts must have in common to be compared, and rounds of comparisons with leaders.
@@ -193,8 +192,8 @@ def shingle_sets(words: Column, plain: Column, width: int = 5) -> Column:
 
 
 def commonest(rows: DataFrame, size: int, width: int) -> np.ndarray:
-    """The commonest shingles of rows (row_key, _text), the rarer first, as counted in a sample of the texts by hash."""
-    some = rows.filter(F.pmod("row_key", F.lit(max(1, size // COUNTED))) == 0).dropDuplicates(["row_key"])
+    """The commonest shingles of rows (row_key, _text), the rarer first, as counted in one of SHARE texts, drawn by hash, or in all of a small table."""
+    some = rows.filter(F.pmod("row_key", F.lit(max(1, min(SHARE, size // COUNTED)))) == 0).dropDuplicates(["row_key"])
     grams = shingle_sets(hashed_words(F.col("_text")), F.array().cast("array<long>"), width)
     counts = some.select(F.explode(grams["grams"]).alias("gram")).groupBy("gram").agg(F.count("*").alias("held")).filter("held > 3")
     found = counts.orderBy(F.desc("held"), "gram").limit(COMMONEST).select("gram").toPandas()
@@ -293,30 +292,6 @@ def jaccard(a: str, b: str) -> Column:
     return common / F.nullif(F.size(a) + F.size(b) - common, F.lit(0))
 
 
-def mended(texts: DataFrame, last: np.ndarray, met: Callable[[DataFrame, np.ndarray], DataFrame]) -> DataFrame:
-    """Texts (row_key, doc_id, place, n, p, gram, code) with the shingles at which more than HEAVY of them meet put at the end of the order, the more common the later.
-
-    These are counted over all texts, so that what is common doesn't depend on a sample, and pairs don't grow with the square of the texts that share a passage. Only
-    texts that have one of these at their places are read again (met, by row_key and doc_id): the places of the others don't change when what they haven't got moves. COMMONEST
-    shingles at most reach the driver at a time; those beyond stay where they are, which costs time alone.
-    """
-    for _ in range(MENDED):
-        seen = texts.select("row_key", F.explode(F.arrays_zip("gram", "code")).alias("m")).select("row_key", "m.gram", "m.code")
-        counts = seen.filter(F.col("code").bitwiseAND(1) == 0).groupBy("gram").agg(F.count("*").alias("held")).filter(F.col("held") > HEAVY)
-        heavy = counts.orderBy(F.desc("held"), "gram").limit(COMMONEST).toPandas()
-        if heavy.empty:
-            break
-        last = np.concatenate([heavy["gram"].to_numpy(dtype=np.int64)[::-1], last])
-        small = texts.sparkSession.createDataFrame(heavy[["gram"]], "gram long")  # COMMONEST rows at most
-        touched = materialize(seen.join(F.broadcast(small), "gram").select("row_key").distinct(), "similar-touched")
-        again = texts.join(touched, "row_key", "left_semi").select("row_key", "doc_id", "place")
-        new = again.join(met(again, last), "row_key").select(texts.columns)
-        before, texts = texts, materialize(texts.join(touched, "row_key", "left_anti").unionByName(new), "similar-texts")
-        removed(before)
-        removed(touched)
-    return texts
-
-
 def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, words: float | None = None, only: DataFrame | None = None) -> DataFrame:
     """Texts to drop as copies of others: doc_id, row_key (hash of the text), leader_key, jaccard. Of every two similar texts one goes at least.
 
@@ -342,13 +317,6 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, word
         named = named.select("row_key", F.xxhash64("doc_id").alias("id_key"))
         return rows.select("row_key", F.xxhash64("doc_id").alias("id_key"), "_text").join(named, ["row_key", "id_key"]).dropDuplicates(["row_key", "id_key"])
 
-    def again(named: DataFrame, last: np.ndarray) -> DataFrame:
-        found = meeting_shingles(hashed_words(F.col("_text")), last, similarity, width, SKETCH if words is not None else 0)
-        return read(named).select("row_key", found.alias("m")).select("row_key", "m.*")
-
-    with small_batches(docs.sparkSession):
-        texts = mended(texts, last, again)
-
     def sets_of(wanted: DataFrame) -> DataFrame:
         found = read(texts.join(wanted, "row_key"))
         sets = shingle_sets(hashed_words(F.col("_text")), hashed_words(F.col("_text"), plain=True) if words is not None else F.array().cast("array<long>"), width)

@@ -37,7 +37,7 @@ def pairs_of(spark, texts, monkeypatch):
 
     with monkeypatch.context() as m:
         m.setattr(simhash, "materialize", counted)
-        m.setattr(simhash, "commonest", lambda rows, size, width: np.zeros(0, dtype=np.int64))  # a sample that misses the passage
+        m.setattr(simhash, "COUNTED", 10)  # one text of SHARE is counted
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         gone = {r["doc_id"] for r in simhash.similar_texts(docs).collect()}
     return sum(seen), gone
@@ -55,7 +55,7 @@ def test_pairs_grow_with_the_texts(spark, monkeypatch):
         found[n], gone = pairs_of(spark, texts, monkeypatch)
         assert gone == copies(texts) and len(gone) == n // 10
     assert found[300] <= 3 * max(found[150], 300)
-    monkeypatch.setattr(simhash, "MENDED", 0)  # as it was: every two of the texts
+    monkeypatch.setattr(simhash, "commonest", lambda rows, size, width: np.zeros(0, dtype=np.int64))  # where nothing is known to be common: every two of the texts
     before, gone = pairs_of(spark, with_passage(150), monkeypatch)
     assert before > 5 * max(found[150], 300) and gone == copies(with_passage(150))
 
