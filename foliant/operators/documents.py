@@ -2,27 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from foliant.functions.text import image_source, short_id
 from foliant.operators.catalog import delete_attributes
 from foliant.session import written
 
-BLOCK_SCHEMA = "array<struct<name:string,role:string,tag:string,level:int,depth:int,attrs:string,text:string,inner:string>>"
+BLOCK_SCHEMA = "pos int, name string, role string, tag string, level int, depth int, attrs string, text string, inner string"
+#: Blocks, and characters of them, after which a task hands on what it has.
+HANDED_ROWS, HANDED_CHARS = 4_096, 4_000_000
 
 
-def blocks(pages: DataFrame, key: str = "page_id", preset: str = "plain_blocks") -> DataFrame:
-    """One row for each block of pages (key, html): key, pos (from 0), name, role, tag, level, depth, attrs, text, inner."""
+def blocks(pages: DataFrame, key: str = "page_id", preset: str = "plain_blocks", whole: bool = True) -> DataFrame:
+    """One row for each block of pages (key, html): key, pos (from 0), name, role, tag, level, depth, attrs, text, inner; attrs and inner only where blocks are wanted whole.
 
-    @F.pandas_udf(BLOCK_SCHEMA)
-    def parsed(html: pd.Series) -> pd.Series:
-        from foliant.functions.markup import page_blocks
+    A task holds the blocks of a page, and those that it has still to hand on, but never those of a batch of pages.
+    """
+    fields = StructType([StructField(key, pages.schema[key].dataType), *[f for f in StructType.fromDDL(BLOCK_SCHEMA) if whole or f.name not in ("attrs", "inner")]])
+    schema = [pa.int32() if f.dataType == IntegerType() else pa.string() for f in fields[1:]]
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from foliant.functions.markup import block_rows
+
+        for batch in batches:
+            at, rows, chars = [], [], 0
+            for k, html in enumerate(batch.column(1).to_pylist()):
+                own = block_rows(html or "", preset, whole)
+                for pos, (name, role, tag, level, depth, attrs, text, inner) in enumerate(own):
+                    at.append(k)
+                    rows.append((pos, name, role, tag, level, depth, attrs, text, inner) if whole else (pos, name, role, tag, level, depth, text))
+                    chars += len(attrs) + len(text) + len(inner)
+                    if len(at) >= HANDED_ROWS or chars >= HANDED_CHARS:
+                        yield handed(batch.column(0), at, rows)
+                        at, rows, chars = [], [], 0
+            if at:
+                yield handed(batch.column(0), at, rows)
 
-        return html.fillna("").map(lambda h: page_blocks(h, preset))
+    def handed(keys: pa.Array, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), schema, strict=True)]
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *columns], fields.names)
 
-    return spread(pages.select(key, "html")).select(key, F.posexplode(parsed("html")).alias("pos", "b")).select(key, "pos", "b.*")
+    return spread(pages.select(key, "html")).mapInArrow(found, fields)
 
 
 @F.udtf(returnType="pos: int, name: string, role: string, tag: string, level: int, depth: int, attrs: string, text: string, inner: string")
@@ -69,7 +95,7 @@ def sections(rows: DataFrame, key: str, heading: str = "is_heading") -> DataFram
 def heroes(rows: DataFrame, key: str) -> DataFrame:
     """Of blocks: key, heading_pos (first h1 or h2), text_pos (first paragraph with text after it), image_pos (first image anywhere), hero
     (whether there are a heading and a text)."""
-    is_text = (F.col("tag") == "p") & (F.trim("text") != "") & (F.col("name") == "paragraph")
+    is_text = _is_text()
     least = lambda c, n: F.min(F.when(c, F.col("pos"))).alias(n)
     texts = F.collect_list(F.when(is_text, F.col("pos"))).alias("_texts")  # one number for each paragraph of a page
     found = rows.groupBy(key).agg(least(F.col("level").isin(1, 2), "heading_pos"), least(F.col("name") == "image", "image_pos"), texts)
@@ -80,20 +106,29 @@ def heroes(rows: DataFrame, key: str) -> DataFrame:
 def grouped(rows: DataFrame, key: str) -> DataFrame:
     """Blocks with group and style: on a page with a hero, its heading, text and first image are group 0 (hero), in that order; the other blocks
     (feature) begin a group at each heading that isn't the first of them. place orders the blocks of a group."""
-    page = Window.partitionBy(key)
-    order = page.orderBy("pos")
-    is_text = (F.col("tag") == "p") & (F.trim("text") != "") & (F.col("name") == "paragraph")
+    return _in_groups(rows.withColumn("_x", _is_text()), key).drop("_x")
+
+
+def _is_text() -> Column:
+    return (F.col("tag") == "p") & (F.trim("text") != "") & (F.col("name") == "paragraph")
+
+
+def _in_groups(rows: DataFrame, key: str) -> DataFrame:
+    """grouped, of blocks with pos, level, name and _x (whether it is a paragraph with text)."""
+    order = Window.partitionBy(key).orderBy("pos")  # one order for all that follows, so that blocks are sorted once
+    page, upto = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     least = lambda c: F.min(F.when(c, F.col("pos"))).over(page)
     found = rows.withColumn("_h", least(F.col("level").isin(1, 2))).withColumn("_i", least(F.col("name") == "image"))
-    found = found.withColumn("_t", least(is_text & (F.col("pos") > F.col("_h"))))
+    found = found.withColumn("_t", least(F.col("_x") & (F.col("pos") > F.col("_h"))))
     has = F.col("_h").isNotNull() & F.col("_t").isNotNull()
     rank = F.when(has & (F.col("pos") == F.col("_h")), 0).when(has & (F.col("pos") == F.col("_t")), 1).when(has & (F.col("pos") == F.col("_i")), 2)
     found = found.withColumn("_r", rank).withColumn("style", F.when(F.col("_r").isNotNull(), "hero").otherwise("feature"))
-    rest = Window.partitionBy(key, "style").orderBy("pos")
-    begins = F.when((F.col("level") > 0) & (F.row_number().over(rest) > 1), 1).otherwise(0)
-    turns = found.withColumn("_b", begins).withColumn("_n", F.sum("_b").over(rest.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    feature = F.col("_r").isNull()
+    found = found.withColumn("_f", F.min(F.when(feature, F.col("pos"))).over(page))
+    begins = F.when(feature & (F.col("level") > 0) & (F.col("pos") > F.col("_f")), 1).otherwise(0)
+    turns = found.withColumn("_n", F.sum(begins).over(upto))
     group = F.when(F.col("style") == "hero", 0).otherwise(F.col("_n") + F.when(has, 1).otherwise(0))
-    return turns.withColumn("group", group.cast("int")).withColumn("place", F.coalesce("_r", F.col("pos"))).drop("_h", "_i", "_t", "_r", "_b", "_n")
+    return turns.withColumn("group", group.cast("int")).withColumn("place", F.coalesce("_r", F.col("pos"))).drop("_h", "_i", "_t", "_r", "_f", "_n")
 
 
 def runs(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -144,13 +179,15 @@ def widget_tree(rows: DataFrame, key: str, seed: str = "layout") -> DataFrame:
         F.when(widget_kind() == "html", F.col("inner")).alias("html"),
     )
     name = F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))
-    order = Window.partitionBy(key).orderBy("group", "place")
-    placed = grouped(rows, key).withColumn("_k", F.row_number().over(order)).withColumn("_all", F.count("*").over(Window.partitionBy(key)))
-    node = F.struct(short_id(name, F.col("_k")).alias("id"), F.lit("widget").alias("elType"), widget_kind().alias("widgetType"), F.lit(False).alias("isInner"), settings.alias("settings"), F.array().cast("array<string>").alias("elements"))
-    groups = placed.groupBy(key, "group", "_all").agg(F.array_sort(F.collect_list(F.struct("_k", node.alias("node")))).alias("ns"), F.first("style").alias("style"))
-    container = F.struct(short_id(name, F.col("_all") + F.col("group") + 1).alias("id"), F.lit("container").alias("elType"), none.alias("widgetType"), F.lit(False).alias("isInner"), F.col("style"), F.transform("ns", lambda n: n.node).alias("elements"))
-    pages = groups.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("group", container.alias("node")))).alias("cs"))
-    return pages.select(key, F.to_json(F.transform("cs", lambda c: c.node)).alias("tree"))
+    # settings are made before blocks meet, so that nothing else of them moves; the blocks of a page meet in one list, and a group is a slice of it
+    found = _in_groups(rows.select(key, "pos", "level", "name", _is_text().alias("_x"), widget_kind().alias("kind"), settings.alias("settings")), key)
+    pages = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("group", "place", "style", "kind", "settings"))).alias("ns"))
+    widget = lambda n, k: F.struct(short_id(name, k + 1).alias("id"), F.lit("widget").alias("elType"), n.kind.alias("widgetType"), F.lit(False).alias("isInner"), n.settings.alias("settings"), F.array().cast("array<string>").alias("elements"))
+    pages = pages.withColumn("nodes", F.transform("ns", widget)).withColumn("_ends", F.expr("filter(sequence(1, size(ns)), k -> k = size(ns) OR element_at(ns, k).group <> element_at(ns, least(k + 1, size(ns))).group)"))
+    pages = pages.withColumn("_begins", F.expr("transform(_ends, (e, k) -> IF(k = 0, 1, element_at(_ends, greatest(k, 1)) + 1))")).withColumn("cs", F.arrays_zip("_begins", "_ends"))
+    first = lambda c: F.element_at("ns", c["_begins"])
+    container = lambda c: F.struct(short_id(name, F.size("ns") + first(c).group + 1).alias("id"), F.lit("container").alias("elType"), none.alias("widgetType"), F.lit(False).alias("isInner"), first(c).style.alias("style"), F.slice("nodes", c["_begins"], c["_ends"] - c["_begins"] + 1).alias("elements"))
+    return pages.select(key, F.to_json(F.transform("cs", container)).alias("tree"))
 
 
 def widget_attributes(trees: DataFrame, key: str, attributes: DataFrame) -> DataFrame:

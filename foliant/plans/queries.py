@@ -519,12 +519,12 @@ def html_rendered(spark, sf_dir):
 
 @query("html_widgets")
 def html_widgets(spark, sf_dir):
-    return documents.widgets(documents.blocks(table(spark, sf_dir, "pages")), "page_id").select("page_id", "pos", "section", "widget", "widget_id", "section_id")
+    return documents.widgets(documents.blocks(table(spark, sf_dir, "pages"), whole=False), "page_id").select("page_id", "pos", "section", "widget", "widget_id", "section_id")
 
 
 @query("html_heroes")
 def html_heroes(spark, sf_dir):
-    return documents.heroes(documents.blocks(table(spark, sf_dir, "pages")), "page_id")
+    return documents.heroes(documents.blocks(table(spark, sf_dir, "pages"), whole=False), "page_id")
 
 
 @query("code_runs")
@@ -820,7 +820,7 @@ _KINDS = "CASE k WHEN 1 THEN ['heading', 'paragraph', 'code', 'list', 'code', 's
 
 @query("known_pages_blocks", f"SELECT page_id, CAST(generate_subscripts({_KINDS}, 1) - 1 AS INT) AS pos, unnest({_KINDS}) AS name FROM ({_PAGES})")
 def known_pages_blocks(spark, sf_dir):
-    return documents.blocks(_known_pages(spark, sf_dir), preset="documentation").select("page_id", "pos", "name")
+    return documents.blocks(_known_pages(spark, sf_dir), preset="documentation", whole=False).select("page_id", "pos", "name")
 
 
 @query("known_code_runs", "SELECT o_orderkey AS doc_id, 1 AS first_line, 2 AS last_line, 'lines' AS kind, 'git pull ' || o_orderkey || chr(10) || 'const x = 1' AS code FROM orders UNION ALL SELECT o_orderkey, 4, 7, 'fenced', o_orderstatus FROM orders WHERE o_orderkey % 2 = 0")
@@ -839,12 +839,12 @@ _HEROES = "CASE WHEN o_orderkey % 2 = 0 THEN [1, 0, 0, 1, 0, 2, 2] ELSE [0, 0, 0
 
 @query("known_heroes", "SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 2 = 0 THEN 1 END AS heading_pos, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS image_pos, CASE WHEN o_orderkey % 2 = 0 THEN 4 END AS text_pos, o_orderkey % 2 = 0 AS hero FROM orders")
 def known_heroes(spark, sf_dir):
-    return documents.heroes(documents.blocks(_hero_pages(spark, sf_dir)), "page_id")
+    return documents.heroes(documents.blocks(_hero_pages(spark, sf_dir), whole=False), "page_id")
 
 
 @query("known_hero_groups", f'SELECT o_orderkey AS page_id, CAST(generate_subscripts({_HEROES}, 1) - 1 AS INT) AS pos, unnest({_HEROES}) AS "group" FROM orders')
 def known_hero_groups(spark, sf_dir):
-    return documents.grouped(documents.blocks(_hero_pages(spark, sf_dir)), "page_id").select("page_id", "pos", "group")
+    return documents.grouped(documents.blocks(_hero_pages(spark, sf_dir), whole=False), "page_id").select("page_id", "pos", "group")
 
 
 _ID = "substring(sha256(concat('layout:', o_orderkey, ':', {})), 1, 8)"

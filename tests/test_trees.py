@@ -179,3 +179,33 @@ def test_the_last_change_of_a_key_counts(spark):
 def test_a_level_is_not_searched(spark):
     rows = spark.createDataFrame([(1, "error", "m"), (2, "info", "an Error")], "event_id long, level string, message string")
     assert [r["event_id"] for r in events.matching(rows, search="error").collect()] == [2]
+
+
+def test_plain_pages_are_read_as_html_parser_reads_them(monkeypatch):
+    parts = ["<p>", "</p>", "<p>a &amp; b</p>", "<h2>x</h2>", '<img src="a > b" alt=\'c\'/>', "<ul><li>x</li><li>y", "</ul>", "a < b", "&lt", "<!-- c -->", "<title>t &lt; </title>", '<script>"</p>" < 1</script>', "<br/>", '<div class="note" hidden>', "</DIV>", "<td>z</td>", "<b>", "</b >", "<", "<a href=x>"]
+    draw = random.Random(7)
+    pages = ["".join(draw.choices(parts, k=draw.randrange(1, 9))) for _ in range(2000)]
+    plain = [h for h in pages if markup._pieces(h) is not None]
+    assert len(plain) > 800 and "<p>a" not in plain
+    for preset in markup.PRESETS:
+        quick = [markup.page_blocks(h, preset) for h in plain]
+        with monkeypatch.context() as m:
+            m.setattr(markup, "_pieces", lambda html: None)
+            assert quick == [markup.page_blocks(h, preset) for h in plain]
+        short = [[{**b, "attrs": "", "inner": ""} for b in page] for page in quick]
+        assert short == [markup.page_blocks(h, preset, whole=False) for h in plain]
+
+
+def test_blocks_are_handed_on_in_small_pieces(spark, monkeypatch):
+    monkeypatch.setattr(documents, "HANDED_ROWS", 7)
+    pages = spark.createDataFrame([(k, "<p>a</p>" * (k % 30) + "<h2>b</h2>") for k in range(100)] + [(None, None)], "page_id int, html string")
+    found = documents.blocks(pages, whole=False)
+    assert found.columns == ["page_id", "pos", "name", "role", "tag", "level", "depth", "text"]
+    got = sorted((r.page_id, r.pos, r.name) for r in found.collect())
+    assert got == sorted((k, p, "paragraph" if p < k % 30 else "heading") for k in range(100) for p in range(k % 30 + 1))
+
+
+def test_blocks_of_a_page_are_sorted_once(spark):
+    rows = spark.createDataFrame([], "page_id long, pos int, name string, tag string, level int, text string")
+    plan = documents.grouped(rows, "page_id")._jdf.queryExecution().sparkPlan().toString() + documents.grouped(rows, "page_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1
