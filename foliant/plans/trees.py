@@ -73,7 +73,7 @@ def tree_partials(spark, sf_dir):
 def tree_pieces_sql(spark, sf_dir):
     """The function as SQL calls it."""
     exports.register(spark)
-    return spark.sql("SELECT doc_id, p.pos, p.html, p.closes FROM {trees}, LATERAL document_html(document) AS p", trees=trees(spark, sf_dir))
+    return spark.sql("SELECT doc_id, p.pos, p.html, p.closes FROM {trees} LATERAL VIEW inline(document_pieces(document)) p AS pos, total, html, closes, error", trees=documents.spread(trees(spark, sf_dir)))
 
 
 @query("html_blocks_sql", "SELECT page_id, 0 AS pos, 'heading' AS name, 2 AS level, '<h2>' || replace(url, '&', '&amp;') || '</h2>' AS inner FROM pages UNION ALL SELECT page_id, 1, 'list', 0, '<ul class=\"wp-block-list\"><!-- wp:list-item --><li>' || page_id || '<!-- wp:list {\"ordered\":true} --><ol class=\"wp-block-list\"><!-- wp:list-item --><li>b</li><!-- /wp:list-item --></ol><!-- /wp:list --></li><!-- /wp:list-item --></ul>' FROM pages UNION ALL SELECT page_id, 2, 'table', 0, '<figure class=\"wp-block-table\"><table><tr><td colspan=\"2\">c</td></tr></table></figure>' FROM pages WHERE page_id % 2 = 0")

@@ -209,3 +209,16 @@ def test_blocks_of_a_page_are_sorted_once(spark):
     rows = spark.createDataFrame([], "page_id long, pos int, name string, tag string, level int, text string")
     plan = documents.grouped(rows, "page_id")._jdf.queryExecution().sparkPlan().toString() + documents.grouped(rows, "page_id")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1
+
+
+def test_trees_of_one_file_are_dealt_out(spark, tmp_path):
+    """As html_pieces and as document_pieces in SQL, the rows are those of document_html."""
+    plain = '{"body":{"content":[{"paragraph":{"elements":[{"textRun":{"content":"a"}}]}},{"table":{}},{"x":1}]}}'
+    spark.createDataFrame([(1, plain), (2, "no"), (3, '{"tabs":[]}'), (4, None)], "doc_id int, document string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    exports.register(spark)
+    want = spark.sql("SELECT doc_id, p.* FROM {t}, LATERAL document_html(document) AS p", t=rows).collect()
+    found = exports.html_pieces(rows)
+    assert sorted(map(str, found.collect())) == sorted(map(str, want)) and len(want) == 5
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(map(str, spark.sql("SELECT doc_id, inline(document_pieces(document)) FROM {t}", t=rows).collect())) == sorted(map(str, want))
