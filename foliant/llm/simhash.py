@@ -15,9 +15,8 @@ from foliant.session import removed
 
 #: Fingerprints in one shard tree; with 8 bytes each this bounds what a task holds.
 TREE = 4096
-#: The commonest shingles are counted in one of so many texts, or in so many texts at the least, and so many of these come last in the order of all. As the share is fixed, a shingle that
-#: isn't found to be common is in few texts however many there are; all three touch the speed alone.
-SHARE, COUNTED, COMMONEST = 8, 20_000, 100_000
+#: So many of the commonest shingles come last in the order of all; they are counted in all texts, whatever their number. COUNTED, from which a share was counted once, is read by nothing any more.
+COUNTED, COMMONEST = 20_000, 100_000
 #: Texts of one shingle, or of one leader, that a task of a join compares with all the others of it.
 SALTED = 1_000
 #: Shingles in a text's sketch, the share of them that two texts must have in common to be compared, and rounds of comparisons with leaders.
@@ -192,10 +191,10 @@ def shingle_sets(words: Column, plain: Column, width: int = 5) -> Column:
 
 
 def commonest(rows: DataFrame, size: int, width: int) -> np.ndarray:
-    """The commonest shingles of rows (row_key, _text), the rarer first, as counted in one of SHARE texts, drawn by hash, or in all of a small table."""
-    some = rows.filter(F.pmod("row_key", F.lit(max(1, min(SHARE, size // COUNTED)))) == 0).dropDuplicates(["row_key"])
+    """The commonest shingles of rows (row_key, _text), the rarer first, as counted in all texts."""
+    once = rows.select("row_key", "_text").dropDuplicates(["row_key"])
     grams = shingle_sets(hashed_words(F.col("_text")), F.array().cast("array<long>"), width)
-    counts = some.select(F.explode(grams["grams"]).alias("gram")).groupBy("gram").agg(F.count("*").alias("held")).filter("held > 3")
+    counts = once.select(F.explode(grams["grams"]).alias("gram")).groupBy("gram").agg(F.count("*").alias("held")).filter("held > 3")
     found = counts.orderBy(F.desc("held"), "gram").limit(COMMONEST).select("gram").toPandas()
     return found["gram"].to_numpy(dtype=np.int64)[::-1]
 

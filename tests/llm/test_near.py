@@ -75,3 +75,16 @@ def test_tables_of_another_thread_stay(spark):
     assert made[0].count() == 3
     with pytest.raises(Exception, match="(?i)not.?exist"):
         own.count()
+
+
+def test_common_shingles_are_counted_in_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "COUNTED", 10)
+    texts = with_passage(100) + ["one two three four five"] * 3  # equal texts count once
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, _text string").selectExpr("doc_id", "_text", "xxhash64(_text) AS row_key")
+    found = simhash.commonest(rows, len(texts), 5)
+    grams = simhash.shingle_sets(simhash.hashed_words(rows["_text"]), simhash.hashed_words(rows["_text"]))
+    held = {}
+    for r in rows.dropDuplicates(["row_key"]).select(grams["grams"].alias("g")).collect():
+        for g in r["g"]:
+            held[g] = held.get(g, 0) + 1
+    assert found.tolist()[::-1] == sorted((g for g, n in held.items() if n > 3), key=lambda g: (-held[g], g))
