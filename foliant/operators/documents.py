@@ -249,7 +249,9 @@ def put_images(pages: DataFrame, assets: DataFrame, key: str = "page_id") -> Dat
 
         return html.map(lambda h: None if h is None else image_cuts(h))
 
-    once = pages.groupBy(key).agg(F.min(F.struct("file_id", "html")).alias("_p")).select(key, "_p.file_id", cuts("_p.html").alias("_cut"))
+    spark = pages.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # named, or small pages would be put together into one task, and be cut on one core
+    once = pages.repartition(parts, key).groupBy(key).agg(F.min(F.struct("file_id", "html")).alias("_p")).select(key, "_p.file_id", cuts("_p.html").alias("_cut"))
     once = written(once, "image-cuts")  # so that pages are cut once
     is_source = F.transform("_cut", lambda x, k: F.struct(k.alias("k"), F.when(k % 2 == 1, x).alias("raw")))
     sources = once.select(key, "file_id", F.explode(F.filter(is_source, lambda x: x.raw.isNotNull())).alias("_s")).withColumn("_source", image_source(F.regexp_replace("_s.raw", "^[\"']|[\"']$", "")))

@@ -222,3 +222,13 @@ def test_trees_of_one_file_are_dealt_out(spark, tmp_path):
     assert sorted(map(str, found.collect())) == sorted(map(str, want)) and len(want) == 5
     assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert sorted(map(str, spark.sql("SELECT doc_id, inline(document_pieces(document)) FROM {t}", t=rows).collect())) == sorted(map(str, want))
+
+
+def test_images_of_plain_pages_are_cut_as_html_parser_finds_them(monkeypatch):
+    parts = ['<img src="a > b.png">', "<IMG alt='x' src='c'/>", "<img src=i/%20d.png>", "<img class=x>", "<p>t &amp; u</p>", '<script>"<img src=z>"</script>', "a < b", "<!-- c -->"]
+    draw = random.Random(3)
+    pages = ["".join(draw.choices(parts, k=draw.randrange(1, 7))) for _ in range(500)]
+    assert all(markup._pieces(h) is not None for h in pages)
+    quick = [markup.image_cuts(h) for h in pages]
+    monkeypatch.setattr(markup, "_pieces", lambda html: None)
+    assert quick == [markup.image_cuts(h) for h in pages]
