@@ -40,10 +40,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 _made: ContextVar[tuple[list[str], ...]] = ContextVar("made", default=())
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Within, the shuffle files of a query go when it ends; else they stay until the driver happens to collect its garbage. No DataFrame may run twice within."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it again, which cuts its lineage. It outlives scratch only if it is to be kept."""
+    """Writes df as a Parquet table in the shared folder and reads it again, which cuts its lineage and leaves no shuffle files. It outlives scratch only if it is to be kept."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    with released(df.sparkSession):
+        df.write.parquet(path)
     if (made := _made.get()) and not keep:
         made[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

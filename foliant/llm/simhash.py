@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import components, framed, materialize, small_batches, text_of, words_of
+from foliant.llm.common import components, framed, materialize, released, small_batches, text_of, words_of
 from foliant.session import removed
 
 #: Fingerprints in one shard tree; with 8 bytes each this bounds what a task holds.
@@ -191,11 +191,14 @@ def shingle_sets(words: Column, plain: Column, width: int = 5) -> Column:
 
 
 def commonest(rows: DataFrame, size: int, width: int) -> np.ndarray:
-    """The commonest shingles of rows (row_key, _text), the rarer first, as counted in all texts."""
-    once = rows.select("row_key", "_text").dropDuplicates(["row_key"])
+    """The commonest shingles of rows (row_key, _text), the rarer first, as counted in all texts (size is read by nothing any more). Of the texts themselves only those that come more than once are shuffled."""
+    twice = materialize(rows.groupBy("row_key").agg(F.count("*").alias("rows")).filter("rows > 1").select("row_key"), "similar-twice")
+    texts = rows.select("row_key", "_text")
+    once = texts.join(twice, "row_key", "left_anti").union(texts.join(twice, "row_key").dropDuplicates(["row_key"]))
     grams = shingle_sets(hashed_words(F.col("_text")), F.array().cast("array<long>"), width)
     counts = once.select(F.explode(grams["grams"]).alias("gram")).groupBy("gram").agg(F.count("*").alias("held")).filter("held > 3")
-    found = counts.orderBy(F.desc("held"), "gram").limit(COMMONEST).select("gram").toPandas()
+    with released(rows.sparkSession):
+        found = counts.orderBy(F.desc("held"), "gram").limit(COMMONEST).select("gram").toPandas()
     return found["gram"].to_numpy(dtype=np.int64)[::-1]
 
 
@@ -301,15 +304,17 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, word
     and rows of one text are one; other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select("doc_id", text_of().alias("_text")).filter(F.col("_text").rlike(r"[^\x20\x09-\x0D]")).withColumn("row_key", F.xxhash64("_text"))
-    last = commonest(rows, docs.count(), width)
+    last = commonest(rows, 0, width)
     with small_batches(docs.sparkSession):
         prints = rows.select("doc_id", "row_key", meeting_shingles(hashed_words(F.col("_text")), last, similarity, width, SKETCH if words is not None else 0).alias("m"))
-        prints = materialize(prints.select("doc_id", "row_key", "m.*"), "similar-prints")
+        all_prints = materialize(prints.select("doc_id", "row_key", "m.*"), "similar-prints")
+    prints = all_prints
     if only is not None:
         prints = prints.join(only, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left_semi")
     first = lambda c: F.first(c).alias(c)
     texts = prints.groupBy("row_key").agg(F.min("doc_id").alias("doc_id"), *[first(c) for c in ("n", "p", "gram", "code")])
     texts = materialize(texts.withColumn("place", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"))), "similar-texts")
+    removed(all_prints)
 
     def read(named: DataFrame) -> DataFrame:
         """Texts by row_key and doc_id: one row of each, met by id too, so that the copies of a text are dealt out."""

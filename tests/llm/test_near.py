@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import threading
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -88,3 +89,20 @@ def test_common_shingles_are_counted_in_all_texts(spark, monkeypatch):
         for g in r["g"]:
             held[g] = held.get(g, 0) + 1
     assert found.tolist()[::-1] == sorted((g for g, n in held.items() if n > 3), key=lambda g: (-held[g], g))
+
+
+def test_written_tables_leave_no_shuffle_files(spark, monkeypatch):
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    shuffled = lambda: {p.name for f in folders for p in Path(f).rglob("shuffle_*.data")}
+    before, left = shuffled(), []
+
+    def followed(df, name, keep=False):
+        found = common.materialize(df, name, keep)
+        left.append((name, len(shuffled() - before)))
+        return found
+
+    monkeypatch.setattr(simhash, "materialize", followed)
+    docs = spark.createDataFrame(list(enumerate(with_passage(60))), "doc_id long, text string")
+    with common.scratch(spark):
+        simhash.similar_texts(docs)
+    assert len(left) > 8 and not [x for x in left if x[1]]
