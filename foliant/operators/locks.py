@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.operators.scans import last_before, next_after, ordered, reached
+from foliant.operators.scans import dealt, last_before, next_after, ordered, reached
 from foliant.session import written
 
 #: Fixed value: seconds that a lock lives without being refreshed.
@@ -42,8 +42,8 @@ def held(requests: DataFrame, seconds: int = SECONDS) -> DataFrame:
     jumps = next_after(both, ["key"], F.when(F.col("is_acquire") == 1, F.col("of")), "next").filter("is_acquire = 0").select(F.col("of").alias("id"), "next")
     first = acquires.groupBy("key").agg(F.min("place").alias("id")).select("id")
     won = reached(first, jumps).select(F.col("id").alias("place"), F.lit(True).alias("_won"))
-    winners = acquires.join(won, "place").select("place", F.struct("owner", "end").alias("_lock"))
-    marked = written(rows.join(winners, "place", "left"), "lock-winners")
+    winners = acquires.join(dealt(won), "place").select("place", F.struct("owner", "end").alias("_lock"))
+    marked = written(rows.join(dealt(winners), "place", "left"), "lock-winners")
     known = last_before(marked, ["key"], F.col("_lock"), "_last")
     end = F.col("_last.end")
     lives = F.coalesce((F.col("at") < end.at) | (F.col("at") == end.at) & (F.col("place") <= end.place), F.lit(False))

@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from foliant.session import removed, written
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows for a join that shuffles both sides: what grows with the keys or rows isn't sent through the driver, however small its files are."""
+    return rows.hint("merge")
+
+
 def ordered(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows as a written table with place (long, rising by keys and order) and chunk (int): a chunk is a stretch of the rows in order, of about one size, so that a
     key with most of the rows has many."""
-    dealt = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    return written(dealt.withColumn("place", F.monotonically_increasing_id()).withColumn("chunk", F.spark_partition_id()), "ordered")
+    stretches = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    return written(stretches.withColumn("place", F.monotonically_increasing_id()).withColumn("chunk", F.spark_partition_id()), "ordered")
 
 
 def _carried(rows: DataFrame, keys: list[str], value: Column, out: str, forth: bool) -> DataFrame:
@@ -25,10 +30,10 @@ def _carried(rows: DataFrame, keys: list[str], value: Column, out: str, forth: b
     given = rows.withColumn("_given", value)
     nearest = (F.max_by if forth else F.min_by)("_given", "place")
     handed = given.filter(F.col("_given").isNotNull()).groupBy(*keys, "chunk").agg(nearest.alias("_handed"))
-    there = given.select(*keys, "chunk").distinct().join(handed, [*keys, "chunk"], "left")
+    there = given.select(*keys, "chunk").distinct().join(dealt(handed), [*keys, "chunk"], "left")
     earlier = Window.partitionBy(*keys).orderBy(sign("chunk")).rowsBetween(Window.unboundedPreceding, -1)
     carried = there.withColumn("_carried", F.last("_handed", ignorenulls=True).over(earlier)).drop("_handed")
-    found = given.withColumn("_own", F.last("_given", ignorenulls=True).over(before)).join(carried, [*keys, "chunk"])
+    found = given.withColumn("_own", F.last("_given", ignorenulls=True).over(before)).join(dealt(carried), [*keys, "chunk"])
     return found.withColumn(out, F.coalesce("_own", "_carried")).select(*rows.columns, out)
 
 
@@ -48,7 +53,7 @@ def counted(rows: DataFrame, keys: list[str], value: Column, out: str) -> DataFr
     earlier = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     given = rows.withColumn("_given", value.cast("long"))
     sums = given.groupBy(*keys, "chunk").agg(F.sum("_given").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
-    return given.withColumn("_own", F.sum("_given").over(upto)).join(sums, [*keys, "chunk"]).withColumn(out, F.col("_own") + F.col("_before")).select(*rows.columns, out)
+    return given.withColumn("_own", F.sum("_given").over(upto)).join(dealt(sums), [*keys, "chunk"]).withColumn(out, F.col("_own") + F.col("_before")).select(*rows.columns, out)
 
 
 def reached(starts: DataFrame, jumps: DataFrame) -> DataFrame:
@@ -61,12 +66,12 @@ def reached(starts: DataFrame, jumps: DataFrame) -> DataFrame:
     size = found.count()
     while True:
         before, far = found, jumps
-        found = written(before.union(before.join(far, "id").select("next")).distinct(), "reached")
+        found = written(before.union(before.join(dealt(far), "id").select("next")).distinct(), "reached")
         removed(before)
         grown = found.count()
         if grown == size:
             removed(far)
             return found
         size = grown
-        jumps = written(far.join(far.select(F.col("id").alias("next"), F.col("next").alias("far")), "next").select("id", F.col("far").alias("next")), "jumps")
+        jumps = written(far.join(dealt(far.select(F.col("id").alias("next"), F.col("next").alias("far"))), "next").select("id", F.col("far").alias("next")), "jumps")
         removed(far)

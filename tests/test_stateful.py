@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.operators import limits, locks, scans
-from foliant.session import shared_folder
+from foliant.session import shared_folder, written
 from foliant.sources import keyed_table
 from foliant.sources.keyed_table import ConflictError, KeyedTable, Manifest, overwrite
 from foliant.streaming import progress, sites, state, watch_sync
@@ -54,6 +54,22 @@ def test_scans_carry_values_over_chunks(spark, many_chunks):
         assert r["next"] == min((x[2] for x in own if x[2] is not None and x[1] > r["at"]), default=None)
 
 
+def test_scans_send_nothing_through_the_driver(spark, monkeypatch):
+    """However small the tables are: what is joined grows with the keys or rows."""
+    plans = []
+
+    def followed(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    for module in (scans, locks):
+        monkeypatch.setattr(module, "written", followed)
+    rows = [(k % 5, 10 * k, k, "acquire" if k % 3 else "refresh", k) for k in range(300)]
+    found = locks.held(spark.createDataFrame(rows, "key long, at long, seq long, kind string, owner long"), 30)
+    plans += [x._jdf.queryExecution().executedPlan().toString() for x in (found, scans.counted(scans.ordered(found, ["key"], ["at"]), ["key"], F.lit(1), "n"))]
+    assert sum("SortMergeJoin" in p for p in plans) > 5 and not [p for p in plans if "Broadcast" in p]
+
+
 # Locks.
 
 
