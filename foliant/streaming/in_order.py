@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: Rows that wait in one value of the state, as JSON: each value goes to the state store and back by itself, which costs far more than a row's own work.
+PACKED = 1_000
+
+
+def packed(rows: list) -> list[tuple[str]]:
+    """Rows of numbers, strings and nulls as few values of a list state."""
+    return [(json.dumps(rows[k : k + PACKED]),) for k in range(0, len(rows), PACKED)]
+
 
 class InOrder(StatefulProcessor):
     """Rows of a key wait in a list, which a timer wakes up: once a second has passed they are handled in order of time, and so is what falls due between them.
 
-    Subclasses name the columns of a row (rows; its first is at, in seconds, and the first three tell rows apart), and say what their state is.
+    Subclasses name the columns of a row (rows, of numbers and strings; its first is at, in seconds, and the first three tell rows apart), and say what their state is.
     """
 
     rows: str
@@ -44,7 +53,7 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.names = handle, [c.split()[0] for c in self.rows.split(", ")]
-        self.waiting = handle.getListState("waiting", self.rows)
+        self.waiting = handle.getListState("packed", "rows string")
         self.variables(handle)
 
     def rearm(self, state: Any, first: int | None, watermark: int) -> None:
@@ -56,13 +65,18 @@ class InOrder(StatefulProcessor):
             self.handle.registerTimer(max(min(times) * 1000, watermark + 1))
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        self.waiting.appendList([tuple(r[c] for c in self.names) for r in rows])
-        self.rearm(self.load(), min(r[0] for r in self.waiting.get()), timerValues.getCurrentWatermarkInMs())
+        new = [[r[c] for c in self.names] for r in rows]
+        self.waiting.appendList(packed(new))
+        at, armed = max((min(r[0] for r in new) + 1) * 1000, timerValues.getCurrentWatermarkInMs() + 1), list(self.handle.listTimers())
+        if not armed or at < min(armed):  # else what waits or is due comes first already
+            for old in armed:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(at)
         return iter([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         watermark, state, told, left = timerValues.getCurrentWatermarkInMs(), self.load(), [], []
-        for row in sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:3]):
+        for row in sorted((tuple(r) for value in self.waiting.get() for r in json.loads(value[0])), key=lambda r: r[:3]):
             if (row[0] + 1) * 1000 > watermark:
                 left.append(row)
             else:
@@ -72,7 +86,7 @@ class InOrder(StatefulProcessor):
         told += more
         self.save(state)
         if left:
-            self.waiting.put(left)
+            self.waiting.put(packed(left))
         else:
             self.waiting.clear()
         self.rearm(state, left[0][0] if left else None, watermark)

@@ -170,6 +170,43 @@ def test_progress_however_it_is_cut(spark):
         assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, want))
 
 
+def test_rows_wait_in_few_values():
+    """A thousand reports of a key are one value of its state, and none is read back for more to be put beside it."""
+    calls = []
+
+    class Variable:
+        def __getattr__(self, name):
+            return lambda *a: calls.append((name, *a))
+
+    class Handle:
+        def getListState(self, *a):
+            return Variable()
+
+        getValueState = getListState
+
+        def listTimers(self):
+            return iter([50_000])
+
+        def deleteTimer(self, at):
+            calls.append(("delete", at))
+
+        def registerTimer(self, at):
+            calls.append(("register", at))
+
+    class Watermark:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    machine = progress.ProgressMachine()
+    machine.init(Handle())
+    report = dict(seq=1, step="queued", done=None, total=None, code=None)
+    assert list(machine.handleInputRows((1,), iter([dict(report, at=60 + k) for k in range(1_000)]), Watermark())) == []
+    assert [c[0] for c in calls] == ["appendList"] and len(calls[0][1]) == 1  # the timer is sooner already
+    calls.clear()
+    list(machine.handleInputRows((1,), iter([dict(report, at=40)]), Watermark()))
+    assert [c[0] for c in calls] == ["appendList", "delete", "register"] and calls[1:] == [("delete", 50_000), ("register", 41_000)]
+
+
 def test_steps_by_hand():
     run, told = progress.Run(), []
     for at, step, done in [(0, "importing", 0), (1, "checking_google", 0), (2, "exporting", 0), (3, "large_doc_fallback", 0), (4, "importing", 0), (5, "large_doc_partial_import", 4), (6, "large_doc_partial_import", 2), (7, "exporting", 0), (8, "converting", 0), (9, "complete", 0), (10, "error", 0), (11, "queued", 0), (12, "error", 0), (13, "queued", 0)]:
